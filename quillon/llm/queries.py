@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import split
+from quillon.llm import split, together
 from quillon.session import prepare, table
 
 
@@ -21,6 +21,18 @@ def p1_found(spark: SparkSession, directory: str) -> DataFrame:
     return split.oversized(p1_split(spark, directory), "doc_id")
 
 
+def p5_pairs(spark: SparkSession, directory: str) -> DataFrame:
+    """Every pair of names with the number of results that show both, and its lift."""
+    found = together.pairs_together(table(spark, directory, "search_results"), "result_no", "entities", min_count=2)
+    return found.withColumn("lift", F.round("lift", 6))
+
+
+def p5_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Pairs of names in at least 8 results together, and 6 times as often as chance."""
+    found = together.pairs_together(table(spark, directory, "search_results"), "result_no", "entities", min_count=8, min_lift=6)
+    return found.select("name_a", "name_b")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("p") and k[1].isdigit()}
 

@@ -18,5 +18,23 @@ WHERE length(part) > 1200
 """
 
 
+P5 = """
+WITH r AS (SELECT result_no, any_value(entities) AS entities FROM search_results GROUP BY result_no),
+x AS (SELECT DISTINCT result_no, name FROM (SELECT result_no, unnest(entities) AS name FROM r) WHERE name <> ''),
+c AS (SELECT name, count(*) AS k FROM x GROUP BY name),
+p AS (SELECT a.name AS name_a, b.name AS name_b, count(*) AS n_ab FROM x a JOIN x b ON a.result_no = b.result_no AND a.name < b.name GROUP BY ALL),
+f AS (SELECT name_a, name_b, n_ab, ca.k AS n_a, cb.k AS n_b, (SELECT count(*) FROM r) AS n
+      FROM p JOIN c ca ON ca.name = name_a JOIN c cb ON cb.name = name_b)
+"""
+
+P5_PAIRS = P5 + """
+SELECT *, round(n_ab * n / (CAST(n_a AS DOUBLE) * n_b), 6) AS lift FROM f WHERE n_ab >= 2
+"""
+
+P5_FOUND = P5 + """
+SELECT name_a, name_b FROM f WHERE n_ab >= 8 AND n_ab * n >= 6 * n_a * n_b
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND}
+    return {"p1_found": P1_FOUND, "p5_pairs": P5_PAIRS, "p5_found": P5_FOUND}
