@@ -144,6 +144,6 @@ def split_texts(
 
 def oversized(split: DataFrame, key: str, limit: int = 1200) -> DataFrame:
     """(key, start_pos): -1 for each text that was split, and the start of each stretch over ``limit`` without a boundary."""
-    whole = split.filter(F.col("piece_index") == 0).select(key, F.lit(-1).cast("long").alias("start_pos"))
-    stretch = split.filter(F.col("stretch_length") > limit).select(key, F.col("stretch_start").cast("long").alias("start_pos"))
-    return whole.unionByName(stretch).distinct()
+    whole = F.when(F.col("piece_index") == 0, F.lit(-1).cast("long"))
+    stretch = F.when(F.col("stretch_length") > limit, F.col("stretch_start").cast("long"))
+    return split.select(key, F.explode(F.array_compact(F.array(whole, stretch))).alias("start_pos")).distinct()
