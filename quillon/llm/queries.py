@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import split, together
+from quillon.llm import neighbours, split, together
 from quillon.session import prepare, table
 
 
@@ -21,6 +21,19 @@ def p1_found(spark: SparkSession, directory: str) -> DataFrame:
     return split.oversized(p1_split(spark, directory), "doc_id")
 
 
+def p2_knn(spark: SparkSession, directory: str) -> DataFrame:
+    """The 10 nearest chunks of every chunk whose number is divisible by 50, against all chunks."""
+    chunks = table(spark, directory, "chunks")
+    found = neighbours.nearest(chunks, "chunk_no", "embedding", 10, ask=F.col("chunk_no") % 50 == 0)
+    return found.select(F.col("key_a").alias("chunk_no"), F.col("key_b").alias("neighbour"), "rank", F.round("distance", 5).alias("distance"))
+
+
+def p2_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Pairs of chunks at a distance of at most 0.30, from the 10 nearest of every chunk."""
+    found = neighbours.nearest(table(spark, directory, "chunks"), "chunk_no", "embedding", 10, radius=0.30, probes=24)
+    return found.select(F.least("key_a", "key_b").alias("chunk_a"), F.greatest("key_a", "key_b").alias("chunk_b")).distinct()
+
+
 def p5_pairs(spark: SparkSession, directory: str) -> DataFrame:
     """Every pair of names with the number of results that show both, and its lift."""
     found = together.pairs_together(table(spark, directory, "search_results"), "result_no", "entities", min_count=2)

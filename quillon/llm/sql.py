@@ -36,5 +36,25 @@ SELECT name_a, name_b FROM f WHERE n_ab >= 8 AND n_ab * n >= 6 * n_a * n_b
 """
 
 
+P2 = """
+WITH c AS (SELECT chunk_no, any_value(embedding)::DOUBLE[] AS v FROM chunks GROUP BY chunk_no),
+g AS (SELECT chunk_no, v FROM c WHERE len(v) = 64 AND len(list_filter(v, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+      AND len(list_filter(v, lambda x: x <> 0)) > 0),
+u AS (SELECT chunk_no, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS v FROM g)
+"""
+
+P2_KNN = P2 + """
+, d AS (SELECT a.chunk_no, b.chunk_no AS neighbour, sqrt(greatest(0, 2 - 2 * list_inner_product(a.v, b.v))) AS distance
+        FROM u a JOIN u b ON a.chunk_no <> b.chunk_no WHERE a.chunk_no % 50 = 0)
+SELECT chunk_no, neighbour, CAST(rank AS INTEGER) AS rank, round(distance, 5) AS distance
+FROM (SELECT *, row_number() OVER (PARTITION BY chunk_no ORDER BY round(distance, 6), neighbour) AS rank FROM d) WHERE rank <= 10
+"""
+
+P2_FOUND = P2 + """
+SELECT a.chunk_no AS chunk_a, b.chunk_no AS chunk_b FROM u a JOIN u b ON a.chunk_no < b.chunk_no
+WHERE sqrt(greatest(0, 2 - 2 * list_inner_product(a.v, b.v))) <= 0.30
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p5_pairs": P5_PAIRS, "p5_found": P5_FOUND}
+    return {"p1_found": P1_FOUND, "p2_knn": P2_KNN, "p2_found": P2_FOUND, "p5_pairs": P5_PAIRS, "p5_found": P5_FOUND}
