@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import neighbours, split, together
+from quillon.llm import neardup, neighbours, split, together
 from quillon.session import prepare, table
 
 
@@ -46,6 +46,27 @@ def p5_found(spark: SparkSession, directory: str) -> DataFrame:
     return found.select("name_a", "name_b")
 
 
+KINDS = {"document": 0, "entity": 1}
+
+
+def edited_copies(spark: SparkSession, directory: str, threshold: float = 0.6, width: int = 3, least: int = 20) -> tuple[DataFrame, DataFrame]:
+    """Near-duplicates of documents by text and of entities by observations, dates in front removed."""
+    documents = table(spark, directory, "documents").select(F.lit(0).cast("tinyint").alias("kind"), F.col("doc_id").alias("key"), F.array("text").alias("texts"))
+    undated = F.transform("observations", lambda o: F.regexp_replace(o, r"^\[\d{4}-\d{2}-\d{2}\]\s*", ""))
+    entities = table(spark, directory, "entities").select(F.lit(1).cast("tinyint").alias("kind"), F.col("entity_no").alias("key"), undated.alias("texts"))
+    return neardup.near_duplicates(documents.unionByName(entities), threshold, width, least)
+
+
+def _kind_name(column: str = "kind"):
+    return F.when(F.col(column) == 0, "document").otherwise("entity").alias("rec_kind")
+
+
+def p7_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Pairs of edited copies of documents and of entities."""
+    pairs = neardup.expand(*edited_copies(spark, directory))
+    return pairs.select(_kind_name(), F.col("a").alias("key_a"), F.col("b").alias("key_b"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("p") and k[1].isdigit()}
 
