@@ -9,7 +9,9 @@ before its sets are compared. Tokens are hashes of runs of consecutive words.
 from __future__ import annotations
 
 import math
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,29 +26,140 @@ KNOWN_TOKENS = 200_000
 BUCKET_RECORDS, BLOCK = 8192, 1 << 21
 #: Postings of tokens in more records than this are split by a token of the second order.
 HOT_RECORDS = 20_000
+#: Key tables up to this many rows (16 bytes each) are broadcast; larger ones are joined by shuffle.
+SMALL_ROWS = 1_000_000
 EPS = 1e-9
 
 
-def words(text: Column) -> Column:
-    """Lower-cased pieces between runs of space, tab and line feed, of letters and digits only."""
-    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N} \t\n]+", ""), r"[ \t\n]+"), lambda w: w != "")
+# Separators that no text holds: between the texts of a record, and between records.
+PART, RECORD = "\U0010ffff", "\U0010fffe"
+_DROP, _KEEP, _BLANK, _PART, _RECORD = range(5)
 
 
-def normal_form(texts: Column) -> Column:
-    """The words of an array of texts as one string: words joined by a space, texts by a line feed."""
-    present = F.filter(texts, lambda t: t.isNotNull())
-    return F.array_join(F.transform(present, lambda t: F.array_join(words(t), " ")), "\n")
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """Kind of every codepoint: letters and digits are kept, space, tab and line feed split words, the rest is dropped."""
+    kinds = np.array([unicodedata.category(chr(c))[0] in "LN" for c in range(0x110000)], dtype=np.uint8)
+    kinds[[0x20, 0x09, 0x0A]] = _BLANK
+    kinds[[ord(PART), ord(RECORD)]] = _PART, _RECORD
+    return kinds
 
 
-def shingles(normal: Column, kind: Column, width: int) -> Column:
-    """The sorted set of hashes of ``width`` consecutive words within each line."""
+def _mix(x: np.ndarray) -> np.ndarray:
+    """Scramble 64-bit values (a bijection)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-    def runs(w: Column) -> Column:
-        steps = F.sequence(F.lit(0), F.size(w) - width)
-        return F.when(F.size(w) >= width, F.transform(steps, lambda i: F.xxhash64(kind, *[w.getItem(i + d) for d in range(width)])))
 
-    lines = F.transform(F.split(normal, "\n"), lambda line: F.transform(F.array(F.split(line, " ")), runs).getItem(0))
-    return F.array_sort(F.array_distinct(F.flatten(F.filter(lines, lambda x: x.isNotNull()))))
+def token_sets(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sets of runs of ``width`` words of records (their texts joined by PART), all records at once.
+
+    Returns the size of each record's set, the sets one after another (64-bit hashes, sorted), and two hashes of
+    each record's words in order. Words are what lower-casing, splitting at blanks and dropping everything but
+    letters and digits leaves.
+    """
+    codes = np.frombuffer(RECORD.join(texts).lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    kind = _kinds()[codes]
+    at = np.flatnonzero(kind == _KEEP)
+    sizes, first, second = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+    if not len(at):
+        return sizes, np.zeros(0, np.int64), first, second
+    gap = np.cumsum(kind >= _BLANK, dtype=np.int32)[at]
+    starts = np.flatnonzero(np.r_[True, gap[1:] != gap[:-1]])
+    lengths = np.diff(np.r_[starts, len(at)])
+    power = np.cumprod(np.full(int(lengths.max()), 0x9E3779B97F4A7C15, dtype=np.uint64))
+    place = np.arange(len(at)) - np.repeat(starts, lengths)
+    word = _mix(np.add.reduceat(_mix(codes[at].astype(np.uint64) + np.uint64(1)) * power[place], starts))
+    record = np.cumsum(kind == _RECORD, dtype=np.int32)[at[starts]]
+    part = np.cumsum(kind >= _PART, dtype=np.int32)[at[starts]]
+    heads = np.flatnonzero(np.r_[True, record[1:] != record[:-1]])
+    ordinal = np.arange(len(word)) - np.repeat(heads, np.diff(np.r_[heads, len(word)])) + (part - part[heads].repeat(np.diff(np.r_[heads, len(word)]))).astype(np.int64) * 1_000_003
+    for out, salt in ((first, 0x2545F4914F6CDD1D), (second, 0xD6E8FEB86659FD93)):
+        out[record[heads]] = np.add.reduceat(_mix(word + ordinal.astype(np.uint64) * np.uint64(salt)), heads).view(np.int64)
+    n = len(word) - width + 1
+    if n < 1:
+        return sizes, np.zeros(0, np.int64), first, second
+    run = np.zeros(n, np.uint64)
+    for d in range(width):
+        run = _mix(run * np.uint64(0xD1342543DE82EF95) + word[d : d + n])
+    same = part[:n] == part[width - 1 :]
+    token, owner = run[same].view(np.int64), record[:n][same]
+    order = np.lexsort((token, owner))
+    token, owner = token[order], owner[order]
+    fresh = np.r_[True, (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])] if len(token) else np.zeros(0, bool)
+    return np.bincount(owner[fresh], minlength=len(texts)), token[fresh], first, second
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, list[str]]]:
+    """(kind, key, texts) of a batch in slices of some million characters."""
+    kind, key = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+    texts, start, size = batch.column(2).to_pylist(), 0, 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size > 2_000_000 or i + 1 == len(texts):
+            yield kind[start : i + 1], key[start : i + 1], texts[start : i + 1]
+            start, size = i + 1, 0
+
+
+def _salted(tokens: np.ndarray, sizes: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Tokens of records of different kinds never meet; the sets stay sorted only within a kind's own order."""
+    salt = _mix(kind.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)).view(np.int64)
+    return tokens ^ np.repeat(salt, sizes)
+
+
+def _sorted_sets(kind: np.ndarray, texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    sizes, tokens, first, second = token_sets(texts, width)
+    tokens = _salted(tokens, sizes, kind)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    return sizes, tokens[np.lexsort((tokens, owner))], first, second
+
+
+def fingerprints(width: int, least: int):
+    """mapInArrow: (kind, key, text) to two hashes of the words, of records with enough runs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for kind, key, texts in _slices(batch):
+                sizes, _, first, second = token_sets(texts, width)
+                use = sizes >= max(least, 1)
+                yield pa.RecordBatch.from_arrays([pa.array(x[use]) for x in (kind, key, first, second)], names=["kind", "key", "h", "g"])
+
+    return run
+
+
+def frequencies(width: int, least: int):
+    """mapInArrow: (kind, key, text) to partial counts of tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for batch in batches:
+            for kind, _, texts in _slices(batch):
+                sizes, tokens, _, _ = _sorted_sets(kind, texts, width)
+                held.append(tokens[np.repeat(sizes >= least, sizes)])
+            if sum(map(len, held)) > 4 * BLOCK:
+                yield out(held)
+                held = []
+        if held:
+            yield out(held)
+
+    def out(held: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in np.unique(np.concatenate(held), return_counts=True)], names=["token", "n"])
+
+    return run
+
+
+def sets_of(width: int):
+    """mapInArrow: (kind, key, text) to (kind, key, tokens)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for kind, key, texts in _slices(batch):
+                sizes, tokens, _, _ = _sorted_sets(kind, texts, width)
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(tokens))
+                yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(key), lists], names=["kind", "key", "tokens"])
+
+    return run
 
 
 def prefix(n, share: float):
@@ -59,36 +172,34 @@ def levels(n: np.ndarray) -> np.ndarray:
     return np.maximum(0, np.ceil(np.log2(np.maximum(n, 1) / 256) / 2 - EPS)).astype(np.int64)
 
 
-def postings(known: np.ndarray, counts: np.ndarray, t: float, buckets: int, hot: int):
-    """mapInArrow: (kind, key, tokens) to one row for each bucket that holds prefix tokens of the record."""
-    schema = pa.schema(
-        [("bucket", pa.int32()), ("kind", pa.int8()), ("key", pa.int64()), ("n", pa.int32()), ("bits", pa.binary()), ("tokens", pa.list_(pa.int32())), ("at", pa.list_(pa.int32()))]
-    )
+def postings(known: np.ndarray, counts: np.ndarray, t: float, width: int, buckets: int, hot: int):
+    """mapInArrow: (kind, key, text) to one row for each bucket that holds prefix tokens of the record.
+
+    ``load`` holds the record's parity bitmap, then the tokens (32 bits each) and their places in the first order.
+    """
+    schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("key", pa.int64()), ("n", pa.int32()), ("load", pa.binary())])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 2048):
-                yield from one(batch.slice(start, 2048))
-
-    def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        lists = batch.column("tokens")
-        n = np.diff(lists.offsets.to_numpy())
-        tokens = lists.flatten().to_numpy(zero_copy_only=False)
-        if not len(tokens):
-            return
+            for kind, key, texts in _slices(batch):
+                n, tokens, _, _ = _sorted_sets(kind, texts, width)
+                if len(tokens):
+                    yield one(kind, key, n, tokens)
+
+    def one(kind: np.ndarray, key: np.ndarray, n: np.ndarray, tokens: np.ndarray) -> pa.RecordBatch:
         record = np.repeat(np.arange(len(n)), n)
         place = np.minimum(np.searchsorted(known, tokens), max(0, len(known) - 1))
         count = np.where(known[place] == tokens, counts[place], 0) if len(known) else np.zeros(len(tokens), np.int64)
         starts = np.cumsum(n) - n
         second = np.arange(len(tokens)) - starts[record]  # tokens come sorted: their place in the second order
         level = levels(n)
-        bits = [None] * len(n)
+        bits = [b""] * len(n)
         for v in np.unique(level):
-            own, width = np.flatnonzero(level == v), 256 * 4 ** int(v)
+            own, size = np.flatnonzero(level == v), 256 * 4 ** int(v)
             inside = level[record] == v
             row = np.searchsorted(own, record[inside])
-            marks = np.bincount(row * width + (tokens[inside] & (width - 1)), minlength=len(own) * width) & 1
-            packed = np.packbits(marks.astype(np.uint8).reshape(len(own), width), axis=1)
+            marks = np.bincount(row * size + (tokens[inside] & (size - 1)), minlength=len(own) * size) & 1
+            packed = np.packbits(marks.astype(np.uint8).reshape(len(own), size), axis=1)
             for r, b in zip(own, packed, strict=True):
                 bits[r] = b.tobytes()
         order = np.lexsort((tokens, count, record))
@@ -110,20 +221,11 @@ def postings(known: np.ndarray, counts: np.ndarray, t: float, buckets: int, hot:
         by = np.lexsort((bucket, who))
         who, token, pos, bucket = who[by], token[by], pos[by], bucket[by]
         heads = np.flatnonzero(np.r_[True, (who[1:] != who[:-1]) | (bucket[1:] != bucket[:-1])])
-        offsets = pa.array(np.r_[heads, len(who)].astype(np.int32))
-        small = pa.array(token.astype(np.uint32).view(np.int32))
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(bucket[heads].astype(np.int32)),
-                batch.column("kind").take(pa.array(who[heads])),
-                batch.column("key").take(pa.array(who[heads])),
-                pa.array(n[who[heads]].astype(np.int32)),
-                pa.array([bits[w] for w in who[heads]], pa.binary()),
-                pa.ListArray.from_arrays(offsets, small),
-                pa.ListArray.from_arrays(offsets, pa.array(pos.astype(np.int32))),
-            ],
-            schema=schema,
-        )
+        ends = np.r_[heads[1:], len(who)]
+        names, places = token.astype(np.uint32).tobytes(), pos.astype(np.uint32).tobytes()
+        load = [bits[w] + names[4 * a : 4 * b] + places[4 * a : 4 * b] for w, a, b in zip(who[heads].tolist(), heads.tolist(), ends.tolist(), strict=True)]
+        columns = (bucket[heads].astype(np.int32), kind[who[heads]].astype(np.int8), key[who[heads]], n[who[heads]].astype(np.int32))
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(load, pa.binary())], schema=schema)
 
     return emit
 
@@ -145,7 +247,10 @@ def meet(t: float):
         n, key, kind = (table.column(c).to_numpy().astype(np.int64) for c in ("n", "key", "kind"))
         level = levels(n)
         maps = {}
-        packed = table.column("bits").to_pylist()
+        load = table.column("load").to_pylist()
+        wide = 32 * 4**level
+        packed = [b[:w] for b, w in zip(load, wide.tolist(), strict=True)]
+        held = np.array([(len(b) - w) // 8 for b, w in zip(load, wide.tolist(), strict=True)])
         for v in np.unique(level):
             rows = np.flatnonzero(level >= v)
             width = 32 * 4 ** int(v)
@@ -157,10 +262,9 @@ def meet(t: float):
             row_of = np.full(len(n), -1)
             row_of[rows] = np.arange(len(rows))
             maps[int(v)] = (row_of, folded.view(np.uint64))
-        tokens = table.column("tokens").combine_chunks()
-        record = np.repeat(np.arange(len(n)), np.diff(tokens.offsets.to_numpy()))
-        token = tokens.flatten().to_numpy().astype(np.int64)
-        at = table.column("at").combine_chunks().flatten().to_numpy().astype(np.int64)
+        record = np.repeat(np.arange(len(n)), held)
+        token = np.frombuffer(b"".join(b[w : w + 4 * h] for b, w, h in zip(load, wide.tolist(), held.tolist(), strict=True)), dtype=np.uint32).astype(np.int64)
+        at = np.frombuffer(b"".join(b[w + 4 * h :] for b, w, h in zip(load, wide.tolist(), held.tolist(), strict=True)), dtype=np.uint32).astype(np.int64)
         order = np.lexsort((key[record], n[record], token))
         record, token, at = record[order], token[order], at[order]
         lists = np.cumsum(np.r_[0, token[1:] != token[:-1]]) if len(token) else token
@@ -218,45 +322,53 @@ def near_duplicates(
     ``hot`` records meet by a pair of tokens, one of each of two orders, so that their lists stay short; no link is lost.
     """
     spark = records.sparkSession
-    normal = records.filter(F.col("key").isNotNull()).select(
-        F.col("kind").cast("tinyint").alias("kind"), F.col("key").cast("long").alias("key"), normal_form(F.col("texts")).alias("normal")
+    base = records.filter(F.col("key").isNotNull()).select(
+        F.col("kind").cast("tinyint").alias("kind"), F.col("key").cast("long").alias("key"), F.array_join("texts", PART).alias("text")
     )
-    normal = spread(normal).filter(F.length("normal") > 0).withColumn("h", F.xxhash64("normal")).withColumn("g", F.hash("normal"))
-    classes = normal.groupBy("kind", "h", "g").agg(F.min("key").alias("rep"), F.first("normal").alias("normal"), F.count("*").alias("rows"))
-    classes = materialise(classes, "classes")
-    tokens = shingles(F.col("normal"), F.col("kind"), width)
-    sets = classes.select("kind", F.col("rep").alias("key"), tokens.alias("tokens")).filter(F.size("tokens") >= least)
-    frequency = sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    base = spread(base.filter(F.length("text") > 0))
+    prints = base.mapInArrow(fingerprints(width, least), "kind tinyint, key long, h long, g long").distinct()
+    lead = prints.groupBy("kind", "h", "g").agg(F.min("key").alias("rep"))
+    members = materialise(prints.join(lead, ["kind", "h", "g"]).select("kind", "key", "rep"), "members")
+    copies = members.filter("key <> rep").select("kind", "key")
+    frequency = base.mapInArrow(frequencies(width, least), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     frequency = materialise(frequency.filter("n > 1"), "frequency")
     total = frequency.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     floor = max(8, math.ceil(total / KNOWN_TOKENS))  # at most total / floor tokens are that frequent
     known = frequency.filter(F.col("n") >= floor).orderBy("token").toArrow()
-    names, counts = (known.column(c).to_numpy() for c in ("token", "n"))
-    shared = spark.sparkContext.broadcast((names.astype(np.int64), counts.astype(np.int64)))
-    buckets = max(12, classes.count() // BUCKET_RECORDS)
+    names, counts = (known.column(c).to_numpy().astype(np.int64) for c in ("token", "n"))
+    shared = spark.sparkContext.broadcast((names, counts))
+    distinct, extra = members.filter("key = rep").count(), copies.count()
+    buckets = max(12, distinct // BUCKET_RECORDS)
+    leaders = base.join(members.filter("key = rep").select("kind", "key").distinct(), ["kind", "key"], "left_semi")
+    if extra <= SMALL_ROWS:  # every record but the copies; records without enough runs have too short sets to matter
+        leaders = base.join(F.broadcast(copies), ["kind", "key"], "left_anti")
 
     def emit(batches):
-        yield from postings(*shared.value, threshold, buckets, hot)(batches)
+        yield from postings(*shared.value, threshold, width, buckets, hot)(batches)
 
-    routed = sets.mapInArrow(emit, "bucket int, kind tinyint, key long, n int, bits binary, tokens array<int>, at array<int>")
+    routed = leaders.mapInArrow(emit, "bucket int, kind tinyint, key long, n int, load binary").filter(F.col("n") >= least)
     met = routed.repartitionById(buckets, F.col("bucket")).mapInArrow(meet(threshold), "kind tinyint, a long, b long").distinct()
     met = materialise(met, "met")
     ids = met.select("kind", F.explode(F.array("a", "b")).alias("key")).distinct()
-    size = F.size("tokens")
-    cut = size - F.ceil(F.lit(threshold) * size - EPS).cast("int") + 1
-    compared = sets.join(ids, ["kind", "key"], "left_semi").select(
-        "kind", "key", "tokens", F.slice("tokens", 1, cut).alias("up"), F.slice("tokens", size - cut + 1, cut).alias("down")
-    )
-    sides = [compared.select("kind", F.col("key").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("tokens", "up", "down")]) for x in "ab"]
+    if met.count() <= SMALL_ROWS:
+        ids = F.broadcast(ids)
+    sets = base.join(ids, ["kind", "key"], "left_semi").mapInArrow(sets_of(width), "kind tinyint, key long, tokens array<long>")
+    sets = sets.dropDuplicates(["kind", "key"])
+    sides = [sets.select("kind", F.col("key").alias(x), F.col("tokens").alias(f"tokens_{x}")) for x in "ab"]
     both = met.join(sides[0], ["kind", "a"]).join(sides[1], ["kind", "b"])
-    both = both.filter(F.arrays_overlap("up_a", "up_b") & F.arrays_overlap("down_a", "down_b"))
-    common = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    either = F.size("tokens_a") + F.size("tokens_b") - F.col("common")
-    scored = both.withColumn("common", common).select("kind", "a", "b", (F.col("common") / either).alias("similarity"), "common", either.alias("either"))
-    pairs = scored.filter(F.col("common") >= F.lit(threshold) * F.col("either") - EPS).drop("common", "either")
-    large = classes.filter(F.size(tokens) >= least).select("kind", "h", "g", "rep")
-    members = normal.select("kind", "key", "h", "g").distinct().join(large, ["kind", "h", "g"]).select("kind", "key", "rep")
-    return pairs, members
+
+    def cut(tokens: str, down: bool) -> Column:
+        """The prefix of a set under the second (ascending) or third (descending) order."""
+        size = F.size(tokens)
+        length = size - F.ceil(F.lit(threshold) * size - EPS).cast("int") + 1
+        return F.slice(tokens, size - length + 1 if down else F.lit(1), length)
+
+    for down in (False, True):
+        both = both.filter(F.arrays_overlap(cut("tokens_a", down), cut("tokens_b", down)))
+    scored = both.withColumn("common", F.size(F.array_intersect("tokens_a", "tokens_b")))
+    scored = scored.withColumn("either", F.size("tokens_a") + F.size("tokens_b") - F.col("common"))
+    pairs = scored.filter(F.col("common") >= F.lit(threshold) * F.col("either") - EPS)
+    return pairs.select("kind", "a", "b", (F.col("common") / F.col("either")).alias("similarity")), members
 
 
 def expand(pairs: DataFrame, members: DataFrame) -> DataFrame:
