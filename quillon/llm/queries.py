@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import neardup, neighbours, split, together
+from quillon.llm import garbled, neardup, neighbours, split, together
 from quillon.session import prepare, table
 
 
@@ -67,6 +67,16 @@ def p7_found(spark: SparkSession, directory: str) -> DataFrame:
     return pairs.select(_kind_name(), F.col("a").alias("key_a"), F.col("b").alias("key_b"))
 
 
+def p10_repair(spark: SparkSession, directory: str) -> DataFrame:
+    """Garbled documents with the original text, where it can still be restored."""
+    return garbled.repair_texts(table(spark, directory, "documents"), "doc_id", "text")
+
+
+def p10_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Documents read, as a whole or in part, with the wrong encoding."""
+    return p10_repair(spark, directory).select("doc_id").distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("p") and k[1].isdigit()}
 
