@@ -314,7 +314,7 @@ def repair_line(line: str) -> tuple[str, list[str], int, int]:
     total, wide = float(cost.sum()), sum(c > "\x7f" for c in line)
     if not wide or (cost.max() < HOT and total < HOT_LINE * wide) or total < MARGIN:
         return line, [], 0, 0
-    bare = QUOTED.sub(lambda m: "x" if len(search(m[0], " ", " ")[0]) == 1 else m[0], line)
+    bare = QUOTED.sub(lambda m: "x" if len(new := search(m[0], " ", " ")[0]) == 1 and new.isalpha() else m[0], line)
     if bare != line and not repair_line(bare)[2]:
         return line, [], 1, 1
     best, least, how, count, quoted = line, total, [], 0, 0
