@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import garbled, neardup, neighbours, split, together
+from quillon.llm import garbled, language, neardup, neighbours, split, together
 from quillon.session import prepare, table
 
 
@@ -34,6 +34,29 @@ def p2_found(spark: SparkSession, directory: str) -> DataFrame:
     return found.select(F.least("key_a", "key_b").alias("chunk_a"), F.greatest("key_a", "key_b").alias("chunk_b")).distinct()
 
 
+def language_network(spark: SparkSession, directory: str) -> language.Network | None:
+    """The network fitted on labelled documents."""
+    labels = F.broadcast(table(spark, directory, "lang_labels").select(F.col("alias").alias("lang"), F.col("lang").alias("code")))
+    return language.fit(table(spark, directory, "documents").join(labels, "lang"), "text", "code")
+
+
+def p3_segments(spark: SparkSession, directory: str) -> DataFrame:
+    """Every stretch of every chunk text in one language, with its confidence."""
+    return language.segments(table(spark, directory, "chunks"), "chunk_no", "text", language_network(spark, directory)).distinct()
+
+
+def p3_labels(spark: SparkSession, directory: str) -> DataFrame:
+    """Every document with its label filled or corrected."""
+    documents = table(spark, directory, "documents")
+    found = language.segments(documents, "doc_id", "text", language_network(spark, directory))
+    return language.relabel(documents, "doc_id", "lang", table(spark, directory, "lang_labels"), found)
+
+
+def p3_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Documents with a missing or wrong label or in several languages, with each language."""
+    return p3_labels(spark, directory).filter("changed").select("doc_id", F.explode("langs").alias("lang"))
+
+
 def p5_pairs(spark: SparkSession, directory: str) -> DataFrame:
     """Every pair of names with the number of results that show both, and its lift."""
     found = together.pairs_together(table(spark, directory, "search_results"), "result_no", "entities", min_count=2)
