@@ -52,11 +52,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def token_sets(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def token_sets(texts: list[str], kinds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Sets of runs of ``width`` words of records (their texts joined by PART), all records at once.
 
-    Returns the size of each record's set, the sets one after another (64-bit hashes, sorted), and two hashes of
-    each record's words in order. Words are what lower-casing, splitting at blanks and dropping everything but
+    Returns the size of each record's set, the sets one after another (52-bit hashes, sorted; those of records of
+    different kinds differ), and two 64-bit hashes of each record's words in order. At most 4,096 records a call. Words are what lower-casing, splitting at blanks and dropping everything but
     letters and digits leaves.
     """
     codes = np.frombuffer(RECORD.join(texts).lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
@@ -80,15 +80,14 @@ def token_sets(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray, np
     n = len(word) - width + 1
     if n < 1:
         return sizes, np.zeros(0, np.int64), first, second
-    run = np.zeros(n, np.uint64)
+    run = _mix(kinds.astype(np.uint64) + np.uint64(0xA0761D6478BD642F))[record[:n]]
     for d in range(width):
         run = _mix(run * np.uint64(0xD1342543DE82EF95) + word[d : d + n])
     same = part[:n] == part[width - 1 :]
-    token, owner = run[same].view(np.int64), record[:n][same]
-    order = np.lexsort((token, owner))
-    token, owner = token[order], owner[order]
-    fresh = np.r_[True, (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])] if len(token) else np.zeros(0, bool)
-    return np.bincount(owner[fresh], minlength=len(texts)), token[fresh], first, second
+    both = np.sort(record[:n][same].astype(np.uint64) << np.uint64(52) | run[same] >> np.uint64(12))
+    both = both[np.r_[True, both[1:] != both[:-1]]] if len(both) else both
+    token = (both & np.uint64((1 << 52) - 1)).astype(np.int64)
+    return np.bincount((both >> np.uint64(52)).astype(np.int64), minlength=len(texts)), token, first, second
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, list[str]]]:
@@ -97,31 +96,18 @@ def _slices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, lis
     texts, start, size = batch.column(2).to_pylist(), 0, 0
     for i, t in enumerate(texts):
         size += len(t)
-        if size > 2_000_000 or i + 1 == len(texts):
+        if size > 2_000_000 or i - start > 4000 or i + 1 == len(texts):
             yield kind[start : i + 1], key[start : i + 1], texts[start : i + 1]
             start, size = i + 1, 0
 
 
-def _salted(tokens: np.ndarray, sizes: np.ndarray, kind: np.ndarray) -> np.ndarray:
-    """Tokens of records of different kinds never meet; the sets stay sorted only within a kind's own order."""
-    salt = _mix(kind.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)).view(np.int64)
-    return tokens ^ np.repeat(salt, sizes)
-
-
-def _sorted_sets(kind: np.ndarray, texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    sizes, tokens, first, second = token_sets(texts, width)
-    tokens = _salted(tokens, sizes, kind)
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    return sizes, tokens[np.lexsort((tokens, owner))], first, second
-
-
 def fingerprints(width: int, least: int):
     """mapInArrow: (kind, key, text) to two hashes of the words, of records with enough runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for kind, key, texts in _slices(batch):
-                sizes, _, first, second = token_sets(texts, width)
+                sizes, _, first, second = token_sets(texts, kind, width)
                 use = sizes >= max(least, 1)
                 yield pa.RecordBatch.from_arrays([pa.array(x[use]) for x in (kind, key, first, second)], names=["kind", "key", "h", "g"])
 
@@ -135,7 +121,7 @@ def frequencies(width: int, least: int):
         held = []
         for batch in batches:
             for kind, _, texts in _slices(batch):
-                sizes, tokens, _, _ = _sorted_sets(kind, texts, width)
+                sizes, tokens, _, _ = token_sets(texts, kind, width)
                 held.append(tokens[np.repeat(sizes >= least, sizes)])
             if sum(map(len, held)) > 4 * BLOCK:
                 yield out(held)
@@ -155,7 +141,7 @@ def sets_of(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for kind, key, texts in _slices(batch):
-                sizes, tokens, _, _ = _sorted_sets(kind, texts, width)
+                sizes, tokens, _, _ = token_sets(texts, kind, width)
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(tokens))
                 yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(key), lists], names=["kind", "key", "tokens"])
 
@@ -168,8 +154,8 @@ def prefix(n, share: float):
 
 
 def levels(n: np.ndarray) -> np.ndarray:
-    """Size class of a record's parity bitmap: 256 bits up to 256 tokens, four times as many for four times as many."""
-    return np.maximum(0, np.ceil(np.log2(np.maximum(n, 1) / 256) / 2 - EPS)).astype(np.int64)
+    """Size class of a record's parity bitmap: 256 bits up to 128 tokens, four times as many for four times as many."""
+    return np.maximum(0, np.ceil(np.log2(np.maximum(n, 1) / 128) / 2 - EPS)).astype(np.int64)
 
 
 def postings(known: np.ndarray, counts: np.ndarray, t: float, width: int, buckets: int, hot: int):
@@ -182,7 +168,7 @@ def postings(known: np.ndarray, counts: np.ndarray, t: float, width: int, bucket
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for kind, key, texts in _slices(batch):
-                n, tokens, _, _ = _sorted_sets(kind, texts, width)
+                n, tokens, _, _ = token_sets(texts, kind, width)
                 if len(tokens):
                     yield one(kind, key, n, tokens)
 
@@ -202,7 +188,8 @@ def postings(known: np.ndarray, counts: np.ndarray, t: float, width: int, bucket
             packed = np.packbits(marks.astype(np.uint8).reshape(len(own), size), axis=1)
             for r, b in zip(own, packed, strict=True):
                 bits[r] = b.tobytes()
-        order = np.lexsort((tokens, count, record))
+        rare_first = np.minimum(count, (1 << 20) - 1) << 32 | tokens >> 20
+        order = np.argsort(record.astype(np.uint64) << np.uint64(52) | rare_first.astype(np.uint64), kind="stable")
         at = np.arange(len(tokens))
         first = order[at - starts[record] < prefix(n, t)[record]]
         place_in_first = np.empty(len(tokens), np.int64)
@@ -217,7 +204,7 @@ def postings(known: np.ndarray, counts: np.ndarray, t: float, width: int, bucket
             mixed = (np.repeat(token[crowded], times) * np.int64(-7046029254386353131)) ^ tokens[other[pick]]
             who, pos = np.r_[who[~crowded], np.repeat(who[crowded], times)], np.r_[pos[~crowded], np.repeat(pos[crowded], times)]
             token = np.r_[token[~crowded], mixed]
-        bucket = ((token >> 33) & 0x7FFFFFFF) % buckets
+        bucket = ((token >> 32) & 0xFFFFF) % buckets
         by = np.lexsort((bucket, who))
         who, token, pos, bucket = who[by], token[by], pos[by], bucket[by]
         heads = np.flatnonzero(np.r_[True, (who[1:] != who[:-1]) | (bucket[1:] != bucket[:-1])])
