@@ -67,7 +67,8 @@ def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         kind[ord(c)], kind[ord(c.upper())] = RU, RU_UP
     kind[0x2010:0x2040] = SIGN
     kind[[ord(c) for c in "¿¡«“‘„‹"]] = OPEN
-    kind[[ord(c) for c in "»”’›…\xa0–—·  "]] = CLOSE
+    kind[[ord(c) for c in "»”’›…–—·"]] = CLOSE
+    kind[[0xA0, 0x2007, 0x2009, 0x202F]] = CLOSE
     kind[0x20A0:0x2600] = SYMBOL
     kind[0x20AC] = kind[0x2122] = SIGN
     kind[[0x200B, 0x200C, 0x200D, 0x200E, 0x200F, 0x2060, 0xFEFF, 0xAD]] = OTHER

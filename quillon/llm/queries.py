@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import garbled, language, neardup, neighbours, split, together
+from quillon.llm import garbled, language, lookalike, neardup, neighbours, split, together
 from quillon.session import prepare, table
 
 
@@ -69,7 +69,25 @@ def p5_found(spark: SparkSession, directory: str) -> DataFrame:
     return found.select("name_a", "name_b")
 
 
-KINDS = {"document": 0, "entity": 1}
+#: Changes that make a chunk a case: all but those that no character of its own shows.
+SHOWN = ["invisible", "space", "width", "composition", "mixed_script"]
+
+
+def p6_forms(spark: SparkSession, directory: str) -> DataFrame:
+    """Chunk texts and entity names in their one form, with the changes made."""
+    chunks = lookalike.forms(table(spark, directory, "chunks"), "chunk_no", "text")
+    names = lookalike.forms(table(spark, directory, "entities"), "entity_no", "name")
+    both = chunks.select(F.lit("chunk").alias("rec_kind"), F.col("chunk_no").alias("key"), "form", F.array_join("changes", ",").alias("changes"))
+    return both.unionByName(names.select(F.lit("entity").alias("rec_kind"), F.col("entity_no").alias("key"), "form", F.array_join("changes", ",").alias("changes"))).distinct()
+
+
+def p6_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Pairs of entities whose names look the same, and chunks with characters in another form."""
+    pairs = lookalike.same_looking(table(spark, directory, "entities"), "entity_no", "name")
+    odd = lookalike.forms(table(spark, directory, "chunks"), "chunk_no", "text", changed_only=True)
+    odd = odd.filter(F.arrays_overlap("changes", F.array(*map(F.lit, SHOWN)))).select("chunk_no").distinct()
+    found = pairs.select(F.lit("entity").alias("rec_kind"), "key_a", "key_b")
+    return found.unionByName(odd.select(F.lit("chunk").alias("rec_kind"), F.col("chunk_no").alias("key_a"), F.col("chunk_no").alias("key_b")))
 
 
 def edited_copies(spark: SparkSession, directory: str, threshold: float = 0.6, width: int = 3, least: int = 20) -> tuple[DataFrame, DataFrame]:
