@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import garbled, language, lookalike, neardup, neighbours, split, together
+from quillon.llm import garbled, language, lookalike, mixing, neardup, neighbours, packing, split, together
 from quillon.session import prepare, table
 
 
@@ -108,6 +108,28 @@ def p7_found(spark: SparkSession, directory: str) -> DataFrame:
     return pairs.select(_kind_name(), F.col("a").alias("key_a"), F.col("b").alias("key_b"))
 
 
+def p8_pack(spark: SparkSession, directory: str) -> DataFrame:
+    """Every document's place in containers of each capacity."""
+    counts = packing.counted(table(spark, directory, "documents"), "doc_id", "text")
+    return packing.pack(counts, table(spark, directory, "pack_limits")).withColumnRenamed("key", "doc_id")
+
+
+def p8_fill(spark: SparkSession, directory: str) -> DataFrame:
+    """How full the containers of each capacity are."""
+    return packing.fill(p8_pack(spark, directory), table(spark, directory, "pack_limits"))
+
+
+def p9_mix(spark: SparkSession, directory: str) -> DataFrame:
+    """The documents used, and how often, so that each source has its target share."""
+    counts = packing.counted(table(spark, directory, "documents"), "doc_id", "text", ("source",))
+    return mixing.mix(counts, table(spark, directory, "mix_targets")).withColumnRenamed("key", "doc_id")
+
+
+def p9_shares(spark: SparkSession, directory: str) -> DataFrame:
+    """The share that each source reaches."""
+    return mixing.shares(p9_mix(spark, directory), table(spark, directory, "mix_targets"))
+
+
 def p10_repair(spark: SparkSession, directory: str) -> DataFrame:
     """Garbled documents with the original text, where it can still be restored."""
     return garbled.repair_texts(table(spark, directory, "documents"), "doc_id", "text")
