@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import garbled, language, lookalike, mixing, neardup, neighbours, packing, split, together
+from quillon.llm import garbled, language, lookalike, mixing, neardup, neighbours, packing, split, together, variants
 from quillon.session import prepare, table
 
 
@@ -57,6 +57,20 @@ def p3_found(spark: SparkSession, directory: str) -> DataFrame:
     return p3_labels(spark, directory).filter("changed").select("doc_id", F.explode("langs").alias("lang"))
 
 
+def p4_entities(spark: SparkSession, directory: str) -> DataFrame:
+    """Every spelling of a person or organisation that has several, with the entity it means."""
+    relations = table(spark, directory, "relations")
+    names = table(spark, directory, "entities").select("name")
+    for end in ("from_name", "to_name"):
+        names = names.unionByName(relations.select(F.col(end).alias("name")))
+    return variants.link_names(names)
+
+
+def p4_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Pairs of spellings of the same person or organisation."""
+    return variants.pairs(p4_entities(spark, directory))
+
+
 def p5_pairs(spark: SparkSession, directory: str) -> DataFrame:
     """Every pair of names with the number of results that show both, and its lift."""
     found = together.pairs_together(table(spark, directory, "search_results"), "result_no", "entities", min_count=2)
