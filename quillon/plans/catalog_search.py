@@ -1 +1,179 @@
-"""Further queries."""
+"""Search queries: nearest neighbours, BM25, boosts, hybrid scores."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from quillon.operators import crosslingual, fulltext, graph, hybrid, vector
+from quillon.plans.catalog import query
+from quillon.schema import memory
+from quillon.session import materialise, spread, table
+
+
+@query
+def knn_top5(spark, directory):
+    """The 5 nearest of every 50th vector."""
+    base = table(spark, directory, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    found = vector.knn(base, base.filter("id % 50 = 0"), 5, 64)
+    return found.select("query", "id", "rank", F.round("distance", 6).alias("distance"))
+
+
+def _vectors(m, kind: str) -> DataFrame:
+    """Vectors (id, v) of chunks of a kind that can be searched."""
+    v = F.col("embedding")
+    fine = v.isNotNull() & (F.size(v) == 64) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
+    return m.chunks.filter((F.col("chunk_type") == kind) & fine).select("chunk_id", "chunk_no", "entity_id", v.alias("v"))
+
+
+@query
+def search_nodes(spark, directory):
+    """The 10 entities nearest to every 50th entity chunk, with their similarity."""
+    m = memory(spark, directory)
+    base = _vectors(m, "entity").select(F.col("chunk_no").alias("id"), "v", "entity_id")
+    found = vector.knn(base.select("id", "v"), base.filter("id % 50 = 0").select("id", "v"), 10, 64)
+    named = found.join(base.select("id", "entity_id"), "id")
+    return named.select("query", "entity_id", "rank", F.round(vector.similarity(F.col("distance")), 6).alias("similarity"))
+
+
+@query
+def matched_and_connected(spark, directory):
+    """Entities of more than 0.4 similarity to every 50th entity chunk, and the names one edge away."""
+    m = memory(spark, directory)
+    base = _vectors(m, "entity").select(F.col("chunk_no").alias("id"), "v", "entity_id")
+    found = vector.knn(base.select("id", "v"), base.filter("id % 50 = 0").select("id", "v"), 10, 64)
+    near = found.filter(vector.similarity(F.round("distance", 9)) > 0.4).join(base.select("id", "entity_id"), "id")
+    names = m.entities.select(F.col("id").alias("entity_id"), "name")
+    matched = near.join(names, "entity_id").select("query", "name", F.lit("matched").alias("how")).distinct()
+    hop = near.select("query", "entity_id").distinct().join(graph.one_hop(m).withColumnRenamed("id", "entity_id"), "entity_id")
+    return matched.unionByName(hop.select("query", F.col("connected").alias("name"), F.lit("connected").alias("how")).distinct())
+
+
+@query
+def temporal_filter(spark, directory):
+    """Of the entities nearest to every 50th entity chunk those created in a window: filtered behind the limit, as text."""
+    top = search_nodes(spark, directory).join(memory(spark, directory).entities.select(F.col("id").alias("entity_id"), "created_at"), "entity_id")
+    return top.filter((F.col("created_at") >= "2024-06-01") & (F.col("created_at") <= "2024-12-31")).select("query", "entity_id", "created_at")
+
+
+@query
+def list_documents(spark, directory):
+    """All documents, the latest first."""
+    m = memory(spark, directory)
+    return m.documents.select("id", "created_at", "metadata").orderBy(F.desc("created_at"), "id")
+
+
+@query
+def best_per_chunk(spark, directory):
+    """The nearest hit of each chunk in each session."""
+    hits = table(spark, directory, "search_results").filter("session_id IS NOT NULL AND chunk_id IS NOT NULL AND distance IS NOT NULL")
+    best = vector.best_per_key(hits.select("session_id", "chunk_id", "distance", "result_no"), ["session_id", "chunk_id"], "distance")
+    return best
+
+
+@query
+def similarity_threshold(spark, directory):
+    hits = table(spark, directory, "search_results").dropDuplicates(["result_no"])
+    near = vector.similarity(F.col("distance"))
+    return hits.filter(near > 0.4).select("result_no", F.round(near, 6).alias("similarity"))
+
+
+@query
+def session_top5(spark, directory):
+    """The 5 results of the highest score of each session."""
+    hits = table(spark, directory, "search_results").dropDuplicates(["result_no"]).filter("session_id IS NOT NULL AND hybrid_score IS NOT NULL")
+    order = Window.partitionBy("session_id").orderBy(F.desc("hybrid_score"), "result_no")
+    return hits.withColumn("rank", F.row_number().over(order)).filter("rank <= 5").select("session_id", "rank", "result_no")
+
+
+def _questions(m) -> DataFrame:
+    """Every 50th entity asks with its name."""
+    return m.entities.filter("entity_no % 50 = 0").select(F.col("entity_no").alias("query"), "name")
+
+
+@query
+def bm25_top15(spark, directory):
+    m = memory(spark, directory)
+    found = fulltext.bm25(m.chunks, _questions(m), "query", "name")
+    return found.select("query", "chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query
+def lexical_boost(spark, directory):
+    m = memory(spark, directory)
+    found = fulltext.bm25(m.chunks, _questions(m), "query", "name")
+    return found.select("query", "chunk_id", F.round(hybrid.lexical_boost(F.col("rank")), 9).alias("boost"))
+
+
+@query
+def document_frequencies(spark, directory):
+    """Chunks and occurrences of every term of the full-text index."""
+    posts, _ = fulltext.postings(memory(spark, directory).chunks)
+    return posts.groupBy("term").agg(F.countDistinct("chunk_id").alias("chunks"), F.count("*").alias("n"))
+
+
+def _chunk_names(spark, directory) -> DataFrame:
+    """(chunk_id, name): entities shown with a chunk."""
+    shown = table(spark, directory, "search_results").filter("chunk_id IS NOT NULL").select("chunk_id", F.explode("entities").alias("name"))
+    return shown.filter("name <> ''").distinct()
+
+
+@query
+def graph_boost(spark, directory):
+    """Decayed boost of every chunk for the names shown with it: 0.3 for hubs (30 edges and more), 0.15 for others."""
+    m = memory(spark, directory)
+    hubs = graph.both_ways(m.relationships).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n")).filter("n >= 30").join(m.entities.select("id", "name"), "id").select("name", F.lit(True).alias("hub"))
+    scored = _chunk_names(spark, directory).join(hubs, "name", "left").select("chunk_id", F.when(F.col("hub"), 0.3).otherwise(0.15).alias("s"))
+    per = scored.groupBy("chunk_id").agg(F.collect_list("s").alias("scores"))
+    return per.select("chunk_id", F.round(hybrid.decayed(F.col("scores")), 9).alias("boost"))
+
+
+@query
+def hybrid_search(spark, directory):
+    """The 5 best chunks of every 50th entity: vectors and BM25 of its name, boosted by the graph."""
+    m = memory(spark, directory)
+    asks = materialise(_questions(m).join(m.entities.select(F.col("entity_no").alias("query"), F.col("id").alias("entity_id")), "query"), "asks")
+    own = _vectors(m, "entity")
+    ask_v = own.join(asks, "entity_id").groupBy("query").agg(F.min_by("v", "chunk_no").alias("v"))
+    base = _vectors(m, "document").select(F.col("chunk_no").alias("id"), "v", "chunk_id")
+    shift = 1 << 40  # queries and chunks are numbered apart
+    near = vector.knn(base.select("id", "v"), ask_v.select((F.col("query") + shift).alias("id"), "v"), 15, 64).join(base.select("id", "chunk_id"), "id")
+    near = near.select((F.col("query") - shift).alias("query"), "chunk_id", "distance")
+    lexical = fulltext.bm25(m.chunks.filter("chunk_type = 'document'"), asks.select("query", "name"), "query", "name")
+    found = materialise(hybrid.pool(near, lexical, "query"), "pool")
+    hops = graph.one_hop(m).join(asks.select(F.col("entity_id").alias("id"), "query"), "id").groupBy("query").agg(F.collect_set("connected").alias("connected"))
+    named = found.join(_chunk_names(spark, directory).groupBy("chunk_id").agg(F.collect_set("name").alias("names")), "chunk_id", "left")
+    named = named.join(asks.select("query", "name"), "query").join(hops, "query", "left")
+    empty = F.array().cast("array<string>")
+    scores = F.transform(F.coalesce("names", empty), lambda n: hybrid.entity_score(n, F.col("name"), F.array("name"), F.array("name"), F.coalesce("connected", empty)))
+    scored = hybrid.final_score(named.withColumn("boost", hybrid.graph_boost(F.lit("document"), scores)))
+    return hybrid.top(scored, "query").select("query", "chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query
+def content_summaries(spark, directory):
+    """The best sentences of every document chunk, weighed by the names shown with it."""
+    from quillon.functions.text import sentences
+
+    m = memory(spark, directory)
+    names = _chunk_names(spark, directory).groupBy("chunk_id").agg(F.collect_set("name").alias("names"))
+    rows = spread(m.chunks.filter("chunk_type = 'document' AND text IS NOT NULL").select("chunk_id", "text")).join(names, "chunk_id")
+    said = rows.withColumn("said", sentences(F.col("text"))).filter("size(said) > 0")
+    scored = said.withColumn("scores", F.transform("said", lambda s: F.round(hybrid.importance(s, F.col("names")), 6)))
+    return scored.select("chunk_id", hybrid.summary(F.col("said"), F.col("scores")).alias("s")).select("chunk_id", "s.text", "s.score")
+
+
+@query
+def native_names(spark, directory):
+    return crosslingual.native_names(memory(spark, directory).entities)
+
+
+@query
+def query_variants(spark, directory):
+    """Names of entities with every term of the relation vocabulary in other words."""
+    m = memory(spark, directory)
+    pairs = m.relationships.select(F.explode(F.array("source_entity", "target_entity")).alias("id")).distinct().join(m.entities.select("id", "name", "entity_type"), "id")
+    pairs = pairs.select(F.col("name").alias("term"), F.lower("entity_type").alias("other")).distinct()
+    pairs = pairs.groupBy("term").agg(F.min("other").alias("other"))
+    return crosslingual.variant_rows(m.entities.select("id", F.concat(F.lit("about "), "name").alias("text")), "id", "text", pairs)

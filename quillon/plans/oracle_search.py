@@ -1,3 +1,91 @@
-"""Further statements."""
+"""Statements of the search queries."""
 
-SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from quillon.plans.oracle import BASE
+
+FIELD = r"list_filter(regexp_split_to_array(CASE WHEN regexp_matches({0}, '[À-ɏḀ-ỿ]') THEN {1} ELSE {0} END, '[^\pL\pN\x{{E000}}-\x{{F8FF}}]+'), lambda t: t <> '')"
+
+
+def fold(x: str) -> str:
+    low = f"regexp_replace(lower({x}), '[̀-ͯ]', '', 'g')"
+    bare = f"array_to_string(list_transform(string_split({low}, ''), lambda c: CASE WHEN regexp_matches(c, '[À-ɏḀ-ỿ]') THEN strip_accents(c) ELSE c END), '')"
+    return f"list_filter(regexp_split_to_array(CASE WHEN regexp_matches({low}, '[À-ɏḀ-ỿ]') THEN {bare} ELSE {low} END, '[^\\pL\\pN\\x{{E000}}-\\x{{F8FF}}]+'), lambda t: t <> '')"
+
+
+def posts(chunks: str) -> str:
+    return f"""
+, fld AS MATERIALIZED (SELECT chunk_id, 0 AS field, {fold("coalesce(text, '')")} AS l FROM {chunks} UNION ALL SELECT chunk_id, 1, {fold("chunk_id")} FROM {chunks}),
+post AS MATERIALIZED (SELECT chunk_id, field, unnest(l) AS term, unnest(range(len(l))) AS pos FROM fld),
+size AS (SELECT chunk_id, sum(len(l)) AS length FROM fld GROUP BY chunk_id),
+stat AS (SELECT count(*) AS n, avg(length) AS mean FROM size)
+"""
+
+
+def bm25(chunks: str) -> str:
+    return posts(chunks) + f"""
+, ask AS (SELECT entity_no AS query, name FROM ent WHERE entity_no % 50 = 0),
+wrd AS (SELECT query, unnest(l) AS w, unnest(range(len(l))) AS p FROM (SELECT query, list_filter(regexp_split_to_array(regexp_replace(name, '["*()\\-]', ' ', 'g'), '\\s+'), lambda t: t <> '') AS l FROM ask)),
+phr AS (SELECT query, p, {fold("w")} AS l FROM wrd),
+wanted AS (SELECT query, l, count(*) AS times FROM phr WHERE len(l) > 0 GROUP BY ALL),
+part AS (SELECT l, unnest(l) AS term, unnest(range(len(l))) AS k FROM (SELECT DISTINCT l FROM wanted)),
+hit AS (SELECT l, chunk_id, field, pos - k AS start FROM post JOIN part USING (term) GROUP BY ALL HAVING count(*) = len(l)),
+freq AS (SELECT l, chunk_id, count(*) AS f FROM hit GROUP BY ALL),
+dfs AS (SELECT l, CASE WHEN ln((n - count(*) + 0.5) / (count(*) + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - count(*) + 0.5) / (count(*) + 0.5)) END AS idf FROM freq, stat GROUP BY l, n),
+sco AS (SELECT query, f.chunk_id, sum(-idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * length / mean)) * times) AS score
+  FROM freq f JOIN dfs USING (l) JOIN size s ON s.chunk_id = f.chunk_id JOIN wanted USING (l), stat GROUP BY ALL),
+lex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9), chunk_id) AS rank FROM sco) WHERE rank <= 15)
+"""
+
+
+VEC = """
+, vec AS (SELECT chunk_id, chunk_no, chunk_type, entity_id, embedding::DOUBLE[] AS v FROM chunk WHERE len(embedding) = 64
+  AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0)
+"""
+NODES = BASE + VEC + """
+, enn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(distance, 9), id) AS rank FROM (
+    SELECT a.chunk_no AS query, b.chunk_no AS id, b.entity_id, list_distance(a.v, b.v) AS distance FROM vec a JOIN vec b ON a.chunk_no <> b.chunk_no
+    WHERE a.chunk_type = 'entity' AND b.chunk_type = 'entity' AND a.chunk_no % 50 = 0)) WHERE rank <= 10)
+"""
+SHOWN = """
+, cn AS (SELECT DISTINCT chunk_id, name FROM (SELECT chunk_id, unnest(entities) AS name FROM search_results WHERE chunk_id IS NOT NULL) WHERE name <> '')
+"""
+HITS = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY result_no ORDER BY received_at) AS r FROM search_results) WHERE r = 1)"
+
+SQL = {
+    "knn_top5": """SELECT query, id, CAST(rank AS INTEGER) AS rank, round(distance, 6) AS distance FROM (
+        SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(distance, 9), id) AS rank FROM (
+          SELECT a.vec_id AS query, b.vec_id AS id, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS distance FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)) WHERE rank <= 5""",
+    "search_nodes": NODES + "SELECT query, entity_id, CAST(rank AS INTEGER) AS rank, round(greatest(0, 1 - distance / 2), 6) AS similarity FROM enn",
+    "matched_and_connected": NODES + """, near AS (SELECT DISTINCT query, entity_id FROM enn WHERE greatest(0, 1 - round(distance, 9) / 2) > 0.4)
+        SELECT DISTINCT query, name, 'matched' AS how FROM near JOIN ent ON ent.id = entity_id
+        UNION ALL SELECT DISTINCT query, e.name, 'connected' FROM near n JOIN ent s ON s.id = n.entity_id JOIN twoway t ON t.a = n.entity_id JOIN ent e ON e.id = t.b""",
+    "temporal_filter": NODES + "SELECT query, entity_id, created_at FROM enn JOIN ent ON ent.id = entity_id WHERE created_at >= '2024-06-01' AND created_at <= '2024-12-31'",
+    "list_documents": BASE + "SELECT id, created_at, metadata FROM doc ORDER BY created_at DESC NULLS LAST, id",
+    "best_per_chunk": """SELECT session_id, chunk_id, distance, result_no FROM (SELECT *, row_number() OVER (PARTITION BY session_id, chunk_id ORDER BY distance, result_no) AS r
+        FROM search_results WHERE session_id IS NOT NULL AND chunk_id IS NOT NULL AND distance IS NOT NULL) WHERE r = 1""",
+    "similarity_threshold": f"SELECT result_no, round(greatest(0, 1 - distance / 2), 6) AS similarity FROM {HITS} WHERE greatest(0, 1 - distance / 2) > 0.4",
+    "session_top5": f"""SELECT session_id, CAST(rank AS INTEGER) AS rank, result_no FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY hybrid_score DESC, result_no) AS rank
+        FROM {HITS} WHERE session_id IS NOT NULL AND hybrid_score IS NOT NULL) WHERE rank <= 5""",
+    "bm25_top15": BASE + bm25("chunk") + "SELECT query, chunk_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM lex",
+    "lexical_boost": BASE + bm25("chunk") + "SELECT query, chunk_id, round(1.0::DOUBLE / (60 + rank), 9) AS boost FROM lex",
+    "document_frequencies": BASE + posts("chunk") + "SELECT term, count(DISTINCT chunk_id) AS chunks, count(*) AS n FROM post GROUP BY term",
+    "graph_boost": BASE + SHOWN + """, hub AS (SELECT DISTINCT e.name FROM (SELECT a FROM twoway GROUP BY a HAVING count(*) >= 30) t JOIN ent e ON e.id = t.a),
+        s AS (SELECT chunk_id, CASE WHEN name IN (SELECT name FROM hub) THEN 0.3 ELSE 0.15 END::DOUBLE AS s FROM cn),
+        o AS (SELECT chunk_id, s, row_number() OVER (PARTITION BY chunk_id ORDER BY s DESC) AS r FROM s)
+        SELECT chunk_id, round(least(0.4, sum(s * pow(0.5, r - 1))), 9) AS boost FROM o GROUP BY chunk_id""",
+    "hybrid_search": BASE + ", dchunk AS (SELECT * FROM chunk WHERE chunk_type = 'document')" + bm25("dchunk") + VEC + SHOWN + r"""
+, qv AS (SELECT query, arg_min(v, chunk_no) AS v FROM vec JOIN (SELECT entity_no AS query, id FROM ent WHERE entity_no % 50 = 0) q ON q.id = vec.entity_id WHERE chunk_type = 'entity' GROUP BY query),
+near AS (SELECT query, chunk_id, distance FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(distance, 9), chunk_no) AS r FROM (
+    SELECT query, chunk_id, chunk_no, list_distance(qv.v, vec.v) AS distance FROM qv, vec WHERE chunk_type = 'document')) WHERE r <= 15),
+pool AS (SELECT query, chunk_id, coalesce(near.distance, 2.0) AS distance, lex.rank FROM near FULL JOIN lex USING (query, chunk_id)),
+hop1 AS (SELECT DISTINCT q.entity_no AS query, e.name AS connected FROM ent q JOIN twoway t ON t.a = q.id JOIN ent e ON e.id = t.b WHERE q.entity_no % 50 = 0),
+es AS (SELECT p.query, p.chunk_id, CASE WHEN cn.name = a.name THEN 0.3 WHEN contains(lower(a.name), lower(cn.name)) OR contains(lower(cn.name), lower(a.name)) THEN 0.2
+    WHEN len(list_filter(regexp_split_to_array(lower(cn.name), '\s+'), lambda w: length(w) >= 3 AND contains(lower(a.name), w))) > 0 THEN 0.15 ELSE 0 END::DOUBLE
+    + CASE WHEN EXISTS (SELECT 1 FROM hop1 h WHERE h.query = p.query AND h.connected = cn.name) THEN 0.15 ELSE 0 END::DOUBLE AS s
+  FROM pool p JOIN cn ON cn.chunk_id = p.chunk_id JOIN ask a ON a.query = p.query),
+eb AS (SELECT query, chunk_id, least(0.4, sum(s * pow(0.5, r - 1))) AS boost FROM (SELECT *, row_number() OVER (PARTITION BY query, chunk_id ORDER BY s DESC) AS r FROM es WHERE s > 0) GROUP BY ALL),
+fin AS (SELECT p.query, p.chunk_id, greatest(0, 1 - distance / 2) + coalesce(boost, 0) + coalesce(1.0::DOUBLE / (60 + rank), 0) AS score FROM pool p LEFT JOIN eb USING (query, chunk_id))
+SELECT query, chunk_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM fin) WHERE rank <= 5""",
+    "native_names": BASE + r"""SELECT DISTINCT trim(regexp_extract(o, '한국어명:\s*(.+)', 1)) AS native, name FROM (SELECT name, unnest(observations) AS o FROM ent) WHERE trim(regexp_extract(o, '한국어명:\s*(.+)', 1)) <> ''""",
+}
