@@ -128,7 +128,10 @@ ROUTED = "part int, query boolean, id long, cells binary, scale float, code bina
 
 
 def _route(index: Index, probes: int | None, radius: float | None):
-    """mapInArrow: vectors to index rows (cell and code), and to one query row for each part they probe."""
+    """mapInArrow: vectors to index rows (cell and code), and to one query row for each part they probe.
+
+    Where every part is scanned, both kinds of rows carry the vector itself, and are reranked in place.
+    """
     cells, dim = len(index.centroids), index.centroids.shape[1]
     every = probes is None or probes >= cells
 
@@ -143,7 +146,9 @@ def _route(index: Index, probes: int | None, radius: float | None):
         cell = np.argmax(near, axis=1)
         codes = index.encode(x, cell)
         packed = np.ascontiguousarray(codes[:, ::2] | codes[:, 1::2] << 4)
-        yield rows(index.part[cell], False, ids, [c.tobytes() for c in cell.astype(np.int32)], np.zeros(len(x)), [c.tobytes() for c in packed])
+        raw = batch.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(x), -1)
+        load = np.concatenate([packed, raw.view(np.uint8)], axis=1) if every else packed
+        yield rows(index.part[cell], False, ids, [c.tobytes() for c in cell.astype(np.int32)], np.zeros(len(x)), [c.tobytes() for c in load])
         ask = np.flatnonzero(batch.column("ask").to_numpy(zero_copy_only=False))
         if not len(ask):
             return
@@ -153,6 +158,8 @@ def _route(index: Index, probes: int | None, radius: float | None):
             parts = index.part.max() + 1
             who, where = np.repeat(np.arange(len(ask)), parts), np.tile(np.arange(parts), len(ask))
             lists = [b""] * len(who)
+            yield rows(where, True, ids[ask][who], lists, np.zeros(len(who)), [raw[ask[w]].tobytes() for w in who])
+            return
         else:
             top = np.argpartition(-near[ask], probes - 1, axis=1)[:, :probes]
             score = np.take_along_axis(near[ask], top, 1)
@@ -190,9 +197,20 @@ def _tables(queries: np.ndarray, books: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(four[::2][:, :, value & 15] + four[1::2][:, :, value >> 4], dtype=np.float32)
 
 
-def _scan(index: Index, keep: int, least: float | None):
-    """mapInArrow over a part: queries against the codes of the cells they probe."""
-    schema = pa.schema([("q", pa.int64()), ("id", pa.int64()), ("score", pa.float32())])
+def _unit_rows(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+SCANNED = "q long, id long, score float, distance double"
+#: Table entries are added as whole numbers of this fraction.
+STEP = 2048
+
+
+def _scan(index: Index, keep: int, least: float | None, k: int, whole: bool):
+    """mapInArrow over a part: queries against the codes of the cells they probe, or of all (``whole``), reranked then."""
+    schema = pa.schema([("q", pa.int64()), ("id", pa.int64()), ("score", pa.float32()), ("distance", pa.float64())])
+    width = index.books.shape[0] // 2
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
@@ -208,42 +226,72 @@ def _scan(index: Index, keep: int, least: float | None):
         if not asks.num_rows or not base.num_rows:
             return
         cell = np.frombuffer(b"".join(base.column("cells").to_pylist()), dtype=np.int32)
-        codes = np.frombuffer(b"".join(base.column("code").to_pylist()), dtype=np.uint8).reshape(len(cell), -1)
+        load = np.frombuffer(b"".join(base.column("code").to_pylist()), dtype=np.uint8).reshape(len(cell), -1)
         ids = base.column("id").to_numpy()
         order = np.argsort(cell, kind="stable")
-        cell, codes, ids = cell[order], codes[order], ids[order]
+        cell, load, ids = cell[order], load[order], ids[order]
+        q_ids, raw = asks.column("id").to_numpy(), b"".join(asks.column("code").to_pylist())
+        if whole:
+            yield from all_of(cell, load, ids, q_ids, np.frombuffer(raw, dtype=np.float32).reshape(len(q_ids), -1))
+        else:
+            small = np.frombuffer(raw, dtype=np.int8).reshape(len(q_ids), -1)
+            yield from some_of(cell, load, ids, q_ids, small, asks.column("scale").to_numpy(), asks.column("cells").to_pylist())
+
+    def all_of(cell, load, ids, q_ids, queries) -> Iterator[pa.RecordBatch]:
+        codes = np.ascontiguousarray(load[:, :width].T)
+        exact = _unit_rows(np.ascontiguousarray(load[:, width:]).view(np.float32))
+        for at in range(0, len(q_ids), 512):
+            x, own = _unit_rows(queries[at : at + 512]), q_ids[at : at + 512]
+            tables = np.rint(_tables(x.astype(np.float32), index.books) * STEP).astype(np.int16)
+            near = np.rint(x @ index.centroids.T * STEP).astype(np.int16)
+            best_score, best = np.zeros((len(x), 0), np.int16), np.zeros((len(x), 0), np.int64)
+            for a in range(0, len(ids), 4096):
+                b = min(a + 4096, len(ids))
+                score = np.take(near, cell[a:b], axis=1)
+                for byte in range(width):
+                    score += np.take(tables[byte], codes[byte, a:b], axis=1)
+                top = np.argpartition(-score, min(keep, b - a) - 1, axis=1)[:, :keep]
+                best_score = np.concatenate([best_score, np.take_along_axis(score, top, 1)], axis=1)
+                best = np.concatenate([best, top + a], axis=1)
+                if best.shape[1] > keep:
+                    top = np.argpartition(-best_score, keep - 1, axis=1)[:, :keep]
+                    best_score, best = np.take_along_axis(best_score, top, 1), np.take_along_axis(best, top, 1)
+            distance = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("qd,qkd->qk", x, exact[best])))
+            distance[ids[best] == own[:, None]] = np.inf
+            for i in range(len(x)):
+                first = np.lexsort((ids[best[i]], distance[i].round(6)))[:k]
+                first = first[np.isfinite(distance[i, first])]
+                n = len(first)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(n, own[i])), pa.array(ids[best[i, first]]), pa.array((best_score[i, first] / STEP).astype(np.float32)), pa.array(distance[i, first])], schema=schema
+                )
+
+    def some_of(cell, codes, ids, q_ids, small, scale, lists) -> Iterator[pa.RecordBatch]:
         present, starts = np.unique(cell, return_index=True)
         ends = np.r_[starts[1:], len(cell)]
-        q_ids = asks.column("id").to_numpy()
-        scale = asks.column("scale").to_numpy()
-        small = np.frombuffer(b"".join(asks.column("code").to_pylist()), dtype=np.int8).reshape(len(q_ids), -1)
-        lists = asks.column("cells").to_pylist()
         for at in range(0, len(q_ids), 1024):
             x = small[at : at + 1024] * scale[at : at + 1024, None].astype(np.float32)
             tables, own = _tables(x, index.books), q_ids[at : at + 1024]
-            whole = np.array([not c for c in lists[at : at + 1024]])
             probed = [np.frombuffer(c, dtype=np.int32) for c in lists[at : at + 1024]]
-            who = np.repeat(np.arange(len(x)), [len(p) for p in probed])
-            wanted = np.concatenate(probed) if len(who) else np.zeros(0, np.int32)
+            who, wanted = np.repeat(np.arange(len(x)), [len(p) for p in probed]), np.concatenate(probed)
             by = np.argsort(wanted, kind="stable")
             who, wanted = who[by], wanted[by]
             found = []
             for c, a, b in zip(present, starts, ends, strict=True):
                 lo, hi = np.searchsorted(wanted, (c, c + 1))
-                rows = np.union1d(who[lo:hi], np.flatnonzero(whole)) if whole.any() else who[lo:hi]
-                for k in range(a, b, max(1, BLOCK // max(1, len(rows)))):
-                    block = slice(k, min(b, k + max(1, BLOCK // max(1, len(rows)))))
+                rows = who[lo:hi]
+                for s in range(a, b, max(1, BLOCK // max(1, len(rows)))):
+                    block = slice(s, min(b, s + max(1, BLOCK // max(1, len(rows)))))
                     if len(rows):
-                        found += best(x[rows] @ index.centroids[c], rows, tables, codes[block], ids[block], own)
+                        found.append(best_of(x[rows] @ index.centroids[c], rows, tables, codes[block], ids[block], own))
             if found:
                 q, i, s = (np.concatenate(f) for f in zip(*found, strict=True))
                 o = np.lexsort((i, -s, q))
                 q, i, s = q[o], i[o], s[o]
-                rank = np.arange(len(q)) - np.searchsorted(q, q)
-                use = rank < keep
-                yield pa.RecordBatch.from_arrays([pa.array(q[use]), pa.array(i[use]), pa.array(s[use], pa.float32())], schema=schema)
+                use = np.arange(len(q)) - np.searchsorted(q, q) < keep
+                yield pa.RecordBatch.from_arrays([pa.array(q[use]), pa.array(i[use]), pa.array(s[use], pa.float32()), pa.nulls(int(use.sum()), pa.float64())], schema=schema)
 
-    def best(base, rows, tables, codes, ids, own) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def best_of(base, rows, tables, codes, ids, own) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         score = np.repeat(base.astype(np.float32)[:, None], len(ids), axis=1)
         for byte in range(codes.shape[1]):
             score += np.take(tables[byte, rows], codes[:, byte], axis=1)
@@ -256,7 +304,7 @@ def _scan(index: Index, keep: int, least: float | None):
             r, m = np.repeat(np.arange(len(rows)), len(ids)), np.tile(np.arange(len(ids)), len(rows))
         other = own[rows[r]] != ids[m]
         r, m = r[other], m[other]
-        return [(own[rows[r]], ids[m], score[r, m])]
+        return own[rows[r]], ids[m], score[r, m]
 
     return scan
 
@@ -307,20 +355,24 @@ def nearest(
     sample = np.concatenate([_unit(b, "vector") for b in picked.to_batches() if b.num_rows])
     index = fit(sample, rows)
     parts = int(index.part.max()) + 1
-    routed = spread(groups.select("id", "vector", "ask")).mapInArrow(_route(index, probes, radius), ROUTED)
+    routed = spread(groups.select("id", "vector", F.coalesce("ask", F.lit(False)).alias("ask"))).mapInArrow(_route(index, probes, radius), ROUTED)
     least = None if radius is None else 1 - radius * radius / 2 - slack
-    keep = rerank if radius is not None else min(rerank, max(64, 2 * rerank // parts))
-    candidates = routed.repartition(max(parts, 1), "part").mapInArrow(_scan(index, keep, least), "q long, id long, score float")
-    if radius is None:
-        first = Window.partitionBy("q").orderBy(F.desc("score"), "id")
-        candidates = candidates.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= rerank).drop("r")
-    vectors = groups.select("id", F.col("vector").cast("array<double>").alias("v"))
-    both = candidates.join(vectors.withColumnRenamed("v", "b"), "id").join(vectors.select(F.col("id").alias("q"), F.col("v").alias("a")), "q")
-
-    def dot(x: str, y: str) -> Column:
-        return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-
-    exact = both.select("q", "id", F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * dot("a", "b") / F.sqrt(dot("a", "a") * dot("b", "b")))).alias("distance"))
+    whole = probes is None or probes >= len(index.centroids)
+    keep = min(rerank, max(64, 2 * rerank // parts)) if whole or radius is None else rerank
+    found = routed.repartitionById(parts, F.col("part")).mapInArrow(_scan(index, keep, least, k + 1, whole), SCANNED)
+    if whole:
+        exact = found.select("q", "id", "distance")
+    else:
+        if radius is None:
+            first = Window.partitionBy("q").orderBy(F.desc("score"), "id")
+            found = found.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= rerank).drop("r")
+        vectors = groups.select("id", F.col("vector").cast("array<double>").alias("v"))
+        both = found.join(vectors.withColumnRenamed("v", "b"), "id").join(vectors.select(F.col("id").alias("q"), F.col("v").alias("a")), "q")
+
+        def dot(x: str, y: str) -> Column:
+            return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+
+        exact = both.select("q", "id", F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * dot("a", "b") / F.sqrt(dot("a", "a") * dot("b", "b")))).alias("distance"))
     if radius is not None:
         exact = exact.filter(F.col("distance") <= radius)
     own = good.select("key", "ask", "h").distinct().join(groups.select("h", "id"), "h")
