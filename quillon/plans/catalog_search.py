@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillon.operators import crosslingual, fulltext, graph, hybrid, vector
+from quillon.operators import crosslingual, embedding, fulltext, graph, hybrid, vector
 from quillon.plans.catalog import query
 from quillon.schema import memory
 from quillon.session import materialise, spread, table
@@ -177,3 +177,25 @@ def query_variants(spark, directory):
     pairs = pairs.select(F.col("name").alias("term"), F.lower("entity_type").alias("other")).distinct()
     pairs = pairs.groupBy("term").agg(F.min("other").alias("other"))
     return crosslingual.variant_rows(m.entities.select("id", F.concat(F.lit("about "), "name").alias("text")), "id", "text", pairs)
+
+
+@query
+def embed_chunks(spark, directory):
+    """The parts other than 0 of the default embedding of every chunk."""
+    found = embedding.embed_chunks(memory(spark, directory).chunks)
+    return found.select("chunk_id", F.posexplode("embedding").alias("dim", "value")).filter("value <> 0").select("chunk_id", "dim", F.round("value", 8).alias("value"))
+
+
+@query
+def embed_entities(spark, directory):
+    found = embedding.embed_entities(memory(spark, directory).entities)
+    return found.select("entity_id", F.posexplode("embedding").alias("dim", "value")).filter("value <> 0").select("entity_id", "dim", F.round("value", 8).alias("value"))
+
+
+@query
+def connected_by_terms(spark, directory):
+    """Names one edge away from the entities that results show, for each of the shown names."""
+    m = memory(spark, directory)
+    shown = table(spark, directory, "search_results").select(F.explode("entities").alias("name")).filter("name <> ''").distinct()
+    known = m.entities.join(shown, "name").select("id", "name")
+    return graph.one_hop(m).join(known, "id").select("name", "connected").distinct()

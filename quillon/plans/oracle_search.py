@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quillon.plans.oracle import BASE
+from quillon.plans.oracle_text import trim
 
 FIELD = r"list_filter(regexp_split_to_array(CASE WHEN regexp_matches({0}, '[À-ɏḀ-ỿ]') THEN {1} ELSE {0} END, '[^\pL\pN\x{{E000}}-\x{{F8FF}}]+'), lambda t: t <> '')"
 
@@ -52,6 +53,16 @@ SHOWN = """
 """
 HITS = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY result_no ORDER BY received_at) AS r FROM search_results) WHERE r = 1)"
 
+def embedding(key: str, rows: str) -> str:
+    return f"""
+, t AS ({rows}),
+w AS (SELECT {key}, unnest(regexp_extract_all(lower(text), '[\\pL\\pN]+')) AS w FROM t),
+d AS (SELECT {key}, CAST(('0x' || substr(md5(w), 1, 4))::BIGINT % 64 AS INTEGER) AS dim, count(*)::DOUBLE AS n FROM w GROUP BY ALL)
+SELECT {key}, dim, round(n / sqrt(sum(n * n) OVER (PARTITION BY {key})), 8) AS value FROM d"""
+
+
+SAID = f"""SELECT id AS entity_id, {trim("entity_type || ': ' || name || '. ' || coalesce(array_to_string(list_filter(observations, lambda o: o IS NOT NULL AND NOT regexp_matches(o, '^(Source:|Created:|Type:|Tags:|Content length:)')), '. '), '')")} AS text FROM ent"""
+
 SQL = {
     "knn_top5": """SELECT query, id, CAST(rank AS INTEGER) AS rank, round(distance, 6) AS distance FROM (
         SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(distance, 9), id) AS rank FROM (
@@ -87,5 +98,8 @@ es AS (SELECT p.query, p.chunk_id, CASE WHEN cn.name = a.name THEN 0.3 WHEN cont
 eb AS (SELECT query, chunk_id, least(0.4, sum(s * pow(0.5, r - 1))) AS boost FROM (SELECT *, row_number() OVER (PARTITION BY query, chunk_id ORDER BY s DESC) AS r FROM es WHERE s > 0) GROUP BY ALL),
 fin AS (SELECT p.query, p.chunk_id, greatest(0, 1 - distance / 2) + coalesce(boost, 0) + coalesce(1.0::DOUBLE / (60 + rank), 0) AS score FROM pool p LEFT JOIN eb USING (query, chunk_id))
 SELECT query, chunk_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM fin) WHERE rank <= 5""",
+    "embed_chunks": BASE + embedding("chunk_id", "SELECT chunk_id, text FROM chunk WHERE text IS NOT NULL"),
+    "embed_entities": BASE + embedding("entity_id", SAID),
+    "connected_by_terms": BASE + "SELECT DISTINCT k.name, e.name AS connected FROM ent k JOIN twoway t ON t.a = k.id JOIN ent e ON e.id = t.b WHERE k.name IN (SELECT name FROM shown)",
     "native_names": BASE + r"""SELECT DISTINCT trim(regexp_extract(o, '한국어명:\s*(.+)', 1)) AS native, name FROM (SELECT name, unnest(observations) AS o FROM ent) WHERE trim(regexp_extract(o, '한국어명:\s*(.+)', 1)) <> ''""",
 }

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
-from quillon.operators import chunking, crosslingual, fulltext, hybrid, linking, vector
+from quillon.operators import chunking, crosslingual, embedding, fulltext, hybrid, linking, vector
 
 CASES = [
     "The quick brown fox jumps over the lazy dog. " * 120,
@@ -98,3 +98,13 @@ def test_translation():
     assert crosslingual.variants("other", d) == ["other"]
     assert crosslingual.load_dictionary("/nowhere") == {"native-en": {}, "en-native": {}}
     assert math.isclose(1 / 61, 1 / (hybrid.RRF + 1))
+
+
+def test_embeddings(spark):
+    chunks = spark.createDataFrame([("1", "one two two"), ("2", None), ("3", "...")], "chunk_id string, text string")
+    got = {r.chunk_id: r.embedding for r in embedding.embed_chunks(chunks).collect()}
+    assert set(got) == {"1", "3"} and sum(x * x for x in got["1"]) == pytest.approx(1) and not any(got["3"])
+    said = spark.createDataFrame([(1, "c", 0, "the list of keys"), (1, "c", 1, "..."), (1, "d", 0, "the list of keys")], "query long, chunk_id string, n int, sentence string")
+    asked = spark.createDataFrame([(1, "list of keys")], "query long, text string")
+    scores = {(r.chunk_id, r.n): r.score for r in embedding.sentence_scores(said, asked).collect()}
+    assert scores["c", 0] == scores["d", 0] > 0.3 and scores["c", 1] == 0
