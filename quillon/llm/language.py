@@ -24,6 +24,8 @@ FIT_ROWS = 1000
 WINDOW, WIDTHS, FILTERS, EMBEDDING = 64, (2, 3, 4), 24, 8
 #: Nats by which a sentence must speak against the text's main language to be told apart from it.
 EVIDENCE = 3.0
+#: Least number of training steps.
+STEPS = 300
 
 END = re.compile(r"[.!?…]+[\"”»’)\]]*(?=\s)|[。！？]+")
 NO_LETTER = re.compile(r"[\W\d_]+")
@@ -123,8 +125,9 @@ class Network:
 
 
 def train(pieces: list[bytes], y: np.ndarray, labels: list[str], epochs: int = 6, seed: int = 42) -> Network:
-    """Fit a network with Adam on the windows of labelled byte strings."""
+    """Fit a network with Adam on the windows of labelled byte strings, in at least some hundred steps."""
     x, owner = windows(pieces)
+    epochs = max(epochs, -(-STEPS * 128 // len(x)))
     y = y[owner]
     net, rng = Network.random(labels, seed), np.random.default_rng(seed)
     mean = [np.zeros_like(p) for p in net.parameters()]
