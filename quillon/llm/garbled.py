@@ -272,17 +272,20 @@ def search(text: str, before: str = "", after: str = "") -> tuple[str, float, li
 def search_lossy(text: str, before: str = "", after: str = "") -> tuple[str, float, list[str]]:
     """As search, for a text that lost bytes: what can't be encoded is dropped, what can't be decoded stays marked."""
     best = (text, cost_of(text, before, after), [])
-    for read in READ_AS:
+    for read in sorted(READ_AS, key=lambda r: r not in MULTIBYTE):
         kept = text.replace("�", "")
         raw = kept.encode(read, "ignore")
         if len(raw) < len(text) / 2 or raw.isascii() or sum(c > "\x7f" for c in kept) < 6:
             continue
-        for written in (w for w in WRITTEN_IN[:1] + WRITTEN_IN[5:9] if w != read):
+        new = raw.decode("utf-8", "replace")
+        whole = sum("\x7f" < c != "�" for c in new)
+        if whole >= max(4, 0.6 * new.count("�")):  # that much valid UTF-8 isn't chance
+            return new, min(best[1] / 2, cost_of(new, before, after)), [f"{read}>utf-8 lossy"]
+        likely = {"cp932": ["euc_jp"], "cp949": [], "gbk": [], "euc_jp": []}.get(read, WRITTEN_IN[5:9])
+        for written in (w for w in likely if w != read):
             new = raw.decode(written, "replace")
             c = cost_of(new, before, after)
-            if written == "utf-8":
-                c -= 3 * new.count("�")  # the marks stand for bytes that are known to be lost
-            elif written != "cp932" and written != "euc_jp":
+            if written not in ("cp932", "euc_jp"):
                 c += 0.6 * sum("\u3040" <= x < "\u3100" for x in new)  # kana are written in Japanese encodings
             if new.replace("�", "") != kept and c < 0.6 * best[1]:
                 best = (new, c, [f"{read}>{written} lossy"])
