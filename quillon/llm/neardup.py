@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.operators.components import components
 from quillon.session import materialise, spread
 
 #: Tokens whose frequency is known to every task; the broadcast table is never longer.
@@ -366,3 +367,17 @@ def expand(pairs: DataFrame, members: DataFrame) -> DataFrame:
     crowds = members.groupBy("kind", "rep").count().filter("count > 1").select("kind", F.col("rep").alias("ra"), F.col("rep").alias("rb"))
     met = links.unionByName(crowds).join(left, ["kind", "ra"]).join(right, ["kind", "rb"]).filter("x <> y")
     return met.select("kind", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def groups(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """(kind, key, rep, grp, links): every record's class, its group of linked classes, and its class's links to others.
+
+    ``grp`` is the smallest representative that the class is connected to; classes without a link are groups of
+    their own.
+    """
+    node = lambda c: F.struct("kind", F.col(c).alias("key"))
+    edges = pairs.select(node("a").alias("x"), node("b").alias("y"))
+    found = components(edges, "x", "y").select(F.col("node.kind").alias("kind"), F.col("node.key").alias("rep"), F.col("component.key").alias("grp"))
+    links = pairs.select("kind", F.explode(F.array("a", "b")).alias("rep")).groupBy("kind", "rep").agg(F.count("*").alias("links"))
+    joined = members.join(found, ["kind", "rep"], "left").join(links, ["kind", "rep"], "left")
+    return joined.select("kind", "key", "rep", F.coalesce("grp", "rep").alias("grp"), F.coalesce("links", F.lit(0)).alias("links"))

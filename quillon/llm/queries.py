@@ -122,6 +122,12 @@ def p7_found(spark: SparkSession, directory: str) -> DataFrame:
     return pairs.select(_kind_name(), F.col("a").alias("key_a"), F.col("b").alias("key_b"))
 
 
+def p7_groups(spark: SparkSession, directory: str) -> DataFrame:
+    """Every document and entity with its class of equal words, its group of edited copies and its number of links."""
+    found = neardup.groups(*edited_copies(spark, directory))
+    return found.select(_kind_name(), "key", F.col("rep").alias("class_id"), F.col("grp").alias("group_id"), "links")
+
+
 def p8_pack(spark: SparkSession, directory: str) -> DataFrame:
     """Every document's place in containers of each capacity."""
     counts = packing.counted(table(spark, directory, "documents"), "doc_id", "text")

@@ -54,6 +54,13 @@ def test_tokens_follow_the_words():
     assert not set(other[:4]) & set(other[4:])
 
 
+def test_groups_connect_classes(spark):
+    pairs = spark.createDataFrame([(0, 1, 2, 0.9), (0, 2, 3, 0.9), (1, 2, 7, 0.8)], "kind tinyint, a long, b long, similarity double")
+    members = spark.createDataFrame([(0, 1, 1), (0, 2, 2), (0, 3, 3), (0, 30, 3), (0, 9, 9), (1, 2, 2), (1, 7, 7)], "kind tinyint, key long, rep long")
+    got = {tuple(r) for r in neardup.groups(pairs, members).collect()}
+    assert got == {(0, 1, 1, 1, 1), (0, 2, 2, 1, 2), (0, 3, 3, 1, 1), (0, 30, 3, 1, 1), (0, 9, 9, 9, 0), (1, 2, 2, 2, 1), (1, 7, 7, 2, 1)}
+
+
 # pairs of items
 
 
