@@ -390,7 +390,7 @@ def repair_texts(df: DataFrame, key: str, text: str) -> DataFrame:
     """The garbled texts of ``df``, restored where possible: (key, text, repaired, restored, steps).
 
     ``restored`` is 'full', 'partial' (bytes were lost) or 'none' (nothing could be restored); ``steps`` lists the
-    conversions. Texts that aren't garbled, empty and null texts give no row; a null key is kept; repeated rows are
+    conversions. Texts that aren't garbled, empty and null texts and rows without a key give no row; repeated rows are
     repaired each for itself; an empty table gives an empty result. Other columns aren't read.
     """
 
@@ -404,6 +404,6 @@ def repair_texts(df: DataFrame, key: str, text: str) -> DataFrame:
                         rows.append((k, body, new, kind, steps))
             yield pd.DataFrame(rows, columns=[key, "text", "repaired", "restored", "steps"])
 
-    some = df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).filter(F.length("_text") > 0)
+    some = df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).filter(F.col("_key").isNotNull() & (F.length("_text") > 0))
     schema = f"`{key}` {df.schema[key].dataType.simpleString()}, text string, repaired string, restored string, steps string"
     return spread(some).mapInPandas(run, schema)

@@ -216,7 +216,7 @@ def segments(df: DataFrame, key: str, text: str, net: Network) -> DataFrame:
     by letters. Lines garbled by a wrong encoding are read as repaired; their positions are proportional. Data
     runs hold no letters.
 
-    Null and empty texts, and texts without letters, give no row; a null key is kept; repeated rows are
+    Null and empty texts, texts without letters and rows without a key give no row; repeated rows are
     classified each for itself; an empty table gives an empty result. Other columns aren't read.
     """
     shared = df.sparkSession.sparkContext.broadcast(net)
@@ -253,7 +253,7 @@ def segments(df: DataFrame, key: str, text: str, net: Network) -> DataFrame:
                 rows.append((keys[i], k, spans[mine[a]][0], spans[mine[b - 1]][1], shared.value.labels[lang[a]], round(sure, 6), int(n[a:b].sum())))
         return rows
 
-    some = df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).filter(F.length("_text") > 0)
+    some = df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).filter(F.col("_key").isNotNull() & (F.length("_text") > 0))
     return spread(some).mapInPandas(run, f"`{key}` {df.schema[key].dataType.simpleString()}, {SEGMENT}")
 
 

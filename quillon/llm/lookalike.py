@@ -127,7 +127,7 @@ def forms(df: DataFrame, key: str, text: str, changed_only: bool = False) -> Dat
     """(key, form, skeleton, changes) of texts: the one form, what it looks like, and the changes that led there.
 
     ``changes`` is empty where the text already has its form (such rows are left out with ``changed_only``).
-    Null texts give no row, empty ones an empty form; a null key is kept; repeated rows stay; an empty table gives
+    Null texts and rows without a key give no row, empty texts an empty form; repeated rows stay; an empty table gives
     an empty result. Other columns aren't read.
     """
     columns = [key, "form", "skeleton", "changes"]
@@ -141,7 +141,7 @@ def forms(df: DataFrame, key: str, text: str, changed_only: bool = False) -> Dat
                     rows.append((k, form, skeleton(body), changes))
             yield pd.DataFrame(rows, columns=columns)
 
-    some = df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).filter(F.col("_text").isNotNull())
+    some = df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).filter(F.col("_key").isNotNull() & F.col("_text").isNotNull())
     return spread(some).mapInPandas(run, f"`{key}` {df.schema[key].dataType.simpleString()}, form string, skeleton string, changes array<string>")
 
 

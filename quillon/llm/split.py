@@ -104,7 +104,7 @@ def split_texts(
     before the piece; a 'hard' cut lies in a stretch without any boundary, whose place and length are given.
     Tokens are those of the public tokenizer in ``tokenizer`` that begin before the position (None: no tokens).
 
-    Texts within the limit, empty and null texts give no row; a null key is kept; repeated rows are cut each for
+    Texts within the limit, empty and null texts and rows without a key give no row; repeated rows are cut each for
     itself; an empty table gives an empty result. Other columns of ``df`` aren't read, so their names can't clash.
     """
     if not 0 <= overlap < limit:
@@ -138,7 +138,7 @@ def split_texts(
                 frame[c] = frame[c].astype("Int32")
             yield frame
 
-    longer = df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).filter(F.length("_text") > limit)
+    longer = df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).filter(F.col("_key").isNotNull() & (F.length("_text") > limit))
     return spread(longer).mapInPandas(cut, schema)
 
 

@@ -11,7 +11,7 @@ DOC = "k long, t string, lang string, `_text` string, text string, start_pos str
 
 def frame(spark, texts):
     """Texts with further columns whose names clash with those of results."""
-    rows = [(i, t, "x", "y", "z", "w") for i, t in enumerate(texts)]
+    rows = [(i, t, "x", "y", "z", "w") for i, t in enumerate(texts)] + [(None, texts[0], "x", "y", "z", "w")]
     return spark.createDataFrame(rows, DOC)
 
 
@@ -123,7 +123,7 @@ def test_same_looking_rows(spark):
     df = spark.createDataFrame([(i, n, 1) for i, n in enumerate(names)] + [(None, "alias", 1), (0, "alias", 2)], "k long, n string, skeleton int")
     assert {tuple(r) for r in lookalike.same_looking(df, "k", "n").collect()} == {(0, 1), (0, 3), (1, 2), (1, 3), (2, 3)}
     assert lookalike.same_looking(df.limit(0), "k", "n").count() == 0
-    assert lookalike.forms(df, "k", "n").filter("form = ''").count() == 1
+    assert lookalike.forms(df, "k", "n").filter("form = ''").count() == 1 and lookalike.forms(df, "k", "n").filter("k IS NULL").count() == 0
 
 
 # languages
