@@ -1,5 +1,16 @@
 """DuckDB statements for the queries that SQL can express."""
 
+from quillon.llm.lookalike import CYRILLIC, GREEK, INVISIBLE
+from quillon.llm.lookalike import SPACES as OTHER_SPACES
+
+# characters of the statement for look-alikes, from the operator's own fixed values
+HIDDEN = "".join(f"\\x{{{ord(c):x}}}" for c in INVISIBLE)
+SPACES = "".join(f"\\x{{{ord(c):x}}}" for c in OTHER_SPACES)
+EMOJI = r"[\x{2190}-\x{2bff}\x{fe0f}\x{1f000}-\x{1faff}]"
+WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "\u3000"
+NARROW = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)).replace("'", "''") + " "
+ALIKE, LATIN = "".join([*CYRILLIC, *GREEK]), "".join([*CYRILLIC.values(), *GREEK.values()])
+
 P1_FOUND = r"""
 WITH long AS (SELECT doc_id, text FROM documents WHERE length(text) > 1200),
 runs AS (
@@ -56,5 +67,29 @@ WHERE sqrt(greatest(0, 2 - 2 * list_inner_product(a.v, b.v))) <= 0.30
 """
 
 
+P6_FOUND = f"""
+WITH c AS (SELECT chunk_no, any_value(text) AS t FROM chunks WHERE text IS NOT NULL GROUP BY chunk_no),
+j AS (SELECT chunk_no, t, regexp_replace(regexp_replace(t, '({EMOJI})\\x{{200d}}({EMOJI})', '\\1\\2', 'g'), '({EMOJI})\\x{{200d}}({EMOJI})', '\\1\\2', 'g') AS u FROM c),
+odd AS (SELECT chunk_no FROM j WHERE regexp_matches(u, '[０-９Ａ-Ｚａ-ｚ{HIDDEN}{SPACES}]') OR nfc_normalize(t) <> t
+  OR regexp_matches(u, '\\p{{Latin}}[\\p{{Greek}}\\p{{Cyrillic}}]|[\\p{{Greek}}\\p{{Cyrillic}}]\\p{{Latin}}')),
+e AS (SELECT DISTINCT entity_no, name FROM entities WHERE name IS NOT NULL),
+k AS (SELECT entity_no, name, trim(translate(nfc_normalize(translate(regexp_replace(regexp_replace(name, '[{HIDDEN}]', '', 'g'), '[{SPACES}]', ' ', 'g'), '{WIDE}', '{NARROW}')), '{ALIKE}', '{LATIN}')) AS s FROM e)
+SELECT 'entity' AS rec_kind, a.entity_no AS key_a, b.entity_no AS key_b FROM k a JOIN k b ON a.s = b.s AND a.entity_no < b.entity_no AND a.name <> b.name
+UNION SELECT 'chunk', chunk_no, chunk_no FROM odd
+"""
+
+P7_FOUND = r"""
+WITH t AS (
+  SELECT 'document' AS rec_kind, doc_id AS key, text AS t, 0 AS k FROM documents WHERE text IS NOT NULL
+  UNION ALL SELECT 'entity', entity_no, regexp_replace(o, '^\[\d{4}-\d{2}-\d{2}\]\s*', ''), k FROM (
+    SELECT entity_no, unnest(observations) AS o, unnest(range(len(observations))) AS k FROM (SELECT entity_no, any_value(observations) AS observations FROM entities GROUP BY entity_no)) WHERE o IS NOT NULL),
+w AS (SELECT rec_kind, key, list_filter(list_transform(regexp_split_to_array(lower(t), '[ \t\n]+'), lambda x: regexp_replace(x, '[^\pL\pN]+', '', 'g')), lambda x: x <> '') AS w FROM t),
+s AS MATERIALIZED (SELECT DISTINCT rec_kind, key, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT *, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3)),
+n AS (SELECT rec_kind, key, count(*) AS n FROM s GROUP BY ALL HAVING count(*) >= 20),
+p AS (SELECT a.rec_kind, a.key AS key_a, b.key AS key_b, count(*) AS c FROM s a JOIN s b ON a.rec_kind = b.rec_kind AND a.s = b.s AND a.key < b.key GROUP BY ALL)
+SELECT p.rec_kind, key_a, key_b FROM p JOIN n x ON x.rec_kind = p.rec_kind AND x.key = key_a JOIN n y ON y.rec_kind = p.rec_kind AND y.key = key_b WHERE 10 * c >= 6 * (x.n + y.n - c)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p2_knn": P2_KNN, "p2_found": P2_FOUND, "p5_pairs": P5_PAIRS, "p5_found": P5_FOUND}
+    return {"p1_found": P1_FOUND, "p2_knn": P2_KNN, "p2_found": P2_FOUND, "p5_pairs": P5_PAIRS, "p5_found": P5_FOUND, "p6_found": P6_FOUND, "p7_found": P7_FOUND}

@@ -259,7 +259,8 @@ def radius_join(keys: DataFrame, radius: int = 1) -> DataFrame:
     for c in pivots:
         pivots[c] = pivots[c] or [""]
     cells = spread(keys).mapInPandas(_cells(pivots, radius), "cls string, cell int, home boolean, key string, sketch binary")
-    return cells.repartition("cls", "cell").mapInPandas(_join(radius), "cls string, a string, b string, n int").distinct()
+    parts = max(keys.sparkSession.sparkContext.defaultParallelism, sum(map(len, pivots.values())))  # small in bytes, but not in work
+    return cells.repartition(parts, "cls", "cell").mapInPandas(_join(radius), "cls string, a string, b string, n int").distinct()
 
 
 def given_names(names: DataFrame) -> set[str]:
