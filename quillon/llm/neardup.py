@@ -337,6 +337,7 @@ def near_duplicates(
     routed = leaders.mapInArrow(emit, "bucket int, kind tinyint, key long, n int, load binary").filter(F.col("n") >= least)
     met = routed.repartitionById(buckets, F.col("bucket")).mapInArrow(meet(threshold), "kind tinyint, a long, b long").distinct()
     met = materialise(met, "met")
+    shared.destroy()
     ids = met.select("kind", F.explode(F.array("a", "b")).alias("key")).distinct()
     if met.count() <= SMALL_ROWS:
         ids = F.broadcast(ids)
