@@ -271,7 +271,7 @@ def _scan(index: Index, keep: int, least: float | None, k: int, whole: bool):
         ends = np.r_[starts[1:], len(cell)]
         for at in range(0, len(q_ids), 1024):
             x = small[at : at + 1024] * scale[at : at + 1024, None].astype(np.float32)
-            tables, own = _tables(x, index.books), q_ids[at : at + 1024]
+            tables, own = np.rint(_tables(x, index.books) * STEP).astype(np.int16), q_ids[at : at + 1024]
             probed = [np.frombuffer(c, dtype=np.int32) for c in lists[at : at + 1024]]
             who, wanted = np.repeat(np.arange(len(x)), [len(p) for p in probed]), np.concatenate(probed)
             by = np.argsort(wanted, kind="stable")
@@ -292,11 +292,11 @@ def _scan(index: Index, keep: int, least: float | None, k: int, whole: bool):
                 yield pa.RecordBatch.from_arrays([pa.array(q[use]), pa.array(i[use]), pa.array(s[use], pa.float32()), pa.nulls(int(use.sum()), pa.float64())], schema=schema)
 
     def best_of(base, rows, tables, codes, ids, own) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        score = np.repeat(base.astype(np.float32)[:, None], len(ids), axis=1)
+        score = np.repeat(np.rint(base * STEP).astype(np.int16)[:, None], len(ids), axis=1)
         for byte in range(codes.shape[1]):
             score += np.take(tables[byte, rows], codes[:, byte], axis=1)
         if least is not None:
-            r, m = np.nonzero(score >= least)
+            r, m = np.nonzero(score >= least * STEP)
         elif len(ids) > keep:
             m = np.argpartition(-score, keep - 1, axis=1)[:, :keep].ravel()
             r = np.repeat(np.arange(len(rows)), keep)
@@ -304,7 +304,7 @@ def _scan(index: Index, keep: int, least: float | None, k: int, whole: bool):
             r, m = np.repeat(np.arange(len(rows)), len(ids)), np.tile(np.arange(len(ids)), len(rows))
         other = own[rows[r]] != ids[m]
         r, m = r[other], m[other]
-        return own[rows[r]], ids[m], score[r, m]
+        return own[rows[r]], ids[m], score[r, m] / np.float32(STEP)
 
     return scan
 
