@@ -73,7 +73,7 @@ def p4_found(spark: SparkSession, directory: str) -> DataFrame:
 
 def p5_pairs(spark: SparkSession, directory: str) -> DataFrame:
     """Every pair of names with the number of results that show both, and its lift."""
-    found = together.pairs_together(table(spark, directory, "search_results"), "result_no", "entities", min_count=2)
+    found = together.pairs_together(table(spark, directory, "search_results"), "result_no", "entities")
     return found.withColumn("lift", F.round("lift", 6))
 
 
