@@ -295,17 +295,61 @@ def search_lossy(text: str, before: str = "", after: str = "") -> tuple[str, flo
 RUN = re.compile(r"[^\x00-\x7f]+(?:[ -~]{1,3}[^\x00-\x7f]+)*")
 QUOTED = re.compile(r"(?<!\S)[^\x00-\x7f\s]{2,4}(?!\S)")
 WORD_RUN = re.compile(r"[^\x00-\x7f]+")
-#: A character as dear as this, or a line as dear as that by character, is looked at.
-HOT, HOT_LINE = 2.4, 0.9
+ESCAPE = re.compile(r"&(?:#\d{2,7}|#[xX][0-9a-fA-F]{2,6}|[A-Za-z][A-Za-z0-9]{1,31});|\\u[0-9a-fA-F]{4}")
+#: A character as dear as this, or a line or so many wide characters in a row as dear as that by character, is looked at.
+HOT, HOT_LINE, WINDOW = 2.4, 0.9, 6
+
+
+def _opened(text: str) -> str:
+    """The text with the escapes of characters beyond ASCII undone."""
+    if "&" not in text and "\\u" not in text:
+        return text
+
+    def one(m: re.Match) -> str:
+        new = unescape(m[0])
+        return new if len(new) == 1 and not new.isascii() and not "\ud800" <= new <= "\udfff" else m[0]
+
+    return ESCAPE.sub(one, text)
+
+
+def _dense(text: str, cost: np.ndarray) -> np.ndarray:
+    """First and last place of each WINDOW wide characters in a row that are dear by character."""
+    wide = np.flatnonzero(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) > 0x7F)
+    if len(wide) < WINDOW:
+        return np.zeros((0, 2), dtype=np.int64)
+    sums = np.cumsum(np.r_[0.0, cost[wide]])
+    at = np.flatnonzero(sums[WINDOW:] - sums[:-WINDOW] >= HOT_LINE * WINDOW - 1e-9)
+    return np.stack([wide[at], wide[at + WINDOW - 1]], axis=1)
+
+
+def _dense_spans(line: str, cost: np.ndarray) -> list[tuple[int, int]]:
+    """The stretches of whole words in which wide characters are dear, without the cheap words at their ends."""
+    out: list[tuple[int, int]] = []
+    for a, b in _dense(line, cost).tolist():
+        dear = np.flatnonzero(cost[a : b + 1] >= HOT_LINE)
+        if not len(dear):
+            continue
+        a, b = a + int(dear[0]), a + int(dear[-1]) + 1
+        while a and not line[a - 1].isspace():
+            a -= 1
+        while b < len(line) and not line[b].isspace():
+            b += 1
+        if out and a <= out[-1][1] + 1:
+            out[-1] = (min(a, out[-1][0]), max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
 
 def _spans(line: str, cost: np.ndarray) -> list[list[tuple[int, int]]]:
-    """Ways to choose what to repair in a line: all of it, all from the first to the last hot character, each run, each short run."""
+    """Ways to choose what to repair in a line: all of it, all from the first to the last hot character, each run, each short run, each dense stretch."""
     hot = np.flatnonzero(cost >= HOT)
     ways = [[(0, len(line))]]
     if len(hot):
         ways.append([(max(0, int(hot[0]) - 1), int(hot[-1]) + 1)])
     ways += [[m.span() for m in RUN.finditer(line)], [m.span() for m in WORD_RUN.finditer(line)]]
+    if dense := _dense_spans(line, cost):
+        ways.append(dense)
     return ways
 
 
@@ -313,13 +357,22 @@ def repair_line(line: str) -> tuple[str, list[str], int, int]:
     """(line, steps, garbled stretches, those that look quoted) after the cheapest repair of a line.
 
     A line whose only garbled characters are a token of its own that stands for one letter quotes them.
+    Escapes are undone where that shows more garbled stretches.
     """
+    found = _repair_line(line)
+    plain = _opened(line)
+    if plain != line and (opened := _repair_line(plain))[2] > found[2]:
+        return opened[0], ["unescape", *opened[1]], *opened[2:]
+    return found
+
+
+def _repair_line(line: str) -> tuple[str, list[str], int, int]:
     cost = char_costs(line)
     total, wide = float(cost.sum()), sum(c > "\x7f" for c in line)
-    if not wide or (cost.max() < HOT and total < HOT_LINE * wide) or total < MARGIN:
+    if not wide or total < MARGIN or (cost.max() < HOT and total < HOT_LINE * wide and not len(_dense(line, cost))):
         return line, [], 0, 0
     bare = QUOTED.sub(lambda m: "x" if len(new := search(m[0], " ", " ")[0]) == 1 and new.isalpha() else m[0], line)
-    if bare != line and not repair_line(bare)[2]:
+    if bare != line and not _repair_line(bare)[2]:
         return line, [], 1, 1
     best, least, how, count, quoted = line, total, [], 0, 0
     tried: set[tuple] = set()
@@ -357,7 +410,7 @@ def repair(text: str) -> tuple[str, bool, str, str]:
         return text, False, "none", ""
     lines, steps, strong, lost, found_lost = text.split("\n"), [], 0, 0, 0
     for i, line in enumerate(lines):
-        if line.isascii():
+        if line.isascii() and not ESCAPE.search(line):
             continue
         new, did, n, quoted = repair_line(line)
         if n > quoted:
@@ -376,14 +429,22 @@ def repair(text: str) -> tuple[str, bool, str, str]:
 
 
 def suspicious(text: str) -> bool:
-    """Whether any line could be worth a search: one vectorised pass over the text."""
+    """Whether any line could be worth a search: one vectorised pass over the text, and one over it without escapes."""
+    plain = _opened(text)
+    return _suspicious(text) or plain != text and _suspicious(plain)
+
+
+def _suspicious(text: str) -> bool:
     if text.isascii():
         return False
     cost = char_costs(text)
-    if cost.max() >= HOT:
+    if cost.max() >= HOT or len(_dense(text, cost)):
         return True
-    wide = np.count_nonzero(cost)
-    return bool(wide and cost.sum() >= HOT_LINE * 0.8 * wide)
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    starts = np.r_[0, np.flatnonzero(codes == 10) + 1]
+    starts = starts[starts < len(codes)]
+    sums, wide = np.add.reduceat(cost, starts), np.add.reduceat((codes > 0x7F).astype(np.int64), starts)
+    return bool(np.any((wide > 0) & (sums >= HOT_LINE * 0.8 * wide)))
 
 
 def repair_texts(df: DataFrame, key: str, text: str) -> DataFrame:

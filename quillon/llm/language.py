@@ -162,7 +162,7 @@ def _units(text: str) -> Iterator[tuple[int, int, str]]:
     at, odd = 0, suspicious(text)
     for line in text.split("\n"):
         body = line
-        if odd and not line.isascii():
+        if odd:
             body = repair_line(line)[0]
         if len(body) > 60:
             body = DATA_RUN.sub(lambda m: " " * len(m[0]), body)

@@ -1,6 +1,8 @@
 """Registered queries give the whole result, on tables small enough to see it."""
 
-from quillon.llm import queries
+import pytest
+
+from quillon.llm import garbled, queries
 
 
 def test_pairs_shown_together_once_are_kept(spark, tmp_path):
@@ -8,3 +10,23 @@ def test_pairs_shown_together_once_are_kept(spark, tmp_path):
     spark.createDataFrame(rows, "result_no long, entities array<string>").write.parquet(str(tmp_path / "search_results.parquet"))
     got = {tuple(r) for r in queries.p5_pairs(spark, str(tmp_path)).collect()}
     assert got == {("a", "b", 2, 2, 2, 4, 2.0), ("a", "c", 1, 2, 1, 4, 2.0), ("b", "c", 1, 2, 1, 4, 2.0)}
+
+
+RUSSIAN = "Сегодня мы обсуждали новую версию сервиса и решили перенести выпуск на неделю. "
+GERMAN = "Die Prüfung der Änderungen läuft für größere Übersichten schöner. "
+
+
+@pytest.mark.parametrize("clean", [RUSSIAN, GERMAN])
+@pytest.mark.parametrize("ends", ["\n", " "])
+def test_garbled_stretch_of_a_long_text_is_found(spark, clean, ends):
+    meant = "Привет, как твои дела сегодня"
+    read = meant.encode("cp1251").decode("cp1252")
+    df = spark.createDataFrame([(1, clean * 40 + ends + read + ends + clean * 40), (2, clean * 80)], "k long, t string")
+    got = {r.k: r.repaired for r in garbled.repair_texts(df, "k", "t").collect()}
+    assert got == {1: clean * 40 + ends + meant + ends + clean * 40}
+
+
+def test_escaped_garbled_text_is_found(spark):
+    rows = [(1, "caf&Atilde;&copy; and so on"), (2, "The caf\\u00c3\\u00a9 demo"), (3, "caf&eacute; &amp; bar"), (4, "a & b; c\\u0041d")]
+    got = {r.k: r.repaired for r in garbled.repair_texts(spark.createDataFrame(rows, "k long, t string"), "k", "t").collect()}
+    assert got == {1: "café and so on", 2: "The café demo"}
