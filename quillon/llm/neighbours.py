@@ -37,6 +37,7 @@ class Index:
     part: np.ndarray  # part of each cell
     books: np.ndarray  # subspaces x 16 x 2
     weight: float  # of the parallel error, over that of the orthogonal
+    spread: float  # dimensions that vectors of a cell scatter in
 
     def cells(self, x: np.ndarray) -> np.ndarray:
         return np.argmax(x @ self.centroids.T, axis=1)
@@ -115,7 +116,9 @@ def fit(sample: np.ndarray, rows: int, threshold: float = 0.2, seed: int = 42) -
     dim = sample.shape[1]
     weight = float((dim - 1) * threshold**2 / (1 - threshold**2))
     books = _train(sample, sample - centroids[near], max(1.0, weight))
-    return Index(centroids, part, books, max(1.0, weight))
+    left = (sample - centroids[near]).astype(np.float64)
+    around = left.T @ left
+    return Index(centroids, part, books, max(1.0, weight), float(np.trace(around) ** 2 / max((around**2).sum(), 1e-12)))
 
 
 def _unit(batch: pa.RecordBatch, name: str) -> np.ndarray:
@@ -124,23 +127,30 @@ def _unit(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
+def _whole(index: Index, probes: int | None, radius: float | None) -> bool:
+    """Whether a query scans all codes."""
+    return radius is None if probes is None else probes >= len(index.centroids)
+
+
 ROUTED = "part int, query boolean, id long, cells binary, scale float, code binary"
 
 
 def _route(index: Index, probes: int | None, radius: float | None):
     """mapInArrow: vectors to index rows (cell and code), and to one query row for each part they probe.
 
-    Where every part is scanned, both kinds of rows carry the vector itself, and are reranked in place.
+    Where every part is scanned, both kinds of rows carry the vector itself, and are reranked in place. With a
+    radius and no number of probes, a vector probes every cell that passes the gate.
     """
-    cells, dim = len(index.centroids), index.centroids.shape[1]
-    every = probes is None or probes >= cells
+    cells = len(index.centroids)
+    every = _whole(index, probes, radius)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        between = np.sqrt(np.maximum(0, 2 - 2 * index.centroids @ index.centroids.T)) if radius is not None and not every else None
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
-                yield from one(batch.slice(at, 4096))
+                yield from one(batch.slice(at, 4096), between)
 
-    def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    def one(batch: pa.RecordBatch, between: np.ndarray | None) -> Iterator[pa.RecordBatch]:
         x, ids = _unit(batch, "vector"), batch.column("id").to_numpy(zero_copy_only=False)
         near = x @ index.centroids.T
         cell = np.argmax(near, axis=1)
@@ -161,15 +171,17 @@ def _route(index: Index, probes: int | None, radius: float | None):
             yield rows(where, True, ids[ask][who], lists, np.zeros(len(who)), [raw[ask[w]].tobytes() for w in who])
             return
         else:
-            top = np.argpartition(-near[ask], probes - 1, axis=1)[:, :probes]
-            score = np.take_along_axis(near[ask], top, 1)
-            use = np.ones_like(top, dtype=bool)
+            if probes is None or probes >= cells:
+                top = np.broadcast_to(np.arange(cells), (len(ask), cells))
+            else:
+                top = np.argpartition(-near[ask], probes - 1, axis=1)[:, :probes]
+            use = np.ones(top.shape, dtype=bool)
             if radius is not None:
-                # a neighbour within the radius crosses to the cell only if its step along the line of the two centroids is that long
+                # a neighbour within the radius crosses to the cell only if its step along the line of the two centroids is that
+                # long: at most the radius, and hardly more than 3.5 deviations of a step scattered over the dimensions of a cell
                 best = cell[ask]
-                gap = near[ask][np.arange(len(ask)), best][:, None] - score
-                apart = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("qd,qpd->qp", index.centroids[best], index.centroids[top])))
-                use = gap <= 3.5 * radius * apart / np.sqrt(dim)
+                gap = near[ask, best][:, None] - np.take_along_axis(near[ask], top, 1)
+                use = gap <= min(1.0, 3.5 / max(1.0, index.spread) ** 0.5) * radius * np.take_along_axis(between[best], top, 1) + 1e-6
             who, k = np.nonzero(use)
             cell_of = top[who, k].astype(np.int32)
             order = np.lexsort((cell_of, index.part[cell_of], who))
@@ -331,7 +343,7 @@ def nearest(
     """The ``k`` vectors nearest to each asking row, at most ``radius`` away, as (key_a, key_b, distance, rank).
 
     ``ask`` selects the asking rows (all by default). ``probes`` is the number of cells a query scans; None scans
-    all codes. The ``rerank`` best codes of a query (or, with a radius, those whose score is at most ``slack``
+    all codes or, with a radius, every cell that can be expected to hold a neighbour. The ``rerank`` best codes of a query (or, with a radius, those whose score is at most ``slack``
     short of it) are compared with the exact vectors; distances are those of the vectors scaled to length 1.
     Equal vectors are indexed once and share their neighbours; of a group of equals the ``k`` + 1 smallest keys
     stand for it, so that a group of any size stays cheap and no nearer row is lost (ties go to smaller keys).
@@ -357,7 +369,7 @@ def nearest(
     parts = int(index.part.max()) + 1
     routed = spread(groups.select("id", "vector", F.coalesce("ask", F.lit(False)).alias("ask"))).mapInArrow(_route(index, probes, radius), ROUTED)
     least = None if radius is None else 1 - radius * radius / 2 - slack
-    whole = probes is None or probes >= len(index.centroids)
+    whole = _whole(index, probes, radius)
     keep = min(rerank, max(64, 2 * rerank // parts)) if whole or radius is None else rerank
     found = routed.repartitionById(parts, F.col("part")).mapInArrow(_scan(index, keep, least, k + 1, whole), SCANNED)
     if whole:

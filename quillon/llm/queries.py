@@ -30,7 +30,7 @@ def p2_knn(spark: SparkSession, directory: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, directory: str) -> DataFrame:
     """Pairs of chunks at a distance of at most 0.30, from the 10 nearest of every chunk."""
-    found = neighbours.nearest(table(spark, directory, "chunks"), "chunk_no", "embedding", 10, radius=0.30, probes=24)
+    found = neighbours.nearest(table(spark, directory, "chunks"), "chunk_no", "embedding", 10, radius=0.30)
     return found.select(F.least("key_a", "key_b").alias("chunk_a"), F.greatest("key_a", "key_b").alias("chunk_b")).distinct()
 
 

@@ -1,8 +1,10 @@
 """Registered queries give the whole result, on tables small enough to see it."""
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from quillon.llm import garbled, queries
+from quillon.llm import garbled, neighbours, queries
 
 
 def test_pairs_shown_together_once_are_kept(spark, tmp_path):
@@ -30,3 +32,21 @@ def test_escaped_garbled_text_is_found(spark):
     rows = [(1, "caf&Atilde;&copy; and so on"), (2, "The caf\\u00c3\\u00a9 demo"), (3, "caf&eacute; &amp; bar"), (4, "a & b; c\\u0041d")]
     got = {r.k: r.repaired for r in garbled.repair_texts(spark.createDataFrame(rows, "k long, t string"), "k", "t").collect()}
     assert got == {1: "café and so on", 2: "The café demo"}
+
+
+@pytest.mark.parametrize("dims", [4, 8, 64])
+def test_radius_queries_probe_every_cell_of_a_neighbour(dims):
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((3000, dims)) @ np.linalg.qr(rng.standard_normal((64, dims)))[0].T
+    x = np.concatenate([x, x + 0.16 * np.linalg.norm(x, axis=1, keepdims=True) * rng.standard_normal(x.shape) / 8])
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    index = neighbours.fit(x, 60 * neighbours.CELL_ROWS)
+    batch = pa.RecordBatch.from_pydict({"id": pa.array(range(len(x))), "vector": pa.array(x.tolist(), pa.list_(pa.float32())), "ask": pa.array([True] * len(x))})
+    probed = np.zeros((len(x), len(index.centroids)), dtype=bool)
+    for out in neighbours._route(index, None, 0.3)(iter([batch])):
+        for r in out.to_pylist():
+            if r["query"]:
+                probed[r["id"], np.frombuffer(r["cells"], np.int32)] = True
+    q, other = np.nonzero(2 - 2 * x @ x.T <= 0.09)
+    assert probed[q, index.cells(x)[other]].mean() >= 0.9999
+    assert dims != 8 or probed.sum(1).max() > 24
