@@ -82,3 +82,9 @@ def summary(sentences: Column, scores: Column, most: int = 2) -> Column:
     picked = F.aggregate(order, start, lambda acc, x: F.when((F.size(acc) >= most) | near(acc, x["i"]), acc).otherwise(F.concat(acc, F.array(x["i"]))))
     text = F.array_join(F.transform(F.array_sort(picked), lambda i: F.get(sentences, i)), " [...] ")
     return F.struct(text.alias("text"), F.coalesce(F.array_max(scores), F.lit(0.1)).alias("score"))
+
+
+def start_of(text: Column, most: int = 150) -> Column:
+    """struct(text, score): what stands for a text without sentences, its start, with score 0.1."""
+    start = F.concat(F.substring(text, 1, most), F.when(F.length(text) > most, "...").otherwise(""))
+    return F.struct(start.alias("text"), F.lit(0.1).cast("double").alias("score"))

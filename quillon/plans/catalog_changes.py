@@ -120,8 +120,14 @@ def import_merge(spark, directory):
 
 @query
 def export_rows(spark, directory):
+    """Entities, relations and documents as JSON: the number of rows made of each kind."""
+    return store.export_rows(memory(spark, directory)).groupBy("kind").agg(F.count("json").alias("n"))
+
+
+@query
+def export_lengths(spark, directory):
     """Entities, relations and documents as JSON: the number and total length of each kind."""
-    return store.export_rows(memory(spark, directory)).groupBy("kind").agg(F.count("*").alias("n"))
+    return store.export_rows(memory(spark, directory)).groupBy("kind").agg(F.count("json").alias("n"), F.sum(F.length("json")).alias("length"))
 
 
 @query

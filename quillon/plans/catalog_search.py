@@ -158,10 +158,12 @@ def content_summaries(spark, directory):
 
     m = memory(spark, directory)
     names = _chunk_names(spark, directory).groupBy("chunk_id").agg(F.collect_set("name").alias("names"))
-    rows = spread(m.chunks.filter("chunk_type = 'document' AND text IS NOT NULL").select("chunk_id", "text")).join(names, "chunk_id")
-    said = rows.withColumn("said", sentences(F.col("text"))).filter("size(said) > 0")
+    rows = spread(m.chunks.filter("chunk_type = 'document' AND text IS NOT NULL").select("chunk_id", "text")).join(names, "chunk_id", "left")
+    rows = rows.withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
+    said = rows.withColumn("said", sentences(F.col("text")))
     scored = said.withColumn("scores", F.transform("said", lambda s: F.round(hybrid.importance(s, F.col("names")), 6)))
-    return scored.select("chunk_id", hybrid.summary(F.col("said"), F.col("scores")).alias("s")).select("chunk_id", "s.text", "s.score")
+    best = hybrid.summary(F.col("said"), F.col("scores"))
+    return scored.select("chunk_id", F.when(F.size("said") > 0, best).otherwise(hybrid.start_of(F.col("text"))).alias("s")).select("chunk_id", "s.text", "s.score")
 
 
 @query
