@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from quillon.operators.components import components
 from quillon.operators.graph import bfs
 from quillon.schema import Memory, first_by
-from quillon.session import materialise
+from quillon.session import discard, materialise
 
 
 def simple_edges(m: Memory) -> DataFrame:
@@ -37,26 +37,29 @@ def degree_centrality(m: Memory, edges: DataFrame) -> DataFrame:
     return degrees(m, edges).select("id", "name", (F.col("degree") / F.lit(max(1, n - 1))).alias("score"))
 
 
-def pagerank(m: Memory, edges: DataFrame, alpha: float = 0.85, rounds: int = 20, tolerance: float | None = None) -> DataFrame:
+def pagerank(m: Memory, edges: DataFrame, alpha: float = 0.85, rounds: int = 100, tolerance: float | None = 1e-6) -> DataFrame:
     """(id, name, score): PageRank over undirected edges; the rank of isolated nodes is shared by all.
 
-    A fixed number of rounds, or fewer once the ranks change less than ``tolerance`` a node in all.
+    Rounds go on until the ranks change less than ``tolerance`` a node in all, at most ``rounds`` times (None: exactly
+    ``rounds``). Links and ranks are bucketed by node: a round shuffles only the shares that flow along the links.
     """
     n = m.entities.count()
-    links = materialise(ends(edges), "links")
+    links = materialise(ends(edges), "links", by="a")
     degree = links.groupBy("a").agg(F.count("*").alias("d"))
-    ranks = materialise(m.entities.select(F.col("id").alias("a"), "name").join(degree, "a", "left").withColumn("r", F.lit(1.0 / max(1, n))), "ranks")
-    for k in range(rounds):
+    start = m.entities.select(F.col("id").alias("a"), "name").join(degree, "a", "left").withColumn("r", F.lit(1.0 / max(1, n))).withColumn("moved", F.lit(0.0))
+    ranks = materialise(start, "ranks", by="a")
+    for _ in range(rounds):
         loose = ranks.filter("d IS NULL").agg(F.coalesce(F.sum("r"), F.lit(0.0))).first()[0]
         given = ranks.filter("d IS NOT NULL").select("a", (F.col("r") / F.col("d")).alias("share"))
         got = links.join(given, "a").groupBy(F.col("b").alias("a")).agg(F.sum("share").alias("got"))
         new = alpha * (F.coalesce("got", F.lit(0.0)) + loose / n) + (1 - alpha) / n
         step = ranks.join(got, "a", "left").select("a", "name", "d", new.alias("r"), F.abs(new - F.col("r")).alias("moved"))
-        step = materialise(step, "ranks")
-        if tolerance is not None and step.agg(F.sum("moved")).first()[0] < n * tolerance:
-            ranks = step.drop("moved")
+        step = materialise(step, "ranks", by="a")
+        discard(ranks)
+        ranks = step
+        if tolerance is not None and (ranks.agg(F.sum("moved")).first()[0] or 0.0) < n * tolerance:
             break
-        ranks = step.drop("moved")
+    discard(links)
     return ranks.select(F.col("a").alias("id"), "name", F.col("r").alias("score"))
 
 

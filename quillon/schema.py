@@ -12,10 +12,12 @@ from quillon.session import table
 
 
 def first_by(df: DataFrame, key: str, *order: str) -> DataFrame:
-    """The first row of each key in the given order, by partial aggregation instead of a window."""
+    """The first row of each key in the given order, by partial aggregation instead of a window.
+
+    Every column is an aggregate of its own, so that a query scans and shuffles only the columns it uses.
+    """
     rest = [c for c in df.columns if c != key]
-    picked = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r"))
-    return picked.select(key, *[F.col(f"_r.{c}").alias(c) for c in rest])
+    return df.filter(F.col(key).isNotNull()).groupBy(key).agg(*[F.min_by(c, F.struct(*order)).alias(c) for c in rest])
 
 
 def relation_id(source: Column, kind: Column, target: Column) -> Column:
