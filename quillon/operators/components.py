@@ -5,28 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.operators.skew import HOT, look_up
 from quillon.session import discard, materialise
 
-#: Nodes with more pairs than this, and more than a thousandth of all, have their pairs dealt to SALTS tasks.
-HOT, SALTS = 100_000, 64
-
 
 def _star(pairs: DataFrame, large: bool, hot: int) -> DataFrame:
-    """One star step over (u, v): every neighbour is linked to the smallest node around.
-
-    The smallest node of a group of pairs is found by partial aggregation. To hand it to the pairs, those of a hot node
-    are spread over salts; the hot nodes are known by a broadcast table of at most 2,000 rows, as each has more
-    than a thousandth of the pairs.
-    """
+    """One star step over (u, v): every neighbour is linked to the smallest node around, which partial aggregation finds."""
     around = pairs if not large else pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
     if not large:
         around = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     lowest = around.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
-    crowded = F.col("n") > hot
-    marked = around.join(F.broadcast(lowest.filter(crowded).select("u", F.lit(True).alias("hot"))), "u", "left")
-    marked = marked.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).otherwise(0))
-    copies = F.when(crowded, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    joined = marked.join(lowest.select("u", "m", F.explode(copies).alias("salt")), ["u", "salt"])
+    joined = look_up(around, lowest, ["u"], "v", "n", hot)
     if large:
         moved = joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -44,7 +33,7 @@ def components(edges: DataFrame, source: str, target: str, limit: int = 50, hot:
     pairs = materialise(edges.select(F.col(source).alias("u"), F.col(target).alias("v")).filter("u <> v").distinct(), "star")
     many, seen = pairs.count(), None
     for _ in range(limit):
-        crowd = max(hot, many // 1000)
+        crowd = max(hot, many // 500)  # a large star has each pair twice
         step = materialise(_star(_star(pairs, True, crowd), False, crowd), "star")
         discard(pairs)
         pairs = step
