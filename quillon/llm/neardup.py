@@ -3,7 +3,9 @@
 Two sets with a Jaccard similarity of at least t share a token among the first |x| - ceil(t |x|) + 1 tokens of
 each under *any* global order of the tokens. Candidates are formed under a first order that puts rare tokens
 first; a candidate must also share prefix tokens under two further orders (ascending and descending hash)
-before its sets are compared. Tokens are hashes of runs of consecutive words.
+before its sets are shuffled and compared. A token in too many records is replaced by its pairs with the prefix
+tokens of the second order, and a pair that is still in too many has its records dealt to blocks. Tokens are hashes
+of runs of consecutive words.
 """
 
 from __future__ import annotations
@@ -19,16 +21,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.operators.components import components
-from quillon.session import materialise, spread
+from quillon.operators.skew import HOT, look_up
+from quillon.session import discard, materialise, spread
 
-#: Tokens whose frequency is known to every task; the broadcast table is never longer.
-KNOWN_TOKENS = 200_000
+#: Cells of each of the two rows of a sketch of frequencies, a byte each: what is broadcast for it, at any size of the data.
+SKETCH = 1 << 22
 #: Records of a bucket of tokens, and candidates formed at once in a task.
 BUCKET_RECORDS, BLOCK = 8192, 1 << 21
-#: Postings of tokens in more records than this are split by a token of the second order.
-HOT_RECORDS = 20_000
-#: Key tables up to this many rows (16 bytes each) are broadcast; larger ones are joined by shuffle.
-SMALL_ROWS = 1_000_000
+#: Tokens in more records than this are split by tokens of the second order, longer lists of those by blocks.
+HOT_RECORDS = 4096
 EPS = 1e-9
 
 
@@ -102,38 +103,60 @@ def _slices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, lis
             start, size = i + 1, 0
 
 
-def fingerprints(width: int, least: int):
-    """mapInArrow: (kind, key, text) to two hashes of the words, of records with enough runs."""
+def signs(width: int, least: int):
+    """mapInArrow: (kind, key, text) to two hashes of the words of each record with enough runs, and to partial counts of tokens.
+
+    Both kinds of rows come from one pass over the texts: (kind, key, h, g) and (token, n), the other columns null.
+    """
+    schema = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("h", pa.int64()), ("g", pa.int64()), ("token", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
         for batch in batches:
             for kind, key, texts in _slices(batch):
-                sizes, _, first, second = token_sets(texts, kind, width)
+                sizes, tokens, first, second = token_sets(texts, kind, width)
                 use = sizes >= max(least, 1)
-                yield pa.RecordBatch.from_arrays([pa.array(x[use]) for x in (kind, key, first, second)], names=["kind", "key", "h", "g"])
+                none = pa.nulls(int(use.sum()), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(kind[use].astype(np.int8)), *(pa.array(x[use]) for x in (key, first, second)), none, none], schema=schema)
+                held.append(tokens[np.repeat(use, sizes)])
+            if sum(map(len, held)) > 4 * BLOCK:
+                yield counts(held)
+                held = []
+        if held:
+            yield counts(held)
+
+    def counts(held: list[np.ndarray]) -> pa.RecordBatch:
+        token, n = np.unique(np.concatenate(held), return_counts=True)
+        none = [pa.nulls(len(token), t) for t in (pa.int8(), pa.int64(), pa.int64(), pa.int64())]
+        return pa.RecordBatch.from_arrays([*none, pa.array(token, pa.int64()), pa.array(n, pa.int64())], schema=schema)
 
     return run
 
 
-def frequencies(width: int, least: int):
-    """mapInArrow: (kind, key, text) to partial counts of tokens."""
+def grade(n: int) -> int:
+    """Frequencies in steps of a quarter of an octave; 0 for those that occur once."""
+    return math.ceil(4 * math.log2(n)) if n > 1 else 0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
-        for batch in batches:
-            for kind, _, texts in _slices(batch):
-                sizes, tokens, _, _ = token_sets(texts, kind, width)
-                held.append(tokens[np.repeat(sizes >= least, sizes)])
-            if sum(map(len, held)) > 4 * BLOCK:
-                yield out(held)
-                held = []
-        if held:
-            yield out(held)
 
-    def out(held: list[np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in np.unique(np.concatenate(held), return_counts=True)], names=["token", "n"])
+def sketch_of(frequency: DataFrame, cells: int) -> np.ndarray:
+    """Grades of frequencies (token, n) in a table of two rows of ``cells``: a cell holds the largest grade of its tokens.
+
+    The table has the same size whatever there is to count; the driver receives at most its 2 x ``cells`` entries.
+    """
+    bits = cells.bit_length() - 1
+    low, high = F.col("token").bitwiseAND(cells - 1), F.shiftrightunsigned("token", bits).bitwiseAND(cells - 1) + cells
+    each = frequency.filter("n > 1").select(F.explode(F.array(low.cast("int"), high.cast("int"))).alias("cell"), F.ceil(4 * F.log2("n")).cast("int").alias("g"))
+    found = each.groupBy("cell").agg(F.max("g").alias("g")).toArrow()
+    out = np.zeros(2 * cells, dtype=np.uint8)
+    out[found.column("cell").to_numpy()] = found.column("g").to_numpy()
+    return out
 
-    return run
+
+def grades(sketch: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Grade of each token: never too low, and too high only if more frequent tokens share both of its cells."""
+    cells = len(sketch) // 2
+    high = tokens.view(np.uint64) >> np.uint64(cells.bit_length() - 1)
+    return np.minimum(sketch[tokens & (cells - 1)], sketch[(high & np.uint64(cells - 1)).astype(np.int64) + cells])
 
 
 def sets_of(width: int):
@@ -159,10 +182,59 @@ def levels(n: np.ndarray) -> np.ndarray:
     return np.maximum(0, np.ceil(np.log2(np.maximum(n, 1) / 128) / 2 - EPS)).astype(np.int64)
 
 
-def postings(known: np.ndarray, counts: np.ndarray, t: float, width: int, buckets: int, hot: int):
-    """mapInArrow: (kind, key, text) to one row for each bucket that holds prefix tokens of the record.
+def lists_of(kind: np.ndarray, n: np.ndarray, tokens: np.ndarray, sketch: np.ndarray, t: float, least: int, hot: int) -> tuple:
+    """(record, list, place in the first order, whether crowded) of the lists that the records of a slice stand in.
+
+    A record stands in the list of each prefix token of the first order; for a token in more than ``hot`` records it
+    stands, instead, in those of the token with each prefix token of the second order, as similar records share both.
+    """
+    record = np.repeat(np.arange(len(n)), n)
+    starts = np.cumsum(n) - n
+    second = np.arange(len(tokens)) - starts[record]  # tokens come sorted: their place in the second order
+    rare = grades(sketch, tokens).astype(np.uint64)
+    # 12 bits of the record (4,096 of a slice), 8 of the grade, 44 of the token
+    order = np.argsort(record.astype(np.uint64) << np.uint64(52) | rare << np.uint64(44) | tokens.view(np.uint64) >> np.uint64(8), kind="stable")
+    at = np.arange(len(tokens))
+    length = np.where(n >= max(least, 1), prefix(n, t), 0)
+    first = order[at - starts[record] < length[record]]
+    place = np.empty(len(tokens), np.int64)
+    place[order] = at - starts[record]
+    who, token, pos = record[first], tokens[first], place[first]
+    crowded = rare[first] > grade(hot)
+    marks = np.zeros(len(who), bool)
+    if crowded.any():
+        other = np.flatnonzero(second < length[record])
+        begin, end = np.searchsorted(record[other], who[crowded]), np.searchsorted(record[other], who[crowded], side="right")
+        times = end - begin
+        pick = np.repeat(begin, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        mixed = _mix(np.repeat(token[crowded], times).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ tokens[other[pick]].view(np.uint64)) >> np.uint64(12)
+        marks = np.r_[np.zeros(int((~crowded).sum()), bool), np.ones(len(mixed), bool)]
+        who, pos = np.r_[who[~crowded], np.repeat(who[crowded], times)], np.r_[pos[~crowded], np.repeat(pos[crowded], times)]
+        token = np.r_[token[~crowded], mixed.view(np.int64)]
+    return who, token, pos, marks
+
+
+def crowded_lists(sketch: np.ndarray, t: float, width: int, least: int, hot: int):
+    """mapInArrow: (kind, key, text) to partial counts (token, n) of the lists of crowded tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for kind, _, texts in _slices(batch):
+                n, tokens, _, _ = token_sets(texts, kind, width)
+                if len(tokens):
+                    _, token, _, marks = lists_of(kind, n, tokens, sketch, t, least, hot)
+                    found, times = np.unique(token[marks], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(times, pa.int64())], names=["token", "n"])
+
+    return run
+
 
-    ``load`` holds the record's parity bitmap, then the tokens (32 bits each) and their places in the first order.
+def postings(sketch: np.ndarray, long: np.ndarray | None, t: float, width: int, least: int, buckets: int, hot: int):
+    """mapInArrow: (kind, key, text) to one row for each bucket that holds lists of the record.
+
+    ``load`` holds the record's parity bitmap, then the lists (32 bits each) and their tokens' places in the first
+    order. ``long`` is the sketch of the lists of crowded tokens: one that is too long still has its records dealt to
+    blocks, and each two blocks are a list, so that each two records meet in one.
     """
     schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("key", pa.int64()), ("n", pa.int32()), ("load", pa.binary())])
 
@@ -173,43 +245,40 @@ def postings(known: np.ndarray, counts: np.ndarray, t: float, width: int, bucket
                 if len(tokens):
                     yield one(kind, key, n, tokens)
 
+    def dealt(key: np.ndarray, who: np.ndarray, token: np.ndarray, pos: np.ndarray, marks: np.ndarray) -> tuple:
+        size = grades(long, token).astype(np.int64)
+        blocks = np.where(marks & (size > grade(hot)), np.ceil(2.0 ** (size / 4) / hot), 1).astype(np.int64)
+        if blocks.max(initial=1) == 1:
+            return who, token, pos
+        own = (_mix(key[who].view(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)
+        rows = np.repeat(np.arange(len(who)), blocks)
+        other = np.arange(len(rows)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        keep = (blocks[rows] == 1) | (other != own[rows])  # two of one block meet in its pairs with any other
+        rows, other = rows[keep], other[keep]
+        low, high = np.minimum(own[rows], other), np.maximum(own[rows], other)
+        cell = _mix(token[rows].view(np.uint64) ^ _mix((low * (1 << 24) + high + 1).view(np.uint64))) >> np.uint64(12)
+        return who[rows], np.where(blocks[rows] > 1, cell.view(np.int64), token[rows]), pos[rows]
+
     def one(kind: np.ndarray, key: np.ndarray, n: np.ndarray, tokens: np.ndarray) -> pa.RecordBatch:
+        who, token, pos, marks = lists_of(kind, n, tokens, sketch, t, least, hot)
+        if long is not None and marks.any():
+            who, token, pos = dealt(key, who, token, pos, marks)
         record = np.repeat(np.arange(len(n)), n)
-        place = np.minimum(np.searchsorted(known, tokens), max(0, len(known) - 1))
-        count = np.where(known[place] == tokens, counts[place], 0) if len(known) else np.zeros(len(tokens), np.int64)
-        starts = np.cumsum(n) - n
-        second = np.arange(len(tokens)) - starts[record]  # tokens come sorted: their place in the second order
         level = levels(n)
         bits = [b""] * len(n)
         for v in np.unique(level):
             own, size = np.flatnonzero(level == v), 256 * 4 ** int(v)
             inside = level[record] == v
             row = np.searchsorted(own, record[inside])
-            marks = np.bincount(row * size + (tokens[inside] & (size - 1)), minlength=len(own) * size) & 1
-            packed = np.packbits(marks.astype(np.uint8).reshape(len(own), size), axis=1)
+            marked = np.bincount(row * size + (tokens[inside] & (size - 1)), minlength=len(own) * size) & 1
+            packed = np.packbits(marked.astype(np.uint8).reshape(len(own), size), axis=1)
             for r, b in zip(own, packed, strict=True):
                 bits[r] = b.tobytes()
-        rare_first = np.minimum(count, (1 << 20) - 1) << 32 | tokens >> 20
-        order = np.argsort(record.astype(np.uint64) << np.uint64(52) | rare_first.astype(np.uint64), kind="stable")
-        at = np.arange(len(tokens))
-        first = order[at - starts[record] < prefix(n, t)[record]]
-        place_in_first = np.empty(len(tokens), np.int64)
-        place_in_first[order] = at - starts[record]
-        who, token, pos = record[first], tokens[first], place_in_first[first]
-        crowded = count[first] > hot
-        if crowded.any():
-            other = np.flatnonzero(second < prefix(n, t)[record])
-            begin, end = np.searchsorted(record[other], who[crowded]), np.searchsorted(record[other], who[crowded], side="right")
-            times = end - begin
-            pick = np.repeat(begin, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            mixed = (np.repeat(token[crowded], times) * np.int64(-7046029254386353131)) ^ tokens[other[pick]]
-            who, pos = np.r_[who[~crowded], np.repeat(who[crowded], times)], np.r_[pos[~crowded], np.repeat(pos[crowded], times)]
-            token = np.r_[token[~crowded], mixed]
         bucket = ((token >> 32) & 0xFFFFF) % buckets
         by = np.lexsort((bucket, who))
         who, token, pos, bucket = who[by], token[by], pos[by], bucket[by]
-        heads = np.flatnonzero(np.r_[True, (who[1:] != who[:-1]) | (bucket[1:] != bucket[:-1])])
-        ends = np.r_[heads[1:], len(who)]
+        heads = np.flatnonzero(np.r_[True, (who[1:] != who[:-1]) | (bucket[1:] != bucket[:-1])]) if len(who) else np.zeros(0, np.int64)
+        ends = np.r_[heads[1:], len(who)] if len(who) else heads
         names, places = token.astype(np.uint32).tobytes(), pos.astype(np.uint32).tobytes()
         load = [bits[w] + names[4 * a : 4 * b] + places[4 * a : 4 * b] for w, a, b in zip(who[heads].tolist(), heads.tolist(), ends.tolist(), strict=True)]
         columns = (bucket[heads].astype(np.int32), kind[who[heads]].astype(np.int8), key[who[heads]], n[who[heads]].astype(np.int32))
@@ -297,7 +366,7 @@ def meet(t: float):
 
 
 def near_duplicates(
-    records: DataFrame, threshold: float = 0.8, width: int = 5, least: int = 1, hot: int = HOT_RECORDS
+    records: DataFrame, threshold: float = 0.8, width: int = 5, least: int = 1, hot: int = HOT_RECORDS, cells: int = SKETCH
 ) -> tuple[DataFrame, DataFrame]:
     """Near-duplicates among ``records`` (kind tinyint, key long, texts array<string>).
 
@@ -305,55 +374,67 @@ def near_duplicates(
     ``width`` words have a Jaccard similarity of at least ``threshold``, and ``members`` (kind, key, rep): the class,
     the records of equal words, of every record with at least ``least`` runs. Records of different kinds never meet.
 
+    The first order is by grades of frequency out of a sketch of 2 x ``cells`` bytes, which has that size for any number
+    of tokens; tokens of a grade are ordered by hash. Tokens in more than ``hot`` records (by the sketch, which never
+    says too few) meet by pairs of tokens of two orders, and longer lists of those by blocks; no link is lost.
+
     Null texts are left out; records without a key, without texts or with fewer than ``least`` runs are in no pair
-    and no class; repeated rows of a key count once; an empty table gives two empty results. Tokens in more than
-    ``hot`` records meet by a pair of tokens, one of each of two orders, so that their lists stay short; no link is lost.
+    and no class; repeated rows of a key count once; an empty table gives two empty results.
     """
     spark = records.sparkSession
     base = records.filter(F.col("key").isNotNull()).select(
         F.col("kind").cast("tinyint").alias("kind"), F.col("key").cast("long").alias("key"), F.array_join("texts", PART).alias("text")
     )
     base = spread(base.filter(F.length("text") > 0))
-    prints = base.mapInArrow(fingerprints(width, least), "kind tinyint, key long, h long, g long").distinct()
-    lead = prints.groupBy("kind", "h", "g").agg(F.min("key").alias("rep"))
-    members = materialise(prints.join(lead, ["kind", "h", "g"]).select("kind", "key", "rep"), "members")
-    copies = members.filter("key <> rep").select("kind", "key")
-    frequency = base.mapInArrow(frequencies(width, least), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    frequency = materialise(frequency.filter("n > 1"), "frequency")
-    total = frequency.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    floor = max(8, math.ceil(total / KNOWN_TOKENS))  # at most total / floor tokens are that frequent
-    known = frequency.filter(F.col("n") >= floor).orderBy("token").toArrow()
-    names, counts = (known.column(c).to_numpy().astype(np.int64) for c in ("token", "n"))
-    shared = spark.sparkContext.broadcast((names, counts))
-    distinct, extra = members.filter("key = rep").count(), copies.count()
-    buckets = max(12, distinct // BUCKET_RECORDS)
-    leaders = base.join(members.filter("key = rep").select("kind", "key").distinct(), ["kind", "key"], "left_semi")
-    if extra <= SMALL_ROWS:  # every record but the copies; records without enough runs have too short sets to matter
-        leaders = base.join(F.broadcast(copies), ["kind", "key"], "left_anti")
+    seen = materialise(base.mapInArrow(signs(width, least), "kind tinyint, key long, h long, g long, token long, n long"), "signs")
+    prints = seen.filter("token IS NULL").select("kind", "key", "h", "g").distinct()
+    lead = prints.groupBy("kind", "h", "g").agg(F.min("key").alias("rep"), F.count("*").alias("size"))
+    many = prints.count()
+    members = look_up(prints, lead, ["kind", "h", "g"], "key", "size", max(HOT, many // 1000))
+    members = materialise(members.select("kind", "key", "rep"), "members")
+    frequency = seen.filter("token IS NOT NULL").groupBy("token").agg(F.sum("n").alias("n"))
+    sketch = sketch_of(frequency, cells)
+    discard(seen)
+    shared = spark.sparkContext.broadcast(sketch)
+    # every record but the copies
+    leaders = base.join(members.filter("key <> rep").select("kind", "key"), ["kind", "key"], "left_anti")
+    long = None
+    if sketch.max(initial=0) > grade(hot):
+
+        def count(batches):
+            yield from crowded_lists(shared.value, threshold, width, least, hot)(batches)
+
+        lists = leaders.mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+        long = sketch_of(lists.filter(F.col("n") > hot), cells)
+    longer = spark.sparkContext.broadcast(long)
+    buckets = max(12, many // BUCKET_RECORDS)
 
     def emit(batches):
-        yield from postings(*shared.value, threshold, width, buckets, hot)(batches)
+        yield from postings(shared.value, longer.value, threshold, width, least, buckets, hot)(batches)
 
-    routed = leaders.mapInArrow(emit, "bucket int, kind tinyint, key long, n int, load binary").filter(F.col("n") >= least)
+    routed = leaders.mapInArrow(emit, "bucket int, kind tinyint, key long, n int, load binary")
     met = routed.repartitionById(buckets, F.col("bucket")).mapInArrow(meet(threshold), "kind tinyint, a long, b long").distinct()
     met = materialise(met, "met")
     shared.destroy()
+    longer.destroy()
     ids = met.select("kind", F.explode(F.array("a", "b")).alias("key")).distinct()
-    if met.count() <= SMALL_ROWS:
-        ids = F.broadcast(ids)
     sets = base.join(ids, ["kind", "key"], "left_semi").mapInArrow(sets_of(width), "kind tinyint, key long, tokens array<long>")
-    sets = sets.dropDuplicates(["kind", "key"])
-    sides = [sets.select("kind", F.col("key").alias(x), F.col("tokens").alias(f"tokens_{x}")) for x in "ab"]
-    both = met.join(sides[0], ["kind", "a"]).join(sides[1], ["kind", "b"])
+    sets = materialise(sets.dropDuplicates(["kind", "key"]), "sets")
 
-    def cut(tokens: str, down: bool) -> Column:
-        """The prefix of a set under the second (ascending) or third (descending) order."""
-        size = F.size(tokens)
+    def cut(down: bool) -> Column:
+        """The prefix of a set under the second (ascending) or third (descending) order, 32 bits of each token."""
+        size = F.size("tokens")
         length = size - F.ceil(F.lit(threshold) * size - EPS).cast("int") + 1
-        return F.slice(tokens, size - length + 1 if down else F.lit(1), length)
-
-    for down in (False, True):
-        both = both.filter(F.arrays_overlap(cut("tokens_a", down), cut("tokens_b", down)))
+        part = F.slice("tokens", size - length + 1 if down else F.lit(1), length)
+        return F.transform(part, lambda x: x.bitwiseAND(0x7FFFFFFF).cast("int"))
+
+    # the other orders are intersected on their prefixes alone; whole sets are shuffled for the candidates that are left
+    heads = sets.select("kind", "key", cut(False).alias("up"), cut(True).alias("down"))
+    ha, hb = (heads.select("kind", F.col("key").alias(x), F.col("up").alias(f"up_{x}"), F.col("down").alias(f"down_{x}")) for x in "ab")
+    left = met.join(ha, ["kind", "a"]).join(hb, ["kind", "b"])
+    left = left.filter(F.arrays_overlap("up_a", "up_b") & F.arrays_overlap("down_a", "down_b")).select("kind", "a", "b")
+    sides = [sets.select("kind", F.col("key").alias(x), F.col("tokens").alias(f"tokens_{x}")) for x in "ab"]
+    both = left.join(sides[0], ["kind", "a"]).join(sides[1], ["kind", "b"])
     scored = both.withColumn("common", F.size(F.array_intersect("tokens_a", "tokens_b")))
     scored = scored.withColumn("either", F.size("tokens_a") + F.size("tokens_b") - F.col("common"))
     pairs = scored.filter(F.col("common") >= F.lit(threshold) * F.col("either") - EPS)

@@ -21,8 +21,9 @@ def word_sets(texts, width):
     return out
 
 
-@pytest.mark.parametrize(("hot", "threshold", "width"), [(10**9, 0.6, 3), (3, 0.6, 3), (10**9, 0.8, 5)])
-def test_pairs_equal_brute_force(spark, hot, threshold, width):
+# plain lists, lists of crowded tokens, these in blocks, and a sketch so small that most tokens share its cells
+@pytest.mark.parametrize(("hot", "threshold", "width", "cells"), [(10**9, 0.6, 3, 1 << 22), (3, 0.6, 3, 1 << 22), (1, 0.6, 3, 1 << 22), (2, 0.8, 5, 16), (10**9, 0.8, 5, 16)])
+def test_pairs_equal_brute_force(spark, hot, threshold, width, cells):
     rng = random.Random(7)
     vocabulary = [f"w{i}" for i in range(60)]
     texts = [[" ".join(rng.choices(vocabulary, k=rng.randint(25, 260)))] for _ in range(40)]
@@ -38,12 +39,21 @@ def test_pairs_equal_brute_force(spark, hot, threshold, width):
     sets = {(k, i): word_sets([x for x in (t or []) if x], width) for k, i, t, _ in rows if i is not None}
     sets = {k: s for k, s in sets.items() if len(s) >= 20}
     want = {(a[0], min(a[1], b[1]), max(a[1], b[1])) for a, b in itertools.combinations(sets, 2) if a[0] == b[0] and len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]) - 1e-9}
-    got = {tuple(r) for r in neardup.expand(*neardup.near_duplicates(df, threshold, width, 20, hot)).collect()}
+    got = {tuple(r) for r in neardup.expand(*neardup.near_duplicates(df, threshold, width, 20, hot, cells)).collect()}
     assert got == want and len(want) > 10
     empty = neardup.expand(*neardup.near_duplicates(df.limit(0), threshold, width, 20))
     assert empty.count() == 0
 
 
+def test_a_sketch_never_says_too_few(spark):
+    rng = np.random.default_rng(3)
+    tokens, n = np.unique(rng.integers(0, 1 << 52, 500)), rng.integers(1, 5000, 500)
+    df = spark.createDataFrame(list(zip(tokens.tolist(), n.tolist(), strict=False)), "token long, n long")
+    true = np.array([neardup.grade(int(x)) for x in n[: len(tokens)]])
+    wide, narrow = (neardup.grades(neardup.sketch_of(df, c), tokens) for c in (1 << 16, 64))
+    assert (wide >= true).all() and (wide == true).mean() > 0.99 and (narrow >= true).all()
+
+
 def test_tokens_follow_the_words():
     a, b = "Hello, World!  the\tquick\nbrown fox", "hello world the quick brown-fox"
     kind = np.zeros(2, np.int64)
