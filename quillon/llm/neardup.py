@@ -3,9 +3,9 @@
 Two sets with a Jaccard similarity of at least t share a token among the first |x| - ceil(t |x|) + 1 tokens of
 each under *any* global order of the tokens. Candidates are formed under a first order that puts rare tokens
 first; a candidate must also share prefix tokens under two further orders (ascending and descending hash)
-before its sets are shuffled and compared. A token in too many records is replaced by its pairs with the prefix
-tokens of the second order, and a pair that is still in too many has its records dealt to blocks. Tokens are hashes
-of runs of consecutive words.
+before its sets are shuffled and compared. The records of a frequent token are dealt to blocks that meet two by
+two; a very frequent one is replaced by its pairs with the prefix tokens of the second order before. Tokens are
+hashes of runs of consecutive words.
 """
 
 from __future__ import annotations
@@ -28,8 +28,11 @@ from quillon.session import discard, materialise, spread
 SKETCH = 1 << 22
 #: Records of a bucket of tokens, and candidates formed at once in a task.
 BUCKET_RECORDS, BLOCK = 8192, 1 << 21
-#: Tokens in more records than this are split by tokens of the second order, longer lists of those by blocks.
-HOT_RECORDS = 4096
+#: Tokens in more records than this have them dealt to blocks, in more than PAIRED times as many are paired with tokens of
+#: the second order first. A list has at most MOST_BLOCKS blocks, which only makes the blocks of a longer one larger.
+HOT_RECORDS, PAIRED, MOST_BLOCKS = 4096, 32, 64
+#: Tables of keys up to this many rows (16 bytes each) are broadcast, larger ones joined by a shuffle.
+SMALL_ROWS = 1_000_000
 EPS = 1e-9
 
 
@@ -182,59 +185,54 @@ def levels(n: np.ndarray) -> np.ndarray:
     return np.maximum(0, np.ceil(np.log2(np.maximum(n, 1) / 128) / 2 - EPS)).astype(np.int64)
 
 
-def lists_of(kind: np.ndarray, n: np.ndarray, tokens: np.ndarray, sketch: np.ndarray, t: float, least: int, hot: int) -> tuple:
-    """(record, list, place in the first order, whether crowded) of the lists that the records of a slice stand in.
+def lists_of(key: np.ndarray, n: np.ndarray, tokens: np.ndarray, sketch: np.ndarray, t: float, least: int, hot: int, paired: int) -> tuple:
+    """(record, list, place in the first order) of the lists that the records of a slice stand in.
 
-    A record stands in the list of each prefix token of the first order; for a token in more than ``hot`` records it
-    stands, instead, in those of the token with each prefix token of the second order, as similar records share both.
+    A record stands in the list of each prefix token of the first order. For a token in more than ``paired`` x ``hot``
+    records these are the lists of the token with each prefix token of the second order, as similar records share
+    both. A list of more than ``hot`` records, by the smaller frequency, is replaced by its blocks, two by two: the
+    record's own block with every other, so that each two records meet.
     """
     record = np.repeat(np.arange(len(n)), n)
     starts = np.cumsum(n) - n
     second = np.arange(len(tokens)) - starts[record]  # tokens come sorted: their place in the second order
-    rare = grades(sketch, tokens).astype(np.uint64)
+    often = grades(sketch, tokens)
     # 12 bits of the record (4,096 of a slice), 8 of the grade, 44 of the token
-    order = np.argsort(record.astype(np.uint64) << np.uint64(52) | rare << np.uint64(44) | tokens.view(np.uint64) >> np.uint64(8), kind="stable")
+    order = np.argsort(record.astype(np.uint64) << np.uint64(52) | often.astype(np.uint64) << np.uint64(44) | tokens.view(np.uint64) >> np.uint64(8), kind="stable")
     at = np.arange(len(tokens))
     length = np.where(n >= max(least, 1), prefix(n, t), 0)
     first = order[at - starts[record] < length[record]]
     place = np.empty(len(tokens), np.int64)
     place[order] = at - starts[record]
-    who, token, pos = record[first], tokens[first], place[first]
-    crowded = rare[first] > grade(hot)
-    marks = np.zeros(len(who), bool)
+    who, token, pos, size = record[first], tokens[first], place[first], often[first]
+    crowded = size > grade(paired * hot)
     if crowded.any():
         other = np.flatnonzero(second < length[record])
         begin, end = np.searchsorted(record[other], who[crowded]), np.searchsorted(record[other], who[crowded], side="right")
         times = end - begin
-        pick = np.repeat(begin, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        mixed = _mix(np.repeat(token[crowded], times).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ tokens[other[pick]].view(np.uint64)) >> np.uint64(12)
-        marks = np.r_[np.zeros(int((~crowded).sum()), bool), np.ones(len(mixed), bool)]
+        pick = other[np.repeat(begin, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
+        mixed = _mix(np.repeat(token[crowded], times).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ tokens[pick].view(np.uint64)) >> np.uint64(12)
+        size = np.r_[size[~crowded], np.minimum(np.repeat(size[crowded], times), often[pick])]
         who, pos = np.r_[who[~crowded], np.repeat(who[crowded], times)], np.r_[pos[~crowded], np.repeat(pos[crowded], times)]
         token = np.r_[token[~crowded], mixed.view(np.int64)]
-    return who, token, pos, marks
-
-
-def crowded_lists(sketch: np.ndarray, t: float, width: int, least: int, hot: int):
-    """mapInArrow: (kind, key, text) to partial counts (token, n) of the lists of crowded tokens."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for kind, _, texts in _slices(batch):
-                n, tokens, _, _ = token_sets(texts, kind, width)
-                if len(tokens):
-                    _, token, _, marks = lists_of(kind, n, tokens, sketch, t, least, hot)
-                    found, times = np.unique(token[marks], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(times, pa.int64())], names=["token", "n"])
-
-    return run
-
-
-def postings(sketch: np.ndarray, long: np.ndarray | None, t: float, width: int, least: int, buckets: int, hot: int):
+    long = size > grade(hot)
+    if not long.any():
+        return who, token, pos
+    blocks = np.where(long, np.minimum(MOST_BLOCKS, np.ceil(2.0 ** (size / 4) / hot)), 1).astype(np.int64)
+    own = (_mix(key[who].astype(np.int64).view(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)
+    rows = np.repeat(np.arange(len(who)), blocks)
+    other = np.arange(len(rows)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    keep = (blocks[rows] == 1) | (other != own[rows])  # two of one block meet in its pairs with any other
+    rows, other = rows[keep], other[keep]
+    cell = (np.minimum(own[rows], other) << 24) + np.maximum(own[rows], other) + 1
+    cell = _mix(token[rows].view(np.uint64) ^ _mix(cell.view(np.uint64))) >> np.uint64(12)
+    return who[rows], np.where(blocks[rows] > 1, cell.view(np.int64), token[rows]), pos[rows]
+
+
+def postings(sketch: np.ndarray, t: float, width: int, least: int, buckets: int, hot: int, paired: int = PAIRED):
     """mapInArrow: (kind, key, text) to one row for each bucket that holds lists of the record.
 
-    ``load`` holds the record's parity bitmap, then the lists (32 bits each) and their tokens' places in the first
-    order. ``long`` is the sketch of the lists of crowded tokens: one that is too long still has its records dealt to
-    blocks, and each two blocks are a list, so that each two records meet in one.
+    ``load`` holds the record's parity bitmap, then the lists (32 bits each) and their tokens' places in the first order.
     """
     schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("key", pa.int64()), ("n", pa.int32()), ("load", pa.binary())])
 
@@ -245,24 +243,8 @@ def postings(sketch: np.ndarray, long: np.ndarray | None, t: float, width: int,
                 if len(tokens):
                     yield one(kind, key, n, tokens)
 
-    def dealt(key: np.ndarray, who: np.ndarray, token: np.ndarray, pos: np.ndarray, marks: np.ndarray) -> tuple:
-        size = grades(long, token).astype(np.int64)
-        blocks = np.where(marks & (size > grade(hot)), np.ceil(2.0 ** (size / 4) / hot), 1).astype(np.int64)
-        if blocks.max(initial=1) == 1:
-            return who, token, pos
-        own = (_mix(key[who].view(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)
-        rows = np.repeat(np.arange(len(who)), blocks)
-        other = np.arange(len(rows)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-        keep = (blocks[rows] == 1) | (other != own[rows])  # two of one block meet in its pairs with any other
-        rows, other = rows[keep], other[keep]
-        low, high = np.minimum(own[rows], other), np.maximum(own[rows], other)
-        cell = _mix(token[rows].view(np.uint64) ^ _mix((low * (1 << 24) + high + 1).view(np.uint64))) >> np.uint64(12)
-        return who[rows], np.where(blocks[rows] > 1, cell.view(np.int64), token[rows]), pos[rows]
-
     def one(kind: np.ndarray, key: np.ndarray, n: np.ndarray, tokens: np.ndarray) -> pa.RecordBatch:
-        who, token, pos, marks = lists_of(kind, n, tokens, sketch, t, least, hot)
-        if long is not None and marks.any():
-            who, token, pos = dealt(key, who, token, pos, marks)
+        who, token, pos = lists_of(key, n, tokens, sketch, t, least, hot, paired)
         record = np.repeat(np.arange(len(n)), n)
         level = levels(n)
         bits = [b""] * len(n)
@@ -366,7 +348,7 @@ def meet(t: float):
 
 
 def near_duplicates(
-    records: DataFrame, threshold: float = 0.8, width: int = 5, least: int = 1, hot: int = HOT_RECORDS, cells: int = SKETCH
+    records: DataFrame, threshold: float = 0.8, width: int = 5, least: int = 1, hot: int = HOT_RECORDS, cells: int = SKETCH, small: int = SMALL_ROWS, paired: int = PAIRED
 ) -> tuple[DataFrame, DataFrame]:
     """Near-duplicates among ``records`` (kind tinyint, key long, texts array<string>).
 
@@ -376,7 +358,8 @@ def near_duplicates(
 
     The first order is by grades of frequency out of a sketch of 2 x ``cells`` bytes, which has that size for any number
     of tokens; tokens of a grade are ordered by hash. Tokens in more than ``hot`` records (by the sketch, which never
-    says too few) meet by pairs of tokens of two orders, and longer lists of those by blocks; no link is lost.
+    says too few) are split by tokens of the second order and by blocks; no link is lost. Tables of at most ``small``
+    keys are broadcast.
 
     Null texts are left out; records without a key, without texts or with fewer than ``least`` runs are in no pair
     and no class; repeated rows of a key count once; an empty table gives two empty results.
@@ -396,29 +379,19 @@ def near_duplicates(
     sketch = sketch_of(frequency, cells)
     discard(seen)
     shared = spark.sparkContext.broadcast(sketch)
-    # every record but the copies
-    leaders = base.join(members.filter("key <> rep").select("kind", "key"), ["kind", "key"], "left_anti")
-    long = None
-    if sketch.max(initial=0) > grade(hot):
-
-        def count(batches):
-            yield from crowded_lists(shared.value, threshold, width, least, hot)(batches)
-
-        lists = leaders.mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-        long = sketch_of(lists.filter(F.col("n") > hot), cells)
-    longer = spark.sparkContext.broadcast(long)
+    copies = members.filter("key <> rep").select("kind", "key")
+    leaders = base.join(F.broadcast(copies) if copies.count() <= small else copies, ["kind", "key"], "left_anti")
     buckets = max(12, many // BUCKET_RECORDS)
 
     def emit(batches):
-        yield from postings(shared.value, longer.value, threshold, width, least, buckets, hot)(batches)
+        yield from postings(shared.value, threshold, width, least, buckets, hot, paired)(batches)
 
     routed = leaders.mapInArrow(emit, "bucket int, kind tinyint, key long, n int, load binary")
     met = routed.repartitionById(buckets, F.col("bucket")).mapInArrow(meet(threshold), "kind tinyint, a long, b long").distinct()
     met = materialise(met, "met")
     shared.destroy()
-    longer.destroy()
     ids = met.select("kind", F.explode(F.array("a", "b")).alias("key")).distinct()
-    sets = base.join(ids, ["kind", "key"], "left_semi").mapInArrow(sets_of(width), "kind tinyint, key long, tokens array<long>")
+    sets = base.join(F.broadcast(ids) if met.count() <= small // 2 else ids, ["kind", "key"], "left_semi").mapInArrow(sets_of(width), "kind tinyint, key long, tokens array<long>")
     sets = materialise(sets.dropDuplicates(["kind", "key"]), "sets")
 
     def cut(down: bool) -> Column:

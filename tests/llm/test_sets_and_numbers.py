@@ -21,9 +21,9 @@ def word_sets(texts, width):
     return out
 
 
-# plain lists, lists of crowded tokens, these in blocks, and a sketch so small that most tokens share its cells
-@pytest.mark.parametrize(("hot", "threshold", "width", "cells"), [(10**9, 0.6, 3, 1 << 22), (3, 0.6, 3, 1 << 22), (1, 0.6, 3, 1 << 22), (2, 0.8, 5, 16), (10**9, 0.8, 5, 16)])
-def test_pairs_equal_brute_force(spark, hot, threshold, width, cells):
+# plain lists, lists in blocks, lists of pairs of tokens (and these in blocks), a sketch so small that most tokens share its cells, no broadcast
+@pytest.mark.parametrize(("hot", "paired", "threshold", "width", "cells", "small"), [(10**9, 32, 0.6, 3, 1 << 22, 10**6), (3, 32, 0.6, 3, 1 << 22, 0), (4, 1, 0.6, 3, 1 << 22, 10**6), (1, 2, 0.6, 3, 1 << 22, 0), (2, 1, 0.8, 5, 16, 10**6), (10**9, 32, 0.8, 5, 16, 0)])
+def test_pairs_equal_brute_force(spark, hot, paired, threshold, width, cells, small):
     rng = random.Random(7)
     vocabulary = [f"w{i}" for i in range(60)]
     texts = [[" ".join(rng.choices(vocabulary, k=rng.randint(25, 260)))] for _ in range(40)]
@@ -39,7 +39,7 @@ def test_pairs_equal_brute_force(spark, hot, threshold, width, cells):
     sets = {(k, i): word_sets([x for x in (t or []) if x], width) for k, i, t, _ in rows if i is not None}
     sets = {k: s for k, s in sets.items() if len(s) >= 20}
     want = {(a[0], min(a[1], b[1]), max(a[1], b[1])) for a, b in itertools.combinations(sets, 2) if a[0] == b[0] and len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]) - 1e-9}
-    got = {tuple(r) for r in neardup.expand(*neardup.near_duplicates(df, threshold, width, 20, hot, cells)).collect()}
+    got = {tuple(r) for r in neardup.expand(*neardup.near_duplicates(df, threshold, width, 20, hot, cells, small, paired)).collect()}
     assert got == want and len(want) > 10
     empty = neardup.expand(*neardup.near_duplicates(df.limit(0), threshold, width, 20))
     assert empty.count() == 0
