@@ -204,42 +204,51 @@ def test_mixture_meets_its_shares(spark):
 # names
 
 
-def plain_distance(a, b):
-    """Damerau-Levenshtein by definition: cheapest path over all strings of edits, for short words."""
-    return variants.distance(a, b)
-
-
 def test_distance_is_a_metric_and_vectorised_alike():
     rng = random.Random(6)
     words = ["".join(rng.choices("abc", k=rng.randint(1, 6))) for _ in range(40)]
-    for p in words[:12]:
-        assert variants.distances(words, p).tolist() == [variants.distance(w, p) for w in words]
+    left, right = zip(*itertools.product(words, words[:12]), strict=True)
+    assert variants.distances(*variants._codes(list(left)), *variants._codes(list(right))).tolist() == [variants.distance(a, b) for a, b in zip(left, right, strict=True)]
+    assert all(variants.one_edit(a, b) == (variants.distance(a, b) <= 1) for a, b in zip(left, right, strict=True))
     for a, b, c in itertools.product(words[:14], repeat=3):
         assert variants.distance(a, c) <= variants.distance(a, b) + variants.distance(b, c)
     assert [variants.distance(*x) for x in (("ca", "abc"), ("abcd", "abdc"), ("kitten", "sitting"), ("", "ab"))] == [2, 1, 3, 2]
 
 
-def test_radius_join_equals_brute_force(spark):
+# cells as they come, divided by pivots again and again, and dealt to blocks at once or after one division
+@pytest.mark.parametrize(("cell_keys", "levels", "radius"), [(512, 6, 1), (10, 6, 1), (10, 0, 1), (5, 1, 1), (20, 2, 2)])
+def test_radius_join_equals_brute_force(spark, cell_keys, levels, radius):
     rng = random.Random(8)
-    words = sorted({"".join(rng.choices("abcde", k=rng.randint(4, 7))) for _ in range(300)})
-    df = spark.createDataFrame([("x", w) for w in words] + [("x", words[0]), ("x", None), (None, "a"), ("y", words[1])], "cls string, key string")
-    got = {(r.cls, r.a, r.b) for r in variants.radius_join(df).collect()}
-    assert got == {("x", a, b) for a, b in itertools.combinations(words, 2) if variants.distance(a, b) <= 1}
+    words = sorted({"".join(rng.choices("abcde", k=rng.randint(4, 7))) for _ in range(300)} | {"a", "b", "é田"})
+    df = spark.createDataFrame([("x", w) for w in words] + [("x", words[0]), ("x", None), (None, "a"), ("y", words[1]), ("y", "")], "cls string, key string")
+    got = {(r.cls, r.a, r.b): r.n for r in variants.radius_join(df, radius, cell_keys, levels).collect()}
+    every = {("x", a, b): variants.distance(a, b) for a, b in itertools.combinations(words, 2)}
+    assert got == {k: n for k, n in every.items() if n <= radius}
 
 
-def test_names_of_one_entity(spark):
+@pytest.mark.parametrize("small", [10**6, 0])
+def test_names_of_one_entity(spark, small):
     same = [
         ["William Kadazofow", "Bill Kadazofow", "william.kadazofow", "Kadazofow, William T.", "Dr. William Kadazofow", "Wiliam Kadazofow", "WILLIAM KADAZOFOW", "William (Bill) Kadazofow"],
         ["Nikolai Kadazofow", "Kolya Kadazofow", "N. Kadazofow", "nkadazofow"],
         ["Relirepax International Ltd.", "relirepaxinternational", "Relirepax Intl.", "Relirepax-International", "International, Relirepax Ltd.", "The Relirepax International", "Relirepax Internatinoal"],
         ["Relirepax Laboratories", "Relirepax Labs B.V."],
         ["Zenivodent Research GmbH", "Zenivodent"],
+        ["Иван Петров", "ИВАН ПЕТРОВ", "Петров, Иван", "Иван Петорв"],
+        ["田中 太郎", "田中　太郎"],
+        ["Mary Jane Watson", "MARY JANE WATSON", "Mary Jane Watsno"],
+        ["John McCarthy", "Jack McCarthy", "McCarthy, John"],
+        ["DataWorks Inc", "DataWorks Incorporated", "Dataworks Inc."],
+        ["3M Company", "3M Co."],
+        ["Acme Global Trading House Ltd", "Acme Global Trading House", "Acme Global Trading Huose Limited"],
+        ["Margaret Li", "Peggy Li", "M. Li"],
     ]
-    other = ["Relirepax", "alias-table-n2l6i", "Draft Search Index DIQG1", "검색 서비스", "", None, "W. Nobody"]
-    df = spark.createDataFrame([(n, "e") for g in same for n in g] + [(n, "e") for n in other] + [(same[0][0], "again")], "name string, entity string")
+    other = ["Relirepax", "alias-table-n2l6i", "Draft Search Index DIQG1", "Draft Search Index DIQG2", "검색 서비스", "", None, "W. Nobody", "Li Wu", "Wu Laboratories", "田中 次郎", "Mary Wilson", "7M Company", "Acme Global Trading Hall Ltd"]
+    df = spark.createDataFrame([(n, "e") for g in same for n in g] + [(n, "e") for n in other] + [("Mary Adams", "e"), ("Mary Bond", "e"), (same[0][0], "again")], "name string, entity string")
+    linked = variants.link_names(df, small=small)
     got = defaultdict(set)
-    for r in variants.link_names(df).collect():
+    for r in linked.collect():
         got[r.entity].add(r.name)
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, same))
     assert variants.link_names(df.limit(0)).count() == 0
-    assert variants.pairs(variants.link_names(df)).count() == sum(len(g) * (len(g) - 1) // 2 for g in same)
+    assert variants.pairs(linked).count() == sum(len(g) * (len(g) - 1) // 2 for g in same)
