@@ -344,10 +344,10 @@ def radius_join(keys: DataFrame, radius: int = 1, cell_keys: int = CELL_KEYS, le
 def given_names(parsed: DataFrame) -> DataFrame:
     """(word, n) of words that are given names: they stand first before at least three words (n), and before more than they follow.
 
-    Misspelt given names can be among them; they are told by a more frequent neighbour.
+    Short forms aren't among them; misspelt given names can be, and are told by a more frequent neighbour.
     """
-    two = parsed.filter("form = '2' AND NOT comma AND kind IS NULL").select("first", "second").distinct()
-    leads = two.groupBy(F.col("first").alias("word")).agg(F.count("*").alias("n"))
+    two = parsed.filter("form = '2' AND NOT comma AND kind IS NULL").select("first", "second", "full_1").distinct()
+    leads = two.filter(F.size("full_1") == 0).groupBy(F.col("first").alias("word")).agg(F.count("*").alias("n"))
     follows = two.groupBy(F.col("second").alias("word")).agg(F.count("*").alias("m"))
     return leads.filter("n >= 3").join(follows, "word", "left").filter("m IS NULL OR n > m").select("word", "n")
 
