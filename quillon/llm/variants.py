@@ -314,6 +314,7 @@ def radius_join(keys: DataFrame, radius: int = 1, cell_keys: int = CELL_KEYS, le
     step = F.explode(F.sequence(F.lit(0), F.lit(radius)))
     rows = rows.withColumn("step", step).select("cls", F.concat_ws("/", "cls", (F.length("key") + F.col("step")).cast("string")).alias("cell"), (F.col("step") == 0).alias("home"), "key")
     rows, done = materialise(rows, "cells"), []
+    parts = max(keys.sparkSession.sparkContext.defaultParallelism, int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # few bytes, much work
     for level in range(levels + 1):
         sizes = rows.groupBy("cell").agg(F.count(F.when(F.col("home"), 1)).alias("at_home"), F.count("*").alias("size"))
         sizes = materialise(sizes, "sizes")
@@ -333,11 +334,10 @@ def radius_join(keys: DataFrame, radius: int = 1, cell_keys: int = CELL_KEYS, le
         picked = rows.filter("home").join(big.select("cell"), "cell", "left_semi").groupBy("cell", F.pmod(hashed, F.lit(PIVOTS)).alias("p")).agg(F.min_by("key", F.struct(hashed, "key")).alias("key"))
         pivots = big.join(picked.groupBy("cell").agg(F.sort_array(F.collect_list("key")).alias("pivots")), "cell")
         met = look_up(rows, pivots, ["cell"], "key", "size", crowd).select("cls", "cell", "home", "key", "pivots")
-        rows = materialise(spread(met).mapInPandas(_divide(radius), "cls string, cell string, home boolean, key string"), "cells")
+        rows = materialise(met.repartition(parts, "key").mapInPandas(_divide(radius), "cls string, cell string, home boolean, key string"), "cells")
     cells = done[0]
     for more in done[1:]:
         cells = cells.unionByName(more)
-    parts = max(keys.sparkSession.sparkContext.defaultParallelism, int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return cells.repartition(parts, "cell").mapInPandas(_join(radius), "cls string, a string, b string, n int").distinct()
 
 
@@ -424,17 +424,20 @@ def link_names(names: DataFrame, name: str = "name", radius: int = 1, small: int
     meaning = F.when(F.col("form") != "I", F.col("second")).when(F.col("sure"), F.col("first"))
     choices = met.groupBy("short").agg(F.countDistinct(meaning).alias("n"))
     clear = met.join(choices.filter("n = 1").select("short"), "short", "left_semi")
-    node = lambda kind, value: F.concat(F.lit(kind) if kind.endswith(":") else F.concat(kind, F.lit(":")), value)
+    node = lambda kind, value: F.concat(kind, F.lit(":"), value)
     links = near.filter("cls IN ('person', 'firm')").join(whole.select("cls", F.col("key").alias("a")).distinct(), ["cls", "a"], "left_semi").join(whole.select("cls", F.col("key").alias("b")).distinct(), ["cls", "b"], "left_semi")
-    links = links.select(node("cls", "a").alias("x"), node("cls", "b").alias("y"))
-    own = whole.select(node("name:", "name").alias("x"), node("cls", "key").alias("y"))
-    short_links = clear.select(node("name:", "short").alias("x"), node("whole", "key").alias("y"))
+    own = whole.select("name", node("cls", "key").alias("node"))
     # short forms of the same initial and stem belong together, whatever they stand for, unless that is unclear
     vague = choices.filter("n > 1").select("short")
-    alike = short.filter("form <> 'W'").join(vague, "short", "left_anti").select(node("name:", "short").alias("x"), F.concat_ws(":", "form", F.when(F.col("form") == "I", F.col("i")).otherwise(""), "a").alias("y"))
-    groups = components(own.unionByName(links).unionByName(short_links).unionByName(alike), "x", "y")
-    members = groups.filter(F.col("node").startswith("name:")).select(F.substring("node", 6, 1 << 30).alias("name"), "component")
-    named = materialise(members.distinct(), "members")
+    alike = short.filter("form <> 'W'").join(vague, "short", "left_anti").select(F.col("short").alias("name"), F.concat_ws(":", "form", F.when(F.col("form") == "I", F.col("i")).otherwise(""), "a").alias("node"))
+    stands = own.unionByName(clear.select(F.col("short").alias("name"), node("whole", "key").alias("node"))).unionByName(alike)
+    stands = materialise(stands.distinct(), "stands")
+    # each name hangs on its first node; only nodes that something links to others go into the components
+    hung = stands.groupBy("name").agg(F.min("node").alias("x"))
+    tied = stands.join(hung, "name").filter("node <> x").select("x", F.col("node").alias("y"))
+    groups = components(tied.unionByName(links.select(node("cls", "a").alias("x"), node("cls", "b").alias("y"))), "x", "y")
+    named = hung.join(groups.withColumnRenamed("node", "x"), "x", "left").select("name", F.coalesce("component", "x").alias("component"))
+    named = materialise(named, "members")
     first = named.groupBy("component").agg(F.min("name").alias("entity"), F.count("*").alias("n"))
     return named.join(first.filter("n > 1"), "component").select("name", "entity")
 
