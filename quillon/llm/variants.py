@@ -92,20 +92,20 @@ def distances(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray) -> n
     """Damerau-Levenshtein distance of each row of codes ``a`` to the same row of ``b``, all rows at once."""
     n, m, k = len(a), a.shape[1], b.shape[1]
     big, every = m + k, np.arange(n)
-    h = np.full((k + 2, m + 2, n), big, dtype=np.int32)
+    h = np.full((k + 2, m + 2, n), big, dtype=np.int16)
     h[1:, 1] = np.arange(k + 1)[:, None]
     h[1, 1:] = np.arange(m + 1)[:, None]
+    columns, other = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+    above = np.zeros((m + 1, n), dtype=np.int16)  # the last row so far whose letter is that of each column
     for i in range(1, k + 1):
-        column = np.zeros(n, dtype=np.int64)
+        column = np.zeros(n, dtype=np.int16)
         for j in range(1, m + 1):
-            row = np.zeros(n, dtype=np.int64)
-            for r in range(1, i):
-                row[a[:, j - 1] == b[:, r - 1]] = r
-            same = a[:, j - 1] == b[:, i - 1]
-            swap = h[row, column, every] + (i - row - 1) + 1 + (j - column - 1)
+            row, same = above[j], columns[j - 1] == other[i - 1]
+            swap = h[row, column, every] + (i - row) + (j - column - 1)
             h[i + 1, j + 1] = np.minimum(np.minimum(h[i, j] + ~same, h[i + 1, j] + 1), np.minimum(h[i, j + 1] + 1, swap))
-            column = np.where(same, j, column)
-    return h[lb + 1, la + 1, every]
+            column = np.where(same, np.int16(j), column)
+            above[j] = np.where(same, np.int16(i), row)
+    return h[lb + 1, la + 1, every].astype(np.int32)
 
 
 def one_edit(a: str, b: str) -> bool:
@@ -259,15 +259,26 @@ def _divide(radius: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for cell, own in batch.groupby("cell"):
-                pivots = list(own["pivots"].iloc[0])
-                keys, home = own["key"].tolist(), own["home"].to_numpy(bool)
-                for at in range(0, len(keys), 4096):
-                    part, stays = keys[at : at + 4096], home[at : at + 4096]
-                    codes, length = _codes(part)
-                    d = np.stack([distances(codes, length, np.tile(p, (len(part), 1)), np.full(len(part), p.shape[1])) for p in (_codes([x])[0] for x in pivots)])
-                    where, who = np.nonzero(d <= d.min(axis=0) + 2 * radius)
-                    yield pd.DataFrame({"cls": own["cls"].iloc[0], "cell": [f"{cell}.{w}" for w in where], "home": stays[who] & (d.argmin(axis=0)[who] == where), "key": [part[k] for k in who]})
+            for at in range(0, len(batch), 2048):
+                yield of(batch.iloc[at : at + 2048])
+
+    def of(own: pd.DataFrame) -> pd.DataFrame:
+        keys, pivots = own["key"].to_numpy(object), own["pivots"].tolist()
+        many = np.array([len(p) for p in pivots])
+        who = np.repeat(np.arange(len(own)), many)
+        heads = np.cumsum(many) - many
+        codes, length = _codes(keys.tolist())
+        known: dict[str, int] = {}
+        which = np.array([known.setdefault(x, len(known)) for p in pivots for x in p])
+        others, lengths = _codes(list(known))
+        d = distances(codes[who], length[who], others[which], lengths[which])
+        near = np.flatnonzero(d <= np.minimum.reduceat(d, heads)[who] + 2 * radius)
+        # home is the first of the nearest
+        place = np.arange(len(who)) - heads[who]
+        first = np.minimum.reduceat(d.astype(np.int64) * 64 + place, heads)
+        home = own["home"].to_numpy(bool)[who] & (d.astype(np.int64) * 64 + place == first[who])
+        cell, cls = own["cell"].to_numpy(object), own["cls"].to_numpy(object)
+        return pd.DataFrame({"cls": cls[who[near]], "cell": [f"{c}.{w}" for c, w in zip(cell[who[near]], place[near].tolist(), strict=True)], "home": home[near], "key": keys[who[near]]})
 
     return run
 
