@@ -1,8 +1,9 @@
 """Problem 10: text read with the wrong encoding, by best-first search over encode, decode and unescape steps.
 
-A character-plausibility cost (of characters, and of two kinds of characters side by side) finds suspicious
+A character-plausibility cost (of characters, of two kinds of characters side by side, and of escapes) finds suspicious
 stretches in one vectorised pass; only those are searched. A state of the search is a text; a step encodes it
-with one encoding and decodes the bytes with another, or undoes escapes; states are visited once, cheapest first.
+with one encoding and decodes the bytes with another, or undoes escapes. States are visited once, the one of the
+lowest cost first, to which each step on the way adds what it has to save; dearer states than the first are searched too.
 """
 
 from __future__ import annotations
@@ -30,8 +31,12 @@ WRITTEN_IN = ["utf-8", "cp1252", "cp1251", "koi8-r", "cp866", "gbk", "cp949", "c
 
 MULTIBYTE = {"gbk", "cp949", "cp932", "euc_jp"}
 
-#: Bounds of a search, and the saving from which a repair counts.
+#: Most states that a search expands and most steps on the way to one, and the saving from which a repair counts.
 EXPANSIONS, DEPTH, MARGIN = 24, 4, 2.0
+#: States dearer than the best so far by more than this share of the first one's cost aren't queued.
+DEARER = 0.25
+#: Cost of the escape of a character beyond ASCII.
+ESCAPED = 4.0
 
 
 def _common(codec: str, first: range, second: range, keep) -> list[int]:
@@ -60,6 +65,7 @@ def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for c in range(0xC0, 0x250):
         kind[c] = LOW if unicodedata.category(chr(c)) == "Ll" else UP if unicodedata.category(chr(c)) == "Lu" else SIGN
     kind[[ord(c) for c in "ÿþýðÞÝÐ"]] = np.where([c.islower() for c in "ÿþýðÞÝÐ"], LOW, UP)
+    kind[0x180:0x218] = kind[0x21C:0x250] = SYMBOL
     kind[0x2B0:0x300] = SIGN
     kind[0x370:0x400] = GREEK
     kind[0x400:0x530] = CYR
@@ -74,6 +80,7 @@ def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     kind[[0x200B, 0x200C, 0x200D, 0x200E, 0x200F, 0x2060, 0xFEFF, 0xAD]] = OTHER
     kind[0x2600:0x2C00] = OTHER
     kind[0x3000:0x3040] = WIDE
+    kind[0x3200:0x3400] = SYMBOL
     kind[0x3040:0x3100] = KANA
     kind[0x3400:0xA000] = HAN_RARE
     kind[0xAC00:0xD7B0] = HANGUL_RARE
@@ -93,6 +100,7 @@ def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for a in accents:
         for b in signs:
             pair[a, b] += 1.5
+    pair[UP, OTHER] = 1.5  # a soft hyphen is also the second byte of a letter
     pair[LOW, LOW] = pair[UP, UP] = 0.5
     pair[UP, LOW] = 1.2
     for a in latin:
@@ -153,9 +161,29 @@ def char_costs(text: str) -> np.ndarray:
     return cost
 
 
+def costs_of(texts: list[str], before: str = "", after: str = "") -> np.ndarray:
+    """Costs of texts between their neighbours, with that of escapes."""
+    kind, base, pair = tables()
+    whole = [before + t + after for t in texts]
+    length = np.array([len(t) for t in whole])
+    codes = np.frombuffer("".join(whole).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    k = np.where(codes < 0x10000, kind[np.minimum(codes, 0xFFFF)], OTHER)
+    cost = base[k]
+    cost[1:] += pair[k[:-1], k[1:]]
+    at = np.cumsum(length) - length
+    first = at[(at > 0) & (length > 0)]
+    cost[first] = base[k[first]]
+    sums = np.cumsum(np.r_[0.0, cost])
+    out = sums[at + length] - sums[at]
+    for i, t in enumerate(texts):
+        if "&" in t or "\\u" in t:
+            out[i] += ESCAPED * sum(map(_is_escape, ESCAPE.finditer(t)))
+    return out
+
+
 def cost_of(text: str, before: str = "", after: str = "") -> float:
     """Cost of a text between its neighbours."""
-    return float(char_costs(before + text + after).sum())
+    return float(costs_of([text], before, after)[0])
 
 
 def _encode(text: str, codec: str) -> bytes | None:
@@ -170,10 +198,22 @@ def _encode(text: str, codec: str) -> bytes | None:
         return None
 
 
+ESCAPE = re.compile(r"&(?:#\d{2,7}|#[xX][0-9a-fA-F]{2,6}|[A-Za-z][A-Za-z0-9]{1,31});|\\u[0-9a-fA-F]{4}")
+
+
+def _opened(m: re.Match) -> str:
+    new = chr(int(m[0][2:], 16)) if m[0][0] == "\\" else html.unescape(m[0])
+    return new if len(new) == 1 and not new.isascii() and not "\ud800" <= new <= "\udfff" else m[0]
+
+
+def _is_escape(m: re.Match) -> bool:
+    """Whether a match stands for a character beyond ASCII; &amp; and the like are markup."""
+    return _opened(m) != m[0]
+
+
 def unescape(text: str) -> str:
-    """Undo character references and \\u escapes."""
-    text = html.unescape(text) if "&" in text else text
-    return re.sub(r"\\u([0-9a-fA-F]{4})", lambda m: chr(int(m[1], 16)), text) if "\\u" in text else text
+    """Undo character references and \\u escapes of characters beyond ASCII."""
+    return ESCAPE.sub(_opened, text) if "&" in text or "\\u" in text else text
 
 
 def _bytes_of(state: str) -> Iterator[tuple[str, bytes]]:
@@ -195,7 +235,10 @@ def _steps(state: str) -> Iterator[tuple[str, str, float]]:
     plain = unescape(state)
     if plain != state:
         yield plain, "unescape", 0.5
-    wide = sum(c > "\x7f" for c in state)
+    signs = [c for c in state if c > "\x7f"]
+    wide = len(signs)
+    if all(c in LOOK_ALIKE for c in signs):
+        return
     raws, certain = list(_bytes_of(state)), False
     for read, raw in raws:
         if read in MULTIBYTE and wide < 4:
@@ -209,8 +252,8 @@ def _steps(state: str) -> Iterator[tuple[str, str, float]]:
             yield new, f"{read}>utf-8", 1.0
     if certain:
         return
+    yield from _letters(state)
     if wide < 6:
-        yield from _letters(state)
         return
     for read, raw in raws:
         for written in WRITTEN_IN[1:]:
@@ -247,25 +290,26 @@ ACCENTED = set("àáâãäåæçèéêëìíîïñòóôõöøùúûüÿœß’"
 def search(text: str, before: str = "", after: str = "") -> tuple[str, float, list[str]]:
     """The cheapest text reachable, its cost, and the steps that lead there: best first, each state once."""
     start = cost_of(text, before, after)
-    best = (text, start, [])
-    heap, visited, tick = [(start, 0, text, [])], {hash(text)}, 0
+    best, least = (text, start, []), start
+    heap, visited, tick = [(start, 0, text, [], 0.0)], {text}, 0
     for _ in range(EXPANSIONS):
-        if not heap:
+        if not heap or heap[0][0] > least + DEARER * start:
             break
-        cost, _, state, steps = heapq.heappop(heap)
+        _, _, state, steps, paid = heapq.heappop(heap)
         if len(steps) >= DEPTH:
             continue
+        found = []
         for new, step, saving in _steps(state):
-            if hash(new) in visited:
-                continue
-            visited.add(hash(new))
-            c = cost_of(new, before, after)
-            if c > cost - saving:
-                continue
-            if c < best[1]:
-                best = (new, c, [*steps, step])
-            tick += 1
-            heapq.heappush(heap, (c, tick, new, [*steps, step]))
+            if new not in visited:
+                visited.add(new)
+                found.append((new, step, paid + saving))
+        for (new, step, asked), c in zip(found, costs_of([f[0] for f in found], before, after).tolist() if found else [], strict=True):
+            total = c + asked
+            if total < least:
+                best, least = (new, c, [*steps, step]), total
+            if total <= least + DEARER * start:
+                tick += 1
+                heapq.heappush(heap, (total, tick, new, [*steps, step], asked))
     return best
 
 
@@ -293,23 +337,17 @@ def search_lossy(text: str, before: str = "", after: str = "") -> tuple[str, flo
 
 
 RUN = re.compile(r"[^\x00-\x7f]+(?:[ -~]{1,3}[^\x00-\x7f]+)*")
-QUOTED = re.compile(r"(?<!\S)[^\x00-\x7f\s]{2,4}(?!\S)")
+QUOTED = re.compile(r"(?<![^\s(\[\"'])[^\x00-\x7f\s]{2,4}(?![^\s.,:;!?)\]\"'])")
+#: Fixed value: signs that never stand between blanks in running text.
+NEVER_ALONE = set("’‘‚‛´`¨¸ˆ˜“”„‟‹›«»¿¡ºª")
 WORD_RUN = re.compile(r"[^\x00-\x7f]+")
-ESCAPE = re.compile(r"&(?:#\d{2,7}|#[xX][0-9a-fA-F]{2,6}|[A-Za-z][A-Za-z0-9]{1,31});|\\u[0-9a-fA-F]{4}")
 #: A character as dear as this, or a line or so many wide characters in a row as dear as that by character, is looked at.
 HOT, HOT_LINE, WINDOW = 2.4, 0.9, 6
 
 
-def _opened(text: str) -> str:
-    """The text with the escapes of characters beyond ASCII undone."""
-    if "&" not in text and "\\u" not in text:
-        return text
-
-    def one(m: re.Match) -> str:
-        new = unescape(m[0])
-        return new if len(new) == 1 and not new.isascii() and not "\ud800" <= new <= "\udfff" else m[0]
-
-    return ESCAPE.sub(one, text)
+def _quotes(new: str) -> bool:
+    """Whether what a token of its own stands for is quoted: a letter, or a sign that never stands alone in a text."""
+    return len(new) == 1 and (new.isalpha() or new in NEVER_ALONE)
 
 
 def _dense(text: str, cost: np.ndarray) -> np.ndarray:
@@ -356,23 +394,15 @@ def _spans(line: str, cost: np.ndarray) -> list[list[tuple[int, int]]]:
 def repair_line(line: str) -> tuple[str, list[str], int, int]:
     """(line, steps, garbled stretches, those that look quoted) after the cheapest repair of a line.
 
-    A line whose only garbled characters are a token of its own that stands for one letter quotes them.
-    Escapes are undone where that shows more garbled stretches.
+    A line whose only garbled characters are a token of its own that stands for one letter or sign quotes them.
     """
-    found = _repair_line(line)
-    plain = _opened(line)
-    if plain != line and (opened := _repair_line(plain))[2] > found[2]:
-        return opened[0], ["unescape", *opened[1]], *opened[2:]
-    return found
-
-
-def _repair_line(line: str) -> tuple[str, list[str], int, int]:
     cost = char_costs(line)
-    total, wide = float(cost.sum()), sum(c > "\x7f" for c in line)
-    if not wide or total < MARGIN or (cost.max() < HOT and total < HOT_LINE * wide and not len(_dense(line, cost))):
+    escapes = sum(map(_is_escape, ESCAPE.finditer(line))) if "&" in line or "\\u" in line else 0
+    total, wide = float(cost.sum()) + ESCAPED * escapes, sum(c > "\x7f" for c in line)
+    if not escapes and (not wide or total < MARGIN or (cost.max() < HOT and total < HOT_LINE * wide and not len(_dense(line, cost)))):
         return line, [], 0, 0
-    bare = QUOTED.sub(lambda m: "x" if len(new := search(m[0], " ", " ")[0]) == 1 and new.isalpha() else m[0], line)
-    if bare != line and not _repair_line(bare)[2]:
+    bare = QUOTED.sub(lambda m: "x" if _quotes(search(m[0], " ", " ")[0]) else m[0], line)
+    if bare != line and not repair_line(bare)[2]:
         return line, [], 1, 1
     best, least, how, count, quoted = line, total, [], 0, 0
     tried: set[tuple] = set()
@@ -388,8 +418,7 @@ def _repair_line(line: str) -> tuple[str, list[str], int, int]:
             if own - c < max(MARGIN * 0.75, 0.3 * own) and "�" in line[a:b]:
                 new, c, did = search_lossy(line[a:b], before, after)
             if own - c >= max(MARGIN * 0.75, 0.3 * own) and new:
-                alone = (not before or before.isspace()) and (not after or after.isspace())
-                q += alone and len(new) == 1 and new.isalpha()
+                q += bool(QUOTED.fullmatch(line[max(0, a - 1) : b + 1].strip() if len(line[a:b]) < 5 else "")) and _quotes(new)
                 parts += [line[at:a], new]
                 at, steps, n = b, steps + did, n + 1
         fixed = "".join(parts) + line[at:]
@@ -404,13 +433,13 @@ def _repair_line(line: str) -> tuple[str, list[str], int, int]:
 def repair(text: str) -> tuple[str, bool, str, str]:
     """(text, whether it was garbled, 'none', 'partial' or 'full' repair, steps).
 
-    Single letters that stand alone, and lost characters beside such, are taken for quoted examples and left.
+    Single letters and signs that stand alone, and lost characters beside such, are taken for quoted examples and left.
     """
     if not text or text.isascii() and "&" not in text and "\\u" not in text:
         return text, False, "none", ""
     lines, steps, strong, lost, found_lost = text.split("\n"), [], 0, 0, 0
     for i, line in enumerate(lines):
-        if line.isascii() and not ESCAPE.search(line):
+        if line.isascii() and not any(map(_is_escape, ESCAPE.finditer(line))):
             continue
         new, did, n, quoted = repair_line(line)
         if n > quoted:
@@ -428,41 +457,55 @@ def repair(text: str) -> tuple[str, bool, str, str]:
     return "\n".join(lines), True, kind, "; ".join(dict.fromkeys(steps))
 
 
-def suspicious(text: str) -> bool:
-    """Whether any line could be worth a search: one vectorised pass over the text, and one over it without escapes."""
-    plain = _opened(text)
-    return _suspicious(text) or plain != text and _suspicious(plain)
+def suspects(texts: list[str]) -> np.ndarray:
+    """Which texts hold a line that could be worth a search: one vectorised pass over all of them."""
+    found = np.array(["&" in t and any(map(_is_escape, ESCAPE.finditer(t))) or "\\u" in t and any(map(_is_escape, ESCAPE.finditer(t))) for t in texts], dtype=bool)
+    some = [i for i, t in enumerate(texts) if not found[i] and not t.isascii()]
+    at = 0
+    while at < len(some):
+        stop, size = at, 0
+        while stop < len(some) and (stop == at or size + len(texts[some[stop]]) < 1_000_000):
+            size += len(texts[some[stop]])
+            stop += 1
+        rows, at = some[at:stop], stop
+        whole = "\n".join(texts[i] for i in rows)
+        cost = char_costs(whole)
+        codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        length = np.array([len(texts[i]) for i in rows]) + 1
+        owner = np.repeat(np.arange(len(rows)), length)[:-1]
+        marks = np.bincount(owner[cost >= HOT], minlength=len(rows)) > 0
+        spans = _dense(whole, cost)
+        spans = spans[owner[spans[:, 0]] == owner[spans[:, 1]]]
+        marks[owner[spans[:, 0]]] = True
+        starts = np.r_[0, np.flatnonzero(codes == 10) + 1]
+        starts = starts[starts < len(codes)]
+        sums, wide = np.add.reduceat(cost, starts), np.add.reduceat((codes > 0x7F).astype(np.int64), starts)
+        marks[owner[starts[(wide > 0) & (sums >= HOT_LINE * 0.8 * wide)]]] = True
+        found[np.array(rows)[marks]] = True
+    return found
 
 
-def _suspicious(text: str) -> bool:
-    if text.isascii():
-        return False
-    cost = char_costs(text)
-    if cost.max() >= HOT or len(_dense(text, cost)):
-        return True
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    starts = np.r_[0, np.flatnonzero(codes == 10) + 1]
-    starts = starts[starts < len(codes)]
-    sums, wide = np.add.reduceat(cost, starts), np.add.reduceat((codes > 0x7F).astype(np.int64), starts)
-    return bool(np.any((wide > 0) & (sums >= HOT_LINE * 0.8 * wide)))
+def suspicious(text: str) -> bool:
+    """Whether any line of a text could be worth a search."""
+    return bool(suspects([text])[0])
 
 
 def repair_texts(df: DataFrame, key: str, text: str) -> DataFrame:
     """The garbled texts of ``df``, restored where possible: (key, text, repaired, restored, steps).
 
     ``restored`` is 'full', 'partial' (bytes were lost) or 'none' (nothing could be restored); ``steps`` lists the
-    conversions. Texts that aren't garbled, empty and null texts and rows without a key give no row; repeated rows are
+    conversions ("unescape" alone: only escapes were undone, no encoding was wrong). Texts that aren't garbled, empty and null texts and rows without a key give no row; repeated rows are
     repaired each for itself; an empty table gives an empty result. Other columns aren't read.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for k, body in zip(batch["_key"], batch["_text"], strict=True):
-                if suspicious(body):
-                    new, garbled, kind, steps = repair(body)
-                    if garbled:
-                        rows.append((k, body, new, kind, steps))
+            own = batch[suspects(batch["_text"].tolist())]
+            for k, body in zip(own["_key"], own["_text"], strict=True):
+                new, garbled, kind, steps = repair(body)
+                if garbled:
+                    rows.append((k, body, new, kind, steps))
             yield pd.DataFrame(rows, columns=[key, "text", "repaired", "restored", "steps"])
 
     some = df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).filter(F.col("_key").isNotNull() & (F.length("_text") > 0))

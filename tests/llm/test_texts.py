@@ -77,15 +77,26 @@ def test_repairs_what_can_be_restored():
 
 
 def test_clean_texts_and_quotes_stay():
-    for text in [*WRITTEN.values(), "ATENÇÃO: não há relação", "KMF는 OK", "«Voilà» — d’accord… ¿Qué?", "Ångström, naïve café", "The pair Ã© in old exports stands for one letter.", "Search for Ã¼ or � when it looks odd", "", "ascii"]:
+    for text in [*WRITTEN.values(), "ATENÇÃO: não há relação", "KMF는 OK", "«Voilà» — d’accord… ¿Qué?", "Ångström, naïve café", "The pair Ã© in old exports stands for one letter.", "Search for Ã¼ or � when it looks odd", "How to read â€™: see the help page", "the dеѕіgn note", "a &amp; b &lt; c", "", "ascii"]:
         assert garbled.repair(text)[:2] == (text, False)
     assert garbled.repair("in the cafÃ© demo")[0] == "in the café demo"
     assert garbled.repair("which â€œshould be fineâ€\x9d!")[0] == "which “should be fine”!"
+    assert garbled.repair("one ranking rule â€” see 812")[0] == "one ranking rule — see 812"
+    assert garbled.repair("Das M&auml;dchen l&auml;uft.") == ("Das Mädchen läuft.", True, "full", "unescape")
+    assert garbled.repair("caf\\u00e9 na\\u00efve &amp; co")[0] == "café naïve &amp; co"
+    # the first step leads to a dearer text: only escapes before, garbled characters then
+    assert garbled.repair("caf&Atilde;&copy; and cr&Atilde;&uml;me")[0] == "café and crème"
     assert garbled.repair("verz�gert")[1:3] == (True, "none")
     twice = "Comme prévu".encode().decode("cp1252").encode().decode("cp1252")
     assert garbled.repair(twice)[0] == "Comme prévu"
 
 
+def test_texts_are_suspected_each_for_itself():
+    texts = ["plain", "Ünïcödé", "cafÃ©", "", "Пока", "été\nœuf " * 40, "a &eacute; b", "îê", "çà", "ñ" * 5, "ß ì"]
+    alone = [garbled.suspicious(t) for t in texts]
+    assert garbled.suspects(texts).tolist() == alone and alone[2] and alone[6] and not alone[0]
+
+
 def test_repair_rows(spark):
     df = frame(spark, ["cafÃ©", "", None, "fine", "cafÃ©", "La mémoire complète. " * 10_000])
     got = {r.k: r.repaired for r in garbled.repair_texts(df, "k", "t").collect()}
