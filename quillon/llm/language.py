@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.garbled import repair_line, suspicious
+from quillon.llm.garbled import repair_line, suspects
 from quillon.session import spread
 
 #: The network is fitted on at most this many labelled texts; everything else covers all rows.
@@ -24,8 +24,8 @@ FIT_ROWS = 1000
 WINDOW, WIDTHS, FILTERS, EMBEDDING = 64, (2, 3, 4), 24, 8
 #: Nats by which a sentence must speak against the text's main language to be told apart from it.
 EVIDENCE = 3.0
-#: Least number of training steps.
-STEPS = 300
+#: Least number of training steps, and every how many of the sampled texts one is held out for calibration.
+STEPS, HELD_OUT = 300, 10
 
 END = re.compile(r"[.!?…]+[\"”»’)\]]*(?=\s)|[。！？]+")
 NO_LETTER = re.compile(r"[\W\d_]+")
@@ -57,6 +57,9 @@ class Network:
     bias: list[np.ndarray]
     dense: np.ndarray
     dense_bias: np.ndarray
+    #: Evidence of n windows is divided by this, and by n to this power, before it becomes a probability.
+    heat: float = 1.0
+    power: float = 0.0
 
     @classmethod
     def random(cls, labels: list[str], seed: int) -> Network:
@@ -83,21 +86,30 @@ class Network:
             places.append(place)
         return np.concatenate(found, axis=1), patches, places
 
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Embedding and filters folded: what each pair of bytes adds to the filters of width 2, and at the front and back of the wider ones."""
+        part = lambda k, i: self.embedding @ self.filters[k][i * EMBEDDING : (i + 1) * EMBEDDING]
+        pairs = lambda a, b: (a[:, None] + b[None]).reshape(1 << 16, -1)
+        front = np.concatenate([pairs(part(1, 0), part(1, 1)), pairs(part(2, 0), part(2, 1))], axis=1)
+        back = np.concatenate([pairs(part(1, 2), np.zeros((256, FILTERS), np.float32)), pairs(part(2, 2), part(2, 3))], axis=1)
+        return pairs(part(0, 0), part(0, 1)), front, back
+
     def scores(self, x: np.ndarray) -> np.ndarray:
-        """Log-probabilities of the labels of windows."""
-        out = np.empty((len(x), len(self.labels)), np.float32)
-        for at in range(0, len(x), 512):
-            e = self.embedding[x[at : at + 512]]
-            best = []
-            for w, f, b in zip(WIDTHS, self.filters, self.bias, strict=True):
-                steps = WINDOW - w + 1
-                y = e[:, :steps].reshape(-1, EMBEDDING) @ f[:EMBEDDING]
-                for i in range(1, w):
-                    y += e[:, i : i + steps].reshape(-1, EMBEDDING) @ f[i * EMBEDDING : (i + 1) * EMBEDDING]
-                best.append(np.maximum(0, y.reshape(len(e), steps, FILTERS).max(axis=1) + b))
-            z = np.concatenate(best, axis=1) @ self.dense + self.dense_bias
+        """Log-probabilities of the labels of windows, by adding rows of the tables."""
+        if getattr(self, "_tables", None) is None:
+            self._tables = self.tables()
+        two, front, back = self._tables
+        out, bias = np.empty((len(x), len(self.labels)), np.float32), np.concatenate(self.bias)
+        for at in range(0, len(x), 128):
+            own = np.ascontiguousarray(x[at : at + 128].T).astype(np.int32)  # places x windows
+            pair = own << 8
+            pair[:-1] += own[1:]
+            wide = np.take(front, pair[: WINDOW - 2], axis=0)
+            wide += np.take(back, pair[2:], axis=0)
+            best = [np.take(two, pair[: WINDOW - 1], axis=0).max(axis=0), wide[:, :, :FILTERS].max(axis=0), wide[: WINDOW - 3, :, FILTERS:].max(axis=0)]
+            z = np.maximum(0, np.concatenate(best, axis=1) + bias) @ self.dense + self.dense_bias
             z -= z.max(axis=1, keepdims=True)
-            out[at : at + 512] = z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+            out[at : at + 128] = z - np.log(np.exp(z).sum(axis=1, keepdims=True))
         return out
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
@@ -146,24 +158,44 @@ def train(pieces: list[bytes], y: np.ndarray, labels: list[str], epochs: int = 6
     return net
 
 
-def _sentence_scores(net: Network, pieces: list[bytes]) -> np.ndarray:
-    """Log-probabilities of byte strings: the sum over their windows, damped for many windows, normalised."""
-    if not pieces:
-        return np.zeros((0, len(net.labels)), np.float32)
-    x, owner = windows(pieces)
-    out = np.zeros((len(pieces), len(net.labels)), np.float64)
-    np.add.at(out, owner, net.scores(x))
-    out -= out.max(axis=1, keepdims=True)
-    return out - np.log(np.exp(out).sum(axis=1, keepdims=True))
+def _normal(z: np.ndarray) -> np.ndarray:
+    z = z - z.max(axis=1, keepdims=True)
+    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+
 
+def _sentence_scores(net: Network, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Log-likelihoods of byte strings (the sum over their windows, normalised), and the calibrated log-probabilities.
 
-def _units(text: str) -> Iterator[tuple[int, int, str]]:
-    """(start, end, sentence) of a text; garbled lines are read as repaired, data runs are left out."""
-    at, odd = 0, suspicious(text)
+    Equal strings are scored once.
+    """
+    if not pieces:
+        return (np.zeros((0, len(net.labels)), np.float64),) * 2
+    known: dict[bytes, int] = {}
+    which = np.array([known.setdefault(p, len(known)) for p in pieces])
+    x, owner = windows(list(known))
+    out = np.zeros((len(known), len(net.labels)), np.float64)
+    score = net.scores(x)
+    starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+    out[owner[starts]] = np.add.reduceat(score.astype(np.float64), starts, axis=0)
+    many = np.bincount(owner)[:, None]
+    return _normal(out)[which], _normal(out / (net.heat * many**net.power))[which]
+
+
+def calibrate(net: Network, pieces: list[bytes], y: np.ndarray) -> None:
+    """Set heat and power so that held-out labelled strings are most likely; a grid of a few hundred points."""
+    known, _ = _sentence_scores(net, pieces)
+    _, owner = windows(pieces)
+    many = np.bincount(owner)[:, None]
+    grid = [(h, p) for h in np.geomspace(0.5, 20, 24) for p in (0.0, 0.25, 0.5, 0.75, 1.0)]
+    loss = lambda h, p: -_normal(known / (h * many**p))[np.arange(len(y)), y].mean()
+    net.heat, net.power = min(grid, key=lambda g: loss(*g))
+
+
+def _units(text: str, odd: bool) -> Iterator[tuple[int, int, str]]:
+    """(start, end, sentence) of a text; lines of an ``odd`` one are read as repaired, data runs are left out."""
+    at = 0
     for line in text.split("\n"):
-        body = line
-        if odd:
-            body = repair_line(line)[0]
+        body = repair_line(line)[0] if odd else line
         if len(body) > 60:
             body = DATA_RUN.sub(lambda m: " " * len(m[0]), body)
         ratio = len(line) / len(body) if len(body) else 1.0
@@ -177,7 +209,7 @@ def fit(labelled: DataFrame, text: str, label: str, rows: int = FIT_ROWS, seed:
     """Fit a network on at most ``rows`` texts of a known label, chosen by hash.
 
     Wrong labels are expected: sentences that a first network confidently gives another label are left out of
-    the second fit. None if no text has a label.
+    the second fit. Every HELD_OUT-th text is kept from it, to calibrate the confidence. None if no text has a label.
     """
     known = labelled.filter(F.col(label).isNotNull() & (F.length(text) > 0)).select(F.col(text).alias("t"), F.col(label).alias("l"))
     count = known.count()
@@ -188,32 +220,37 @@ def fit(labelled: DataFrame, text: str, label: str, rows: int = FIT_ROWS, seed:
     if sample.empty:
         sample = known.limit(rows).toPandas()
     labels = sorted(sample["l"].unique())
-    pieces, y = [], []
-    for body, name in zip(sample["t"], sample["l"], strict=True):
-        for _, _, s in _units(body):
+    pieces, y, held = [], [], []
+    for i, (body, name, odd) in enumerate(zip(sample["t"], sample["l"], suspects(sample["t"].tolist()), strict=True)):
+        for _, _, s in _units(body, odd):
             if len(NO_LETTER.sub("", s)) >= 6:
                 pieces.append(s.strip().encode())
                 y.append(labels.index(name))
+                held.append(i % HELD_OUT == 0)
     if not pieces:
         return None
-    y = np.array(y)
-    net = train(pieces, y, labels, 3, seed)
-    p = _sentence_scores(net, pieces)
-    doubt = p[np.arange(len(y)), y] < np.log(0.05)
-    if doubt.all():
-        return net
-    return train([s for s, d in zip(pieces, doubt, strict=True) if not d], y[~doubt], labels, 6, seed)
+    y, held = np.array(y), np.array(held)
+    first = train(pieces, y, labels, 3, seed)
+    p, _ = _sentence_scores(first, pieces)
+    fine = p[np.arange(len(y)), y] >= np.log(0.05)
+    if not fine.any():
+        return first
+    some = fine & ~held if (fine & ~held).any() else fine
+    net = train([s for s, u in zip(pieces, some, strict=True) if u], y[some], labels, 6, seed)
+    if (fine & held).any():
+        calibrate(net, [s for s, u in zip(pieces, fine & held, strict=True) if u], y[fine & held])
+    return net
 
 
 SEGMENT = "segment int, start_pos int, end_pos int, lang string, confidence double, letters int"
 
 
-def segments(df: DataFrame, key: str, text: str, net: Network) -> DataFrame:
+def segments(df: DataFrame, key: str, text: str, net: Network | None) -> DataFrame:
     """Each stretch of a text in one language: (key, segment, start_pos, end_pos, lang, confidence, letters).
 
     Sentences are classified by their windows; one that doesn't speak clearly against the text's main language
-    belongs to it. Neighbouring sentences of a language form a segment, whose confidence is the mean probability
-    by letters. Lines garbled by a wrong encoding are read as repaired; their positions are proportional. Data
+    belongs to it. Neighbouring sentences of a language form a segment, whose confidence is the mean calibrated
+    probability by letters. Without a network (no text had a label) nothing can be told apart and no row comes out. Lines garbled by a wrong encoding are read as repaired; their positions are proportional. Data
     runs hold no letters.
 
     Null and empty texts, texts without letters and rows without a key give no row; repeated rows are
@@ -229,15 +266,17 @@ def segments(df: DataFrame, key: str, text: str, net: Network) -> DataFrame:
 
     def of(keys: list, texts: list[str]) -> list[tuple]:
         spans, owner, letters, pieces = [], [], [], []
-        for i, body in enumerate(texts):
-            for a, b, s in _units(body):
+        if shared.value is None:
+            return []
+        for i, (body, odd) in enumerate(zip(texts, suspects(texts), strict=True)):
+            for a, b, s in _units(body, odd):
                 n = len(NO_LETTER.sub("", s))
                 if n:
                     spans.append((a, b))
                     owner.append(i)
                     letters.append(n)
                     pieces.append(s.strip().encode())
-        score = _sentence_scores(shared.value, pieces)
+        score, sure_of = _sentence_scores(shared.value, pieces)
         own, weight = np.array(owner), np.array(letters, dtype=np.float64)
         rows = []
         for i in np.unique(own) if len(own) else []:
@@ -249,7 +288,7 @@ def segments(df: DataFrame, key: str, text: str, net: Network) -> DataFrame:
             lang = np.where(clear, first, main)
             cuts = np.flatnonzero(np.r_[True, lang[1:] != lang[:-1]])
             for k, (a, b) in enumerate(zip(cuts, np.r_[cuts[1:], len(lang)], strict=True)):
-                sure = float((np.exp(p[np.arange(a, b), lang[a:b]]) * n[a:b]).sum() / n[a:b].sum())
+                sure = float((np.exp(sure_of[mine[a:b], lang[a:b]]) * n[a:b]).sum() / n[a:b].sum())
                 rows.append((keys[i], k, spans[mine[a]][0], spans[mine[b - 1]][1], shared.value.labels[lang[a]], round(sure, 6), int(n[a:b].sum())))
         return rows
 

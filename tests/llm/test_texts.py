@@ -172,6 +172,34 @@ def test_languages_of_stretches(spark, network):
 
 def test_held_out_accuracy(spark, network):
     held = {"en": "The shared folder waits for the nested queue", "de": "Das gemeinsame Verzeichnis verzögert mehrere doppelte Zeilen", "ko": "오래된 검색 표가 빠진 항목을 실수로 지웠습니다"}
-    p = language._sentence_scores(network, [s.encode() for s in held.values()])
-    assert [network.labels[i] for i in p.argmax(axis=1)] == list(held)
-    assert np.allclose(np.exp(p).sum(axis=1), 1)
+    for p in language._sentence_scores(network, [s.encode() for s in held.values()]):
+        assert [network.labels[i] for i in p.argmax(axis=1)] == list(held)
+        assert np.allclose(np.exp(p).sum(axis=1), 1)
+
+
+def test_tables_give_the_scores_of_the_convolution(network):
+    x, _ = language.windows([s.encode() for said in SAID.values() for s in said] + [b"", b"x", bytes(range(256))])
+    feature, _, _ = network.pool(x)
+    z = feature @ network.dense + network.dense_bias
+    assert np.abs(network.scores(x) - language._normal(z)).max() < 1e-4
+
+
+def test_confidence_is_calibrated():
+    rng = np.random.default_rng(1)
+    net = language.Network.random(["a", "b", "c"], 1)
+    net.scores = lambda x: np.log(0.9) * (x[:, :1] != np.array([[1, 2, 3]])) * 4.0  # far too sure of every window
+    y = rng.integers(0, 3, 4000)
+    said = np.where(rng.random(4000) < 0.7, y, rng.integers(0, 3, 4000))
+    pieces = [bytes([k + 1]) * int(n) for k, n in zip(said, rng.integers(1, 500, 4000), strict=True)]
+    language.calibrate(net, pieces[:2000], y[:2000])
+    p = np.exp(language._sentence_scores(net, pieces[2000:])[1])
+    assert abs(p.max(axis=1).mean() - (p.argmax(axis=1) == y[2000:]).mean()) < 0.06
+
+
+def test_nothing_is_told_apart_without_labels(spark):
+    df = frame(spark, ["The local service keeps a copy.", ""])
+    found = language.segments(df, "k", "t", None)
+    assert found.count() == 0
+    alias = spark.createDataFrame([("EN", "en")], "alias string, lang string")
+    rows = language.relabel(df.select("k", F.lit("EN").alias("lang")), "k", "lang", alias, found).collect()
+    assert {(r.k, r.lang, tuple(r.langs)) for r in rows} == {(0, "en", ()), (1, "en", ())}
