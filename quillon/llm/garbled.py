@@ -362,8 +362,12 @@ def _dense(text: str, cost: np.ndarray) -> np.ndarray:
 
 def _dense_spans(line: str, cost: np.ndarray) -> list[tuple[int, int]]:
     """The stretches of whole words in which wide characters are dear, without the cheap words at their ends."""
+    spans = _dense(line, cost)
+    if not len(spans):
+        return []
+    heads = np.flatnonzero(np.r_[True, spans[1:, 0] > spans[:-1, 1]])  # windows that overlap are one stretch
     out: list[tuple[int, int]] = []
-    for a, b in _dense(line, cost).tolist():
+    for a, b in zip(spans[heads, 0].tolist(), spans[np.r_[heads[1:], len(spans)] - 1, 1].tolist(), strict=True):
         dear = np.flatnonzero(cost[a : b + 1] >= HOT_LINE)
         if not len(dear):
             continue

@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -28,7 +29,6 @@ EVIDENCE = 3.0
 STEPS, HELD_OUT = 300, 10
 
 END = re.compile(r"[.!?…]+[\"”»’)\]]*(?=\s)|[。！？]+")
-NO_LETTER = re.compile(r"[\W\d_]+")
 DATA_RUN = re.compile(r"[!-~]{60,}")
 
 
@@ -42,6 +42,21 @@ def sentences(line: str) -> Iterator[tuple[int, int]]:
         yield at, len(line)
 
 
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """Which codepoints are letters (or numbers other than digits)."""
+    return np.array([chr(c).isalnum() and not chr(c).isdecimal() for c in range(0x110000)])
+
+
+def letters_of(texts: list[str]) -> np.ndarray:
+    """Number of letters of each text."""
+    length = np.array([len(t) for t in texts], dtype=np.int64)
+    found = _letters()[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+    sums = np.r_[0, np.cumsum(found)]
+    ends = np.cumsum(length)
+    return sums[ends] - sums[ends - length]
+
+
 def windows(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Fixed-length windows of byte strings (zero-padded at the end), and the piece of each."""
     counts = np.array([max(1, -(-len(p) // WINDOW)) for p in pieces], dtype=np.int64)
@@ -69,6 +84,10 @@ class Network:
         n = len(WIDTHS) * FILTERS
         return cls(labels, draw(256, EMBEDDING, k=0.5), filters, [np.zeros(FILTERS, np.float32) for _ in WIDTHS], draw(n, len(labels), k=n**-0.5), np.zeros(len(labels), np.float32))
 
+    def __getstate__(self) -> dict:
+        """What is sent to the tasks: without the tables, which each makes for itself."""
+        return {k: v for k, v in self.__dict__.items() if k != "_tables"}
+
     def parameters(self) -> list[np.ndarray]:
         return [self.embedding, *self.filters, *self.bias, self.dense, self.dense_bias]
 
@@ -223,13 +242,13 @@ def fit(labelled: DataFrame, text: str, label: str, rows: int = FIT_ROWS, seed:
     pieces, y, held = [], [], []
     for i, (body, name, odd) in enumerate(zip(sample["t"], sample["l"], suspects(sample["t"].tolist()), strict=True)):
         for _, _, s in _units(body, odd):
-            if len(NO_LETTER.sub("", s)) >= 6:
-                pieces.append(s.strip().encode())
-                y.append(labels.index(name))
-                held.append(i % HELD_OUT == 0)
-    if not pieces:
+            pieces.append(s)
+            y.append(labels.index(name))
+            held.append(i % HELD_OUT == 0)
+    use = letters_of(pieces) >= 6
+    if not use.any():
         return None
-    y, held = np.array(y), np.array(held)
+    y, held, pieces = np.array(y)[use], np.array(held)[use], [s.strip().encode() for s, u in zip(pieces, use, strict=True) if u]
     first = train(pieces, y, labels, 3, seed)
     p, _ = _sentence_scores(first, pieces)
     fine = p[np.arange(len(y)), y] >= np.log(0.05)
@@ -265,19 +284,19 @@ def segments(df: DataFrame, key: str, text: str, net: Network | None) -> DataFra
                 yield pd.DataFrame(of(batch["_key"].iloc[at : at + 256].tolist(), batch["_text"].iloc[at : at + 256].tolist()), columns=columns)
 
     def of(keys: list, texts: list[str]) -> list[tuple]:
-        spans, owner, letters, pieces = [], [], [], []
+        spans, owner, pieces = [], [], []
         if shared.value is None:
             return []
         for i, (body, odd) in enumerate(zip(texts, suspects(texts), strict=True)):
             for a, b, s in _units(body, odd):
-                n = len(NO_LETTER.sub("", s))
-                if n:
-                    spans.append((a, b))
-                    owner.append(i)
-                    letters.append(n)
-                    pieces.append(s.strip().encode())
+                spans.append((a, b))
+                owner.append(i)
+                pieces.append(s)
+        letters = letters_of(pieces)
+        use = np.flatnonzero(letters).tolist()
+        spans, owner, letters, pieces = [spans[k] for k in use], [owner[k] for k in use], letters[use], [pieces[k].strip().encode() for k in use]
         score, sure_of = _sentence_scores(shared.value, pieces)
-        own, weight = np.array(owner), np.array(letters, dtype=np.float64)
+        own, weight = np.array(owner), letters.astype(np.float64)
         rows = []
         for i in np.unique(own) if len(own) else []:
             mine = np.flatnonzero(own == i) if len(texts) < 3 else np.arange(*np.searchsorted(own, (i, i + 1)))
