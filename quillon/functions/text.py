@@ -10,7 +10,7 @@ DATE = r"^\[\d{4}-\d{2}-\d{2}\]"
 BOUNDARY = r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
 # Fixed value: characters a trim removes.
 BLANKS = r"[\s\u000B   -     　﻿]+"
-# Prefixes of bookkeeping observations, and words that mark an important sentence.
+# Prefixes of bookkeeping observations.
 BOOKKEEPING = ["Source:", "Created:", "Type:", "Tags:", "Content length:"]
 CJK = r"[　-鿿가-힯＀-￯]"
 
@@ -33,12 +33,14 @@ def trim(text: Column) -> Column:
     return F.regexp_replace(text, f"^{BLANKS}|{BLANKS}$", "")
 
 
-def terms(text: Column, minimum: int = 3) -> Column:
-    """Capitalised phrases, acronyms and Hangul runs, each once, in this order."""
+def terms(text: Column, minimum: int = 3, capitalized: bool = True, patterns: tuple[str, ...] = ()) -> Column:
+    """Capitalised phrases and acronyms, Hangul runs, and what further patterns find in any case, each once, in this order."""
     phrases = F.regexp_extract_all(text, F.lit(BOUNDARY + r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*" + BOUNDARY), F.lit(0))
     acronyms = F.regexp_extract_all(text, F.lit(BOUNDARY + r"[A-Z]{2,}" + BOUNDARY), F.lit(0))
     hangul = F.regexp_extract_all(text, F.lit(r"[가-힣]{2,}"), F.lit(0))
-    return F.array_distinct(F.concat(F.filter(phrases, lambda t: F.length(t) >= minimum), acronyms, hangul))
+    latin = [F.filter(phrases, lambda t: F.length(t) >= minimum), acronyms] if capitalized else []
+    own = [F.transform(F.filter(F.regexp_extract_all(text, F.lit(f"(?i){p}"), F.lit(0)), lambda t: F.length(t) >= minimum), trim) for p in patterns]
+    return F.array_distinct(F.concat(*latin, hangul, *own))
 
 
 def sentences(text: Column) -> Column:

@@ -67,19 +67,46 @@ def _directed(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("lo").alias("source_entity"), F.col("hi").alias("target_entity"), F.lit("").alias("relation_type"))
 
 
-def closeness(edges: DataFrame, sources: DataFrame) -> DataFrame:
+#: Most rows (source, node) that one batch of sources may reach; larger sets of sources are searched batch by batch.
+REACHED = 200_000_000
+
+
+def _batches(edges: DataFrame, sources: DataFrame, most: int) -> list[DataFrame]:
+    """The sources in batches, by hash, whose searches reach at most about ``most`` rows each."""
+    nodes = ends(edges).select("a").distinct().count()
+    parts = max(1, -(-sources.count() * nodes // most))
+    return [sources.filter(F.pmod(F.xxhash64("id"), F.lit(parts)) == p) for p in range(parts)] if parts > 1 else [sources]
+
+
+def closeness(edges: DataFrame, sources: DataFrame, most: int = REACHED) -> DataFrame:
     """(id, score) of the sources (id): reached nodes over the sum of their distances; 0 if nothing is reached."""
-    found = bfs(_directed(edges), sources, None)
-    per = found.groupBy(F.col("seed").alias("id")).agg((F.count("*") - 1).alias("n"), F.sum("depth").alias("s"))
-    return per.select("id", F.when(F.col("s") > 0, F.col("n") / F.col("s")).otherwise(0.0).alias("score"))
+    out = None
+    for batch in _batches(edges, sources, most):
+        found = bfs(_directed(edges), batch, None)
+        per = found.groupBy(F.col("seed").alias("id")).agg((F.count("*") - 1).alias("n"), F.sum("depth").alias("s"))
+        per = materialise(per.select("id", F.when(F.col("s") > 0, F.col("n") / F.col("s")).otherwise(0.0).alias("score")), "closeness")
+        out = per if out is None else out.unionByName(per)
+    return out
 
 
-def betweenness(m: Memory, edges: DataFrame, sources: DataFrame) -> DataFrame:
+def betweenness(m: Memory, edges: DataFrame, sources: DataFrame, most: int = REACHED) -> DataFrame:
     """(id, score): shortest paths from the sources (id) that run through a node, normalised as for all sources.
 
     With all entities as sources this is exact; with some it estimates by their share of all. Path counts come
-    from a breadth-first search of all sources at once; the shares then flow back level by level.
+    from a breadth-first search of a batch of sources at once; the shares then flow back level by level.
     """
+    per = None
+    for batch in _batches(edges, sources, most):
+        part = _flows(edges, batch)
+        per = part if per is None else per.unionByName(part)
+    n, k = m.entities.count(), sources.select("id").distinct().count()
+    scale = n / max(1, k) / max(1, (n - 1) * (n - 2))
+    per = per.groupBy("id").agg(F.sum("s").alias("s"))
+    return m.entities.select("id").join(per, "id", "left").select("id", (F.coalesce("s", F.lit(0.0)) * scale).alias("score"))
+
+
+def _flows(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(id, s): what flows through each node from the sources."""
     found = materialise(bfs(_directed(edges), sources, None, paths=True), "found")
     links = ends(edges)
     deepest = found.agg(F.coalesce(F.max("depth"), F.lit(0))).first()[0]
@@ -91,10 +118,7 @@ def betweenness(m: Memory, edges: DataFrame, sources: DataFrame) -> DataFrame:
         here = found.filter(F.col("depth") == d).join(back, ["seed", "node"], "left")
         flow = materialise(here.select("seed", "node", "depth", "paths", (F.col("paths") * F.coalesce("part", F.lit(0.0))).alias("flow")), "flow")
         total = total.unionByName(flow)
-    n, k = m.entities.count(), sources.select("id").distinct().count()
-    scale = n / max(1, k) / max(1, (n - 1) * (n - 2))
-    per = total.filter("depth > 0").groupBy(F.col("node").alias("id")).agg(F.sum("flow").alias("s"))
-    return m.entities.select("id").join(per, "id", "left").select("id", (F.coalesce("s", F.lit(0.0)) * scale).alias("score"))
+    return materialise(total.filter("depth > 0").groupBy(F.col("node").alias("id")).agg(F.sum("flow").alias("s")), "flows")
 
 
 def top_by_metric(metrics: DataFrame, limit: int = 10) -> DataFrame:
@@ -104,6 +128,13 @@ def top_by_metric(metrics: DataFrame, limit: int = 10) -> DataFrame:
     return ranked.filter(F.col("rank") <= limit).select("metric", "rank", "name", F.round("score", 4).alias("score"))
 
 
+def component_sizes(m: Memory, edges: DataFrame) -> DataFrame:
+    """(component, size, isolated): every component by its smallest id, the largest first; isolated entities are components of one."""
+    found = components(edges, "lo", "hi").withColumnRenamed("node", "id")
+    per = m.entities.select("id").join(found, "id", "left").groupBy(F.coalesce("component", "id").alias("component")).agg(F.count("*").alias("size"), F.first(F.col("component").isNull()).alias("isolated"))
+    return per.orderBy(F.desc("size"), "component")
+
+
 def structure(m: Memory, edges: DataFrame) -> DataFrame:
     """(measure, value): nodes, edges, density, degrees (median: the upper one), components, isolated, clustering."""
     d = degrees(m, edges)
@@ -154,12 +185,12 @@ def modularity(edges: DataFrame, groups: DataFrame, resolution: float = 1.0) ->
     return q.crossJoin(F.broadcast(crossing)).crossJoin(F.broadcast(many)).select(F.round("modularity", 4).alias("modularity"), "cross_edges", "communities")
 
 
-def communities(m: Memory, edges: DataFrame, resolution: float = 1.0, levels: int = 3, rounds: int = 6) -> DataFrame:
+def communities(m: Memory, edges: DataFrame, resolution: float = 1.0, levels: int = 20, rounds: int = 50) -> DataFrame:
     """(id, community): Louvain by rounds in which every node may move to the neighbouring community of highest gain.
 
     All nodes look at the same state; to keep two from swapping places, a round moves only the nodes of one half
     (by hash). The communities of a level are the nodes of the next. Isolated nodes stay alone; ties go to the
-    smaller community; communities are numbered by size.
+    smaller community. A level ends when both halves stay, or after ``rounds``; levels go on until none moves.
     """
     total = float(edges.count())
     member = m.entities.select("id", F.col("id").alias("node"))

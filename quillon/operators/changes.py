@@ -9,12 +9,6 @@ from quillon.functions.text import slug, stamp, strip_date
 from quillon.schema import Memory, first_by, relation_id
 
 
-def _fresh(current, incoming):
-    """Incoming observations that the current ones don't hold, dates in front aside."""
-    held = F.transform(current, strip_date)
-    return F.filter(incoming, lambda o: ~F.array_contains(held, strip_date(o)))
-
-
 def create_entities(entities: DataFrame, items: DataFrame, today: str) -> tuple[DataFrame, DataFrame]:
     """Insert or extend entities by ``items`` (n, name, entity_type, observations); returns (entities, changed ids).
 
@@ -27,16 +21,22 @@ def create_entities(entities: DataFrame, items: DataFrame, today: str) -> tuple[
         F.transform(F.filter(F.coalesce("observations", F.array().cast("array<string>")), lambda o: o.isNotNull()), lambda o: stamp(o, today)).alias("observations"),
     )
     typed = F.coalesce(F.when(F.col("entity_type") != "", F.col("entity_type")), F.lit("CONCEPT"))
-    calls = rows.withColumn("kind", typed).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "name", "kind", "observations"))).alias("calls"))
+    rows = rows.withColumn("kind", typed)
+    calls = rows.groupBy("id").agg(F.min_by("name", "n").alias("_first"), F.max_by("kind", F.when(F.col("kind") != "CONCEPT", F.col("n"))).alias("_kind"))
+    # an observation is new in the first call that brings its text; one row each, whatever the number of calls
+    said = rows.select("id", "n", F.posexplode("observations").alias("k", "o")).withColumn("plain", strip_date(F.col("o")))
+    first = said.groupBy("id", "plain").agg(F.min("n").alias("n"))
+    old = entities.select("id", F.explode("observations").alias("o")).select("id", strip_date(F.col("o")).alias("plain")).distinct()
+    fresh = said.join(first.join(old, ["id", "plain"], "left_anti"), ["id", "plain", "n"], "left_semi")
+    new = fresh.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "k", "o"))), lambda x: x["o"]).alias("_new"))
     empty = F.array().cast("array<string>")
     base = entities.select("id", F.col("name").alias("_name"), F.col("entity_type").alias("_type"), F.col("observations").alias("_obs"), "metadata", "created_at", "entity_no")
-    both = base.join(calls, "id", "full_outer")
+    both = base.join(calls, "id", "full_outer").join(new, "id", "left")
     was = F.coalesce("_obs", empty)
-    now = F.aggregate(F.coalesce("calls", F.array().cast("array<struct<n:bigint,name:string,kind:string,observations:array<string>>>")), was, lambda acc, c: F.concat(acc, _fresh(acc, c["observations"])))
-    kinds = F.filter(F.transform("calls", lambda c: c["kind"]), lambda k: k != "CONCEPT")
-    kind = F.coalesce(F.element_at(F.when(F.size(kinds) > 0, kinds), -1), "_type", F.lit("CONCEPT"))
+    now = F.concat(was, F.coalesce("_new", empty))
+    kind = F.coalesce("_kind", "_type", F.lit("CONCEPT"))
     out = both.select(
-        "id", F.coalesce("_name", F.get("calls", F.lit(0))["name"]).alias("name"), kind.alias("entity_type"), now.alias("observations"), F.coalesce("metadata", F.lit("{}")).alias("metadata"),
+        "id", F.coalesce("_name", "_first").alias("name"), kind.alias("entity_type"), now.alias("observations"), F.coalesce("metadata", F.lit("{}")).alias("metadata"),
         F.coalesce("created_at", F.lit(today)).alias("created_at"), "entity_no", (F.col("_name").isNull() | (F.size(now) > F.size(was)) | (kind != F.col("_type"))).alias("_changed"),
     )
     return out.drop("_changed"), out.filter("_changed").select("id")
@@ -81,13 +81,43 @@ def update_relations(relationships: DataFrame, items: DataFrame) -> tuple[DataFr
     return out, seen.agg(F.count("_h").alias("updated"), (F.count("*") - F.count("_h")).alias("not_found"))
 
 
+def _left(m: Memory, chunks: DataFrame | None = None, entities: DataFrame | None = None) -> Memory:
+    """The memory without the links and vectors of removed chunks (chunk_id) and entities (entity_id)."""
+    links, vectors = m.links, m.entity_vectors
+    if links is not None and chunks is not None:
+        links = links.join(chunks, "chunk_id", "left_anti")
+    if links is not None and entities is not None:
+        links = links.join(entities, "entity_id", "left_anti")
+    if vectors is not None and entities is not None:
+        vectors = vectors.join(entities, "entity_id", "left_anti")
+    return m.with_(links=links, entity_vectors=vectors)
+
+
+def add_links(m: Memory, links: DataFrame) -> Memory:
+    """The memory with further links (chunk_id, entity_id), each held once."""
+    new = links.select("chunk_id", "entity_id")
+    return m.with_(links=(new if m.links is None else m.links.unionByName(new)).distinct())
+
+
+def clean_document(m: Memory, documents: DataFrame) -> Memory:
+    """Without the chunks of documents (document_id), and their links."""
+    gone = m.chunks.join(documents, "document_id", "left_semi").select("chunk_id")
+    return _left(m, chunks=gone).with_(chunks=m.chunks.join(documents, "document_id", "left_anti"))
+
+
+def clean_graph_chunks(m: Memory) -> Memory:
+    """Without the chunks synthesised for entities and relationships, and their links."""
+    made = F.col("chunk_type").isin("entity", "relationship")
+    return _left(m, chunks=m.chunks.filter(made).select("chunk_id")).with_(chunks=m.chunks.filter(~made | F.col("chunk_type").isNull()))
+
+
 def delete_entities(m: Memory, names: DataFrame) -> Memory:
-    """Without the named entities, and the relations that touch them; unknown names are ignored, chunks stay."""
+    """Without the named entities, the relations that touch them, their links and vectors; unknown names are ignored, chunks stay."""
     gone = names.select(slug("name").alias("id")).distinct()
     rel = m.relationships
     for end in ("source_entity", "target_entity"):
         rel = rel.join(gone.withColumnRenamed("id", end), end, "left_anti")
-    return m.with_(entities=m.entities.join(gone, "id", "left_anti"), relationships=rel)
+    return _left(m, entities=gone.withColumnRenamed("id", "entity_id")).with_(entities=m.entities.join(gone, "id", "left_anti"), relationships=rel)
 
 
 def delete_relations(relationships: DataFrame, items: DataFrame) -> DataFrame:
@@ -97,30 +127,33 @@ def delete_relations(relationships: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def store_documents(m: Memory, items: DataFrame) -> Memory:
-    """Documents (n, id, content, metadata, created_at) stored or replaced, the last of an id; their old chunks go."""
+    """Documents (n, id, content, metadata, created_at) stored or replaced, the last of an id; their old chunks and links go."""
     last = items.groupBy("id").agg(F.max_by(F.struct("content", "metadata", "created_at"), "n").alias("d"), F.max("n").alias("doc_id"))
     new = last.select("id", "d.content", "d.metadata", "d.created_at", "doc_id")
     kept = m.documents.join(new.select("id"), "id", "left_anti")
-    chunks = m.chunks.join(new.select(F.col("id").alias("document_id")), "document_id", "left_anti")
-    return m.with_(documents=kept.unionByName(new, allowMissingColumns=True), chunks=chunks)
+    return clean_document(m, new.select(F.col("id").alias("document_id"))).with_(documents=kept.unionByName(new, allowMissingColumns=True))
 
 
 def delete_documents(m: Memory, ids: DataFrame) -> tuple[Memory, DataFrame]:
-    """Without the documents (id) and their chunks; returns (memory, (id, deleted) of each request)."""
+    """Without the documents (id), their chunks and links; returns (memory, (id, deleted) of each request)."""
     asked = ids.select("id").distinct()
     report = asked.join(m.documents.select("id", F.lit(True).alias("_h")), "id", "left").select("id", F.coalesce("_h", F.lit(False)).alias("deleted"))
-    chunks = m.chunks.join(asked.withColumnRenamed("id", "document_id"), "document_id", "left_anti")
-    return m.with_(documents=m.documents.join(asked, "id", "left_anti"), chunks=chunks), report
+    left = clean_document(m, asked.withColumnRenamed("id", "document_id"))
+    return left.with_(documents=m.documents.join(asked, "id", "left_anti")), report
 
 
 def import_memory(m: Memory, other: Memory, merge: bool = True) -> tuple[Memory, DataFrame]:
     """Add another memory's entities, relations and documents; returns (memory, (what, imported, skipped)).
 
     Entities with an id or name already held and relations with an id already held are skipped, documents are
-    replaced. Without ``merge`` the three tables are emptied first. Raises if a relation has no ends.
+    replaced. Without ``merge`` the three tables are emptied first, and the chunks of documents, links and entity vectors
+    with them. Raises if a relation has no ends.
     """
-    empty = not merge
-    base = m.with_(entities=m.entities.limit(0), relationships=m.relationships.limit(0), documents=m.documents.limit(0)) if empty else m
+    base = m
+    if not merge:
+        base = clean_document(m, m.documents.select(F.col("id").alias("document_id")))
+        base = _left(base, entities=m.entities.select(F.col("id").alias("entity_id")))
+        base = base.with_(entities=m.entities.limit(0), relationships=m.relationships.limit(0), documents=m.documents.limit(0))
     new = other.entities.join(base.entities.select("id"), "id", "left_anti").join(base.entities.select("name"), "name", "left_anti")
     entities = base.entities.unionByName(new.select(base.entities.columns))
     rel = other.relationships.join(base.relationships.select("id"), "id", "left_anti")

@@ -9,6 +9,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillon.session import spread
 
@@ -30,7 +31,8 @@ def chunk_texts(
 ) -> DataFrame:
     """(key, chunk_index, text, start_pos, end_pos, start_token, end_token) of every window of every text.
 
-    ``token_ends`` gives the codepoint at which each token of a text ends. Null and empty texts have no window.
+    ``token_ends`` gives the codepoint at which each token of a text ends, or two such arrays where tokens can end inside
+    a character (for windows that end there, and that begin there). Null and empty texts have no window.
     """
     if not 0 <= overlap < size:
         raise ValueError("overlap must be at least 0 and smaller than size")
@@ -40,9 +42,10 @@ def chunk_texts(
         for batch in batches:
             rows = []
             for k, body in zip(batch["_key"], batch["_text"], strict=True):
-                at = np.concatenate(([0], token_ends(body)))
-                for i, (a, b) in enumerate(windows(len(at) - 1, size, overlap)):
-                    p, q = int(at[a]), int(at[b])
+                found = token_ends(body)
+                to, since = (np.concatenate(([0], x)) for x in (found if isinstance(found, tuple) else (found, found)))
+                for i, (a, b) in enumerate(windows(len(to) - 1, size, overlap)):
+                    p, q = int(since[a]), max(int(since[a]), int(to[b]))
                     rows.append((k, i, body[p:q], p, q, a, b))
             yield pd.DataFrame(rows, columns=columns)
 
@@ -56,7 +59,7 @@ def entity_chunks(entities: DataFrame) -> DataFrame:
     said = F.array_join("observations", ". ")
     body = F.concat("name", F.lit(" is a "), "entity_type", F.lit(". "), F.when(F.size("observations") > 0, said).otherwise("No additional information available."))
     return entities.select(
-        F.concat(F.lit("kg_"), F.col("id")).alias("chunk_id"), F.lit("entity").alias("chunk_type"), F.col("id").alias("entity_id"), body.alias("text"), F.lit(0).alias("start_pos"), F.length(body).alias("end_pos")
+        F.concat(F.lit("kg_entity_"), F.col("id")).alias("chunk_id"), F.lit("entity").alias("chunk_type"), F.col("id").alias("entity_id"), body.alias("text"), F.lit(0).alias("start_pos"), F.length(body).alias("end_pos")
     )
 
 
@@ -83,14 +86,37 @@ def backfill_positions(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     Chunks whose text isn't found have null positions and don't move the cursor.
     """
     texts = chunks.filter("chunk_index IS NOT NULL").select("document_id", "chunk_id", "chunk_index", "text")
-    joined = texts.join(documents.select(F.col("id").alias("document_id"), "content"), "document_id")
+    whole = documents.select(F.col("id").alias("document_id"), "content")
+    texts = texts.join(whole.select("document_id"), "document_id", "left_semi")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         cursor, rows = 0, []
+        content = own["content"].iloc[0] if len(own) else None
         for r in pdf.sort_values(["chunk_index", "chunk_id"]).itertuples():
-            at = -1 if r.text is None or r.content is None else r.content.find(r.text, cursor)
+            at = -1 if r.text is None or content is None else content.find(r.text, cursor)
             rows.append((r.chunk_id, at if at >= 0 else None, at + len(r.text) if at >= 0 else None))
             cursor = at if at >= 0 else cursor
         return pd.DataFrame(rows, columns=["chunk_id", "start_pos", "end_pos"]).astype({"start_pos": "Int32", "end_pos": "Int32"})
 
-    return joined.groupBy("document_id").applyInPandas(run, "chunk_id string, start_pos int, end_pos int")
+    # a document is sent once, beside its chunks
+    return texts.groupBy("document_id").cogroup(whole.groupBy("document_id")).applyInPandas(run, "chunk_id string, start_pos int, end_pos int")
+
+
+def codepoint_positions(chunks: DataFrame, documents: DataFrame, positions: tuple[str, str] = ("start_pos", "end_pos")) -> DataFrame:
+    """(chunk_id, start_pos, end_pos): positions stored in UTF-16 units as codepoints of the document.
+
+    A character beyond the basic plane has two units and one codepoint; a position inside one counts it. Null positions,
+    and chunks of documents that are gone, keep theirs.
+    """
+    a, b = positions
+    wide = documents.select(F.col("id").alias("document_id"), F.regexp_replace("content", "[^\\x{10000}-\\x{10ffff}]", " ").alias("marks"))
+    wide = wide.filter(F.length(F.trim("marks")) > 0)
+    # units before the k-th wide character: its codepoint and the k wide ones before it
+    signs = wide.select("document_id", F.posexplode(F.split("marks", "")).alias("at", "sign")).filter("sign <> ' ' AND sign <> ''")
+    order = Window.partitionBy("document_id").orderBy("at")
+    signs = signs.select("document_id", (F.col("at") + F.row_number().over(order) - 1).alias("unit"))
+    ends = chunks.select("chunk_id", "document_id", F.explode(F.array(F.struct(F.lit("a").alias("end"), F.col(a).alias("p")), F.struct(F.lit("b").alias("end"), F.col(b).alias("p")))).alias("x"))
+    before = ends.select("chunk_id", "document_id", "x.*").join(signs, "document_id").filter("unit < p").groupBy("chunk_id", "end").agg(F.count("*").alias("n"))
+    less = before.groupBy("chunk_id").agg(F.max(F.when(F.col("end") == "a", F.col("n"))).alias("na"), F.max(F.when(F.col("end") == "b", F.col("n"))).alias("nb"))
+    shifted = [(F.col(p) - F.coalesce(n, F.lit(0))).cast("int").alias(name) for p, n, name in ((a, "na", "start_pos"), (b, "nb", "end_pos"))]
+    return chunks.select("chunk_id", *positions).join(less, "chunk_id", "left").select("chunk_id", *shifted)

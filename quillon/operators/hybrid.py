@@ -23,10 +23,11 @@ def lexical_boost(rank: Column) -> Column:
 def entity_score(name: Column, query: Column, query_terms: Column, matched: Column, connected: Column) -> Column:
     """Boost of one entity name for a query, by the first rule that holds, more if it is one edge from a matched entity."""
     low, ask = F.lower(name), F.lower(query)
+    asked = F.transform(query_terms, F.lower)
     words = F.filter(F.split(low, r"\s+"), lambda w: F.length(w) >= 3)
     own = (
         F.when(F.array_contains(matched, name), MATCHED)
-        .when(F.array_contains(query_terms, name), TERM)
+        .when(F.array_contains(asked, low), TERM)
         .when(F.contains(ask, low) | F.contains(low, ask), CONTAINED)
         .when(F.exists(words, lambda w: F.contains(ask, w)), WORD)
         .otherwise(0.0)
@@ -71,20 +72,21 @@ def importance(text: Column, names: Column) -> Column:
     low = F.lower(text)
     held = F.size(F.filter(names, lambda n: F.contains(low, F.lower(n))))
     weighty = "|".join(WEIGHTY)
-    return 0.1 * held + F.when(text.rlike(r"(?<![0-9A-Za-z_])[0-9]+"), 0.05).otherwise(0.0) + F.when(text.rlike(weighty), 0.03).otherwise(0.0)
+    return 0.1 * held + F.when(text.rlike(r"(?<![0-9A-Za-z_])[0-9]+"), 0.05).otherwise(0.0) + F.when(low.rlike(weighty), 0.03).otherwise(0.0)
 
 
 def summary(sentences: Column, scores: Column, most: int = 2) -> Column:
-    """struct(text, score): the best sentences, no two of them neighbours, in their own order; score is the best one's."""
+    """struct(text, highlight, score): the best sentences, no two of them neighbours, in their own order; the best one, and its score."""
     order = F.array_sort(F.transform(scores, lambda s, i: F.struct((-s).alias("s"), i.alias("i"))))
     start = F.array().cast("array<int>")
     near = lambda acc, i: F.exists(acc, lambda j: F.abs(j - i) <= 1)
     picked = F.aggregate(order, start, lambda acc, x: F.when((F.size(acc) >= most) | near(acc, x["i"]), acc).otherwise(F.concat(acc, F.array(x["i"]))))
     text = F.array_join(F.transform(F.array_sort(picked), lambda i: F.get(sentences, i)), " [...] ")
-    return F.struct(text.alias("text"), F.coalesce(F.array_max(scores), F.lit(0.1)).alias("score"))
+    best = F.get(sentences, F.get(order, F.lit(0))["i"])
+    return F.struct(text.alias("text"), best.alias("highlight"), F.coalesce(F.array_max(scores), F.lit(0.1)).alias("score"))
 
 
-def start_of(text: Column, most: int = 150) -> Column:
-    """struct(text, score): what stands for a text without sentences, its start, with score 0.1."""
-    start = F.concat(F.substring(text, 1, most), F.when(F.length(text) > most, "...").otherwise(""))
-    return F.struct(start.alias("text"), F.lit(0.1).cast("double").alias("score"))
+def start_of(text: Column, most: int = 150, highlight: int = 100) -> Column:
+    """struct(text, highlight, score): what stands for a text without sentences, its start, with score 0.1."""
+    start = lambda n: F.concat(F.substring(text, 1, n), F.when(F.length(text) > n, "...").otherwise(""))
+    return F.struct(start(most).alias("text"), start(highlight).alias("highlight"), F.lit(0.1).cast("double").alias("score"))

@@ -16,7 +16,8 @@ def name_links(chunks: DataFrame, entities: DataFrame, shortest: int = 1, shorte
 
     A name with CJK characters is found anywhere, another as a whole word (by ASCII word characters), both in any
     case. Chunks and names meet by one ASCII word of the name, the rarest among the names, or by two
-    neighbouring CJK characters; only those that meet are compared, so no chunk is held against all names.
+    neighbouring CJK characters; only those that meet are compared, so no chunk is held against all names. Ids and
+    keys are shuffled first; a text is fetched once for all the names it meets.
     """
     names = entities.select(F.col("id").alias("entity_id"), F.lower("name").alias("name")).filter("name IS NOT NULL").withColumn("cjk", F.col("name").rlike(CJK))
     names = names.filter(F.length("name") >= F.when(F.col("cjk"), shortest_cjk).otherwise(shortest))
@@ -30,10 +31,11 @@ def name_links(chunks: DataFrame, entities: DataFrame, shortest: int = 1, shorte
     spread_of = lambda w, d: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(w) - d)), lambda i: F.substring(w, i, d + 1))
     grams = F.flatten(F.transform(signs, lambda w: F.concat(spread_of(w, 1), spread_of(w, 0))))
     words = F.regexp_extract_all("text", F.lit(RUN), F.lit(0))
-    found = texts.select("chunk_id", "text", F.explode(F.array_distinct(F.concat(words, grams))).alias("key"))
-    met = found.join(chosen, "key").filter(F.expr("instr(text, name) > 0"))
+    found = texts.select("chunk_id", F.explode(F.array_distinct(F.concat(words, grams))).alias("key"))
+    met = found.join(chosen, "key").groupBy("chunk_id").agg(F.collect_set(F.struct("entity_id", "name", "cjk")).alias("names"))
+    each = texts.join(met, "chunk_id").select("chunk_id", "text", F.explode("names").alias("n")).select("chunk_id", "text", "n.*").filter(F.expr("instr(text, name) > 0"))
     quoted = F.concat(F.lit(BOUNDARY + r"\Q"), F.col("name"), F.lit(r"\E" + BOUNDARY))
-    return met.filter(F.col("cjk") | F.regexp_like("text", quoted)).select("chunk_id", "entity_id").distinct()
+    return each.filter(F.col("cjk") | F.regexp_like("text", quoted)).select("chunk_id", "entity_id").distinct()
 
 
 def aliases(entities: DataFrame) -> DataFrame:
@@ -54,8 +56,10 @@ def alias_links(chunks: DataFrame, entities: DataFrame) -> DataFrame:
     three = F.regexp_extract_all("text", F.lit(r"(?=([0-9a-z_\-]{3}\.[0-9a-z_]))"), F.lit(1))
     two = F.regexp_extract_all("text", F.lit(r"(?=([0-9a-z_\-]{2}\.[0-9a-z_]))"), F.lit(1))
     one = F.regexp_extract_all("text", F.lit(r"(?=([0-9a-z_\-]\.[0-9a-z_]))"), F.lit(1))
-    found = texts.select("chunk_id", "text", F.explode(F.array_distinct(F.concat(three, two, one))).alias("key"))
-    return found.join(key, "key").filter(F.expr("instr(text, alias) > 0")).select("chunk_id", "entity_id").distinct()
+    found = texts.select("chunk_id", F.explode(F.array_distinct(F.concat(three, two, one))).alias("key"))
+    met = found.join(key, "key").groupBy("chunk_id").agg(F.collect_set(F.struct("entity_id", "alias")).alias("words"))
+    each = texts.join(met, "chunk_id").select("chunk_id", "text", F.explode("words").alias("w")).select("chunk_id", "text", "w.*")
+    return each.filter(F.expr("instr(text, alias) > 0")).select("chunk_id", "entity_id").distinct()
 
 
 def auto_links(chunks: DataFrame, entities: DataFrame) -> DataFrame:

@@ -138,7 +138,7 @@ def degree_centrality(spark, directory):
 
 @query
 def pagerank(spark, directory):
-    out = analytics.pagerank(*_simple(spark, directory), rounds=10)
+    out = analytics.pagerank(*_simple(spark, directory))
     return out.select("id", "name", F.round("score", 10).alias("score"))
 
 
@@ -151,6 +151,11 @@ def connected_components(spark, directory):
     return m.entities.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
+@query
+def component_sizes(spark, directory):
+    return analytics.component_sizes(*_simple(spark, directory))
+
+
 @query
 def clustering(spark, directory):
     return analytics.clustering(_simple(spark, directory)[1]).select("id", F.round("score", 8).alias("score"))
@@ -185,27 +190,27 @@ def communities(spark, directory):
     return analytics.communities(*_simple(spark, directory))
 
 
-def _every_50th(m):
-    return m.entities.filter("entity_no % 50 = 0").select("id")
-
-
 @query
 def closeness(spark, directory):
     m, edges = _simple(spark, directory)
-    return analytics.closeness(edges, _every_50th(m)).select("id", F.round("score", 8).alias("score"))
+    return analytics.closeness(edges, m.entities.select("id")).select("id", F.round("score", 8).alias("score"))
 
 
 @query
 def betweenness(spark, directory):
     m, edges = _simple(spark, directory)
-    return analytics.betweenness(m, edges, _every_50th(m)).select("id", F.round("score", 8).alias("score"))
+    return analytics.betweenness(m, edges, m.entities.select("id")).select("id", F.round("score", 8).alias("score"))
 
 
 @query
 def top_metrics(spark, directory):
     m, edges = _simple(spark, directory)
-    both = None
-    for name, df in (("degree", analytics.degree_centrality(m, edges)), ("pagerank", analytics.pagerank(m, edges, rounds=10))):
+    both, everyone, names = None, m.entities.select("id"), m.entities.select("id", "name")
+    made = {
+        "degree": analytics.degree_centrality(m, edges), "pagerank": analytics.pagerank(m, edges),
+        "closeness": analytics.closeness(edges, everyone).join(names, "id"), "betweenness": analytics.betweenness(m, edges, everyone).join(names, "id"),
+    }
+    for name, df in made.items():
         part = df.select(F.lit(name).alias("metric"), "name", "score")
         both = part if both is None else both.unionByName(part)
     return analytics.top_by_metric(both.withColumn("score", F.round("score", 9)), 10)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillon.operators import changes
+from quillon.operators import changes, linking
 from quillon.plans.catalog import query
 from quillon.schema import memory
 from quillon.session import table
@@ -118,6 +118,59 @@ def import_merge(spark, directory):
     return changes.import_memory(m.with_(entities=held, relationships=inside), m.with_(relationships=whole))[1]
 
 
+def _linked(spark, directory):
+    """A memory whose chunks are linked to the entities they name."""
+    m = memory(spark, directory)
+    fine = m.entities.withColumn("observations", F.filter("observations", lambda o: o.isNotNull()))
+    return changes.add_links(m.with_(entity_vectors=m.entities.select(F.col("id").alias("entity_id"))), linking.auto_links(m.chunks, fine))
+
+
+def _held(m):
+    """(what, id): links, entity vectors and chunks of a memory."""
+    links = m.links.select(F.lit("link").alias("what"), F.concat_ws(">", "chunk_id", "entity_id").alias("id"))
+    vectors = m.entity_vectors.select(F.lit("vector").alias("what"), F.col("entity_id").alias("id"))
+    return links.unionByName(vectors).unionByName(m.chunks.select(F.lit("chunk").alias("what"), F.col("chunk_id").alias("id")))
+
+
+@query
+def auto_link(spark, directory):
+    """The links that a memory holds once its chunks were linked."""
+    return _linked(spark, directory).links
+
+
+@query
+def delete_cascade(spark, directory):
+    """Links, vectors and chunks left once the files are deleted as entities, and the documents of one source as documents."""
+    m = _linked(spark, directory)
+    m = changes.delete_entities(m, m.entities.filter("entity_type = 'FILE'").select("name"))
+    gone = table(spark, directory, "documents").filter("source = 'glossary'").select("id")
+    return _held(changes.delete_documents(m, gone)[0])
+
+
+@query
+def import_replace(spark, directory):
+    """Links, vectors and chunks left once another memory took the place of this one."""
+    m = _linked(spark, directory)
+    other = m.with_(relationships=m.relationships.limit(0), links=None, entity_vectors=None)
+    return _held(changes.import_memory(m, other, merge=False)[0])
+
+
+@query
+def clean_graph_chunks(spark, directory):
+    """What is left once the chunks synthesised for entities are removed."""
+    return _held(changes.clean_graph_chunks(_linked(spark, directory)))
+
+
+@query
+def update_report(spark, directory):
+    """How many of the confidences above 1, sent for the relation and for its reverse, met a relation."""
+    m = memory(spark, directory)
+    rows = table(spark, directory, "relations").filter("confidence > 1 AND from_name IS NOT NULL AND to_name IS NOT NULL AND relation_type IS NOT NULL").dropDuplicates(["rel_no"])
+    ends = [rows.select("rel_no", F.col(a).alias("from_name"), F.col(b).alias("to_name"), "relation_type") for a, b in (("from_name", "to_name"), ("to_name", "from_name"))]
+    items = ends[0].unionByName(ends[1]).select(F.col("rel_no").alias("n"), "from_name", "to_name", "relation_type", F.lit(1.0).alias("confidence"), F.lit(None).cast("string").alias("metadata"))
+    return changes.update_relations(m.relationships, items)[1]
+
+
 @query
 def export_rows(spark, directory):
     """Entities, relations and documents as JSON: the number of rows made of each kind."""

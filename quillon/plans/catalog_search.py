@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillon.operators import crosslingual, embedding, fulltext, graph, hybrid, vector
+from quillon.functions.text import terms
+from quillon.operators import crosslingual, embedding, fulltext, graph, hybrid, search, vector
 from quillon.plans.catalog import query
 from quillon.schema import memory
 from quillon.session import materialise, spread, table
@@ -119,51 +120,51 @@ def _chunk_names(spark, directory) -> DataFrame:
     return shown.filter("name <> ''").distinct()
 
 
+def _variants(m) -> DataFrame:
+    """(query, variant, text): every 50th entity asks with its name, and with its other name where one is known."""
+    asks = _questions(m).withColumnRenamed("name", "text")
+    pairs = crosslingual.native_names(m.entities).select(F.col("name").alias("term"), F.col("native").alias("other")).groupBy("term").agg(F.min("other").alias("other"))
+    return crosslingual.variant_rows(asks, "query", "text", pairs)
+
+
 @query
 def graph_boost(spark, directory):
-    """Decayed boost of every chunk for the names shown with it: 0.3 for hubs (30 edges and more), 0.15 for others."""
+    """Boost of every entity chunk for the query of its own name: the chunk's kind, and what the graph says of its entity."""
     m = memory(spark, directory)
-    hubs = graph.both_ways(m.relationships).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n")).filter("n >= 30").join(m.entities.select("id", "name"), "id").select("name", F.lit(True).alias("hub"))
-    scored = _chunk_names(spark, directory).join(hubs, "name", "left").select("chunk_id", F.when(F.col("hub"), 0.3).otherwise(0.15).alias("s"))
-    per = scored.groupBy("chunk_id").agg(F.collect_list("s").alias("scores"))
-    return per.select("chunk_id", F.round(hybrid.decayed(F.col("scores")), 9).alias("boost"))
+    own = m.chunks.filter("chunk_type = 'entity'").select("chunk_id", "entity_id")
+    asked = own.join(m.entities.select(F.col("id").alias("entity_id"), "name", "entity_no"), "entity_id")
+    hops = graph.one_hop(m).groupBy("id").agg(F.collect_set("connected").alias("connected"))
+    asked = asked.join(hops.withColumnRenamed("id", "entity_id"), "entity_id", "left")
+    empty = F.array().cast("array<string>")
+    score = hybrid.entity_score(F.col("name"), F.lower("name"), terms(F.col("name")), empty, F.coalesce("connected", empty))
+    return asked.select("chunk_id", F.round(hybrid.graph_boost(F.lit("entity"), F.array(score)), 9).alias("boost"))
 
 
 @query
 def hybrid_search(spark, directory):
-    """The 5 best chunks of every 50th entity: vectors and BM25 of its name, boosted by the graph."""
+    """The 5 best chunks of any kind for the name of every 50th entity: variants, vectors, full text, graph and sentences."""
     m = memory(spark, directory)
-    asks = materialise(_questions(m).join(m.entities.select(F.col("entity_no").alias("query"), F.col("id").alias("entity_id")), "query"), "asks")
-    own = _vectors(m, "entity")
-    ask_v = own.join(asks, "entity_id").groupBy("query").agg(F.min_by("v", "chunk_no").alias("v"))
-    base = _vectors(m, "document").select(F.col("chunk_no").alias("id"), "v", "chunk_id")
-    shift = 1 << 40  # queries and chunks are numbered apart
-    near = vector.knn(base.select("id", "v"), ask_v.select((F.col("query") + shift).alias("id"), "v"), 15, 64).join(base.select("id", "chunk_id"), "id")
-    near = near.select((F.col("query") - shift).alias("query"), "chunk_id", "distance")
-    lexical = fulltext.bm25(m.chunks.filter("chunk_type = 'document'"), asks.select("query", "name"), "query", "name")
-    found = materialise(hybrid.pool(near, lexical, "query"), "pool")
-    hops = graph.one_hop(m).join(asks.select(F.col("entity_id").alias("id"), "query"), "id").groupBy("query").agg(F.collect_set("connected").alias("connected"))
-    named = found.join(_chunk_names(spark, directory).groupBy("chunk_id").agg(F.collect_set("name").alias("names")), "chunk_id", "left")
-    named = named.join(asks.select("query", "name"), "query").join(hops, "query", "left")
-    empty = F.array().cast("array<string>")
-    scores = F.transform(F.coalesce("names", empty), lambda n: hybrid.entity_score(n, F.col("name"), F.array("name"), F.array("name"), F.coalesce("connected", empty)))
-    scored = hybrid.final_score(named.withColumn("boost", hybrid.graph_boost(F.lit("document"), scores)))
-    return hybrid.top(scored, "query").select("query", "chunk_id", "rank", F.round("score", 6).alias("score"))
+    found = search.search(m, _variants(m))
+    return found.select("query", "rank", "chunk_id", "title", F.round("similarity", 6).alias("similarity"), F.round("graph_boost", 6).alias("graph_boost"), F.round("score", 6).alias("score"))
+
+
+@query
+def nodes_near(spark, directory):
+    """The edges among the 10 entities nearest to each of the queries of hybrid_search."""
+    m = memory(spark, directory)
+    asks = materialise(embedding.with_embedding(_variants(m), "text", "v", query=True), "asks")
+    _, edges = search.nodes_near(m, embedding.embed_entities(m.entities), asks)
+    return edges.select("query", "id")
 
 
 @query
 def content_summaries(spark, directory):
     """The best sentences of every document chunk, weighed by the names shown with it."""
-    from quillon.functions.text import sentences
-
     m = memory(spark, directory)
     names = _chunk_names(spark, directory).groupBy("chunk_id").agg(F.collect_set("name").alias("names"))
-    rows = spread(m.chunks.filter("chunk_type = 'document' AND text IS NOT NULL").select("chunk_id", "text")).join(names, "chunk_id", "left")
-    rows = rows.withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
-    said = rows.withColumn("said", sentences(F.col("text")))
-    scored = said.withColumn("scores", F.transform("said", lambda s: F.round(hybrid.importance(s, F.col("names")), 6)))
-    best = hybrid.summary(F.col("said"), F.col("scores"))
-    return scored.select("chunk_id", F.when(F.size("said") > 0, best).otherwise(hybrid.start_of(F.col("text"))).alias("s")).select("chunk_id", "s.text", "s.score")
+    rows = spread(m.chunks.filter("chunk_type = 'document' AND text IS NOT NULL").select("chunk_id", "chunk_type", "text")).join(names, "chunk_id", "left")
+    rows = rows.withColumn("names", F.coalesce("names", F.array().cast("array<string>"))).withColumn("query", F.lit(0))
+    return search.summaries(rows, None).select("chunk_id", "text", "highlight", "score")
 
 
 @query
@@ -173,11 +174,9 @@ def native_names(spark, directory):
 
 @query
 def query_variants(spark, directory):
-    """Names of entities with every term of the relation vocabulary in other words."""
+    """Names of entities asked about, and the same in the native names that observations give."""
     m = memory(spark, directory)
-    pairs = m.relationships.select(F.explode(F.array("source_entity", "target_entity")).alias("id")).distinct().join(m.entities.select("id", "name", "entity_type"), "id")
-    pairs = pairs.select(F.col("name").alias("term"), F.lower("entity_type").alias("other")).distinct()
-    pairs = pairs.groupBy("term").agg(F.min("other").alias("other"))
+    pairs = crosslingual.native_names(m.entities).select(F.col("name").alias("term"), F.col("native").alias("other")).groupBy("term").agg(F.min("other").alias("other"))
     return crosslingual.variant_rows(m.entities.select("id", F.concat(F.lit("about "), "name").alias("text")), "id", "text", pairs)
 
 
@@ -196,8 +195,8 @@ def embed_entities(spark, directory):
 
 @query
 def connected_by_terms(spark, directory):
-    """Names one edge away from the entities that results show, for each of the shown names."""
+    """Names one edge away from the entities that results show, for each of the shown names; never the name itself."""
     m = memory(spark, directory)
     shown = table(spark, directory, "search_results").select(F.explode("entities").alias("name")).filter("name <> ''").distinct()
     known = m.entities.join(shown, "name").select("id", "name")
-    return graph.one_hop(m).join(known, "id").select("name", "connected").distinct()
+    return graph.one_hop(m).join(known, "id").filter("connected <> name").select("name", "connected").distinct()

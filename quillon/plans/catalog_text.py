@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
-from quillon.operators import chunking, graph, linking
+from quillon.operators import chunking, graph, linking, search
 from quillon.plans.catalog import query
 from quillon.schema import memory
 from quillon.session import table
@@ -66,6 +66,15 @@ def chunk_windows_default(spark, directory):
     return per.groupBy("id").agg(F.count("*").alias("windows"), F.max("end_pos").alias("end_pos"), F.max("end_token").alias("end_token"))
 
 
+@query
+def chunk_windows_bpe(spark, directory):
+    """Windows of 800 tokens of a public tokenizer, 160 of them shared with the one before."""
+    from quillon.functions.tokenizer import bpe_ends
+
+    documents = memory(spark, directory).documents
+    return chunking.chunk_texts(documents, "id", "content", token_ends=bpe_ends()).drop("text")
+
+
 @query
 def entity_chunks(spark, directory):
     own = memory(spark, directory).entities.withColumn("observations", F.filter("observations", lambda o: o.isNotNull()))
@@ -81,10 +90,8 @@ def relationship_chunks(spark, directory):
 def detailed_context(spark, directory):
     m = memory(spark, directory)
     found = chunking.context(m.chunks.filter("chunk_type = 'document'"))
-    titles = m.documents.select(F.col("id").alias("document_id"), F.get_json_object("metadata", "$.title").alias("title"))
-    joined = found.join(titles, "document_id")
-    title = F.coalesce(F.when(F.col("title") != "", F.col("title")), F.col("document_id"))
-    return joined.select("chunk_id", "document_id", "chunk_index", "before", "after", title.alias("title"))
+    title = search.titles(m, m.chunks.filter("chunk_type = 'document'")).select("chunk_id", "title")
+    return found.join(title, "chunk_id").select("chunk_id", "document_id", "chunk_index", "before", "after", "title")
 
 
 @query

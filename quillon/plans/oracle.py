@@ -44,14 +44,16 @@ near AS (SELECT node AS id, min(depth) AS depth FROM hop GROUP BY node)
 
 
 def ranks(rounds: int) -> str:
-    """PageRank as a chain of rounds."""
+    """PageRank as a chain of rounds; ``ranked`` holds the first one in which ranks move less than 1e-6 a node in all."""
     out = ", r0 AS MATERIALIZED (SELECT id, name, degree, 1.0::DOUBLE / (SELECT count(*) FROM ent) AS r FROM deg)"
     for k in range(1, rounds + 1):
         out += f"""
 , g{k} AS (SELECT e.b AS id, sum(p.r / p.degree) AS got FROM ends e JOIN r{k - 1} p ON p.id = e.a GROUP BY e.b)
 , r{k} AS MATERIALIZED (SELECT p.id, p.name, p.degree, 0.85 * (coalesce(g.got, 0) + (SELECT coalesce(sum(r), 0) FROM r{k - 1} WHERE degree = 0) / (SELECT count(*) FROM ent))
           + 0.15 / (SELECT count(*) FROM ent) AS r FROM r{k - 1} p LEFT JOIN g{k} g ON g.id = p.id)"""
-    return out
+    moved = " UNION ALL ".join(f"SELECT {k} AS k, (SELECT sum(abs(a.r - b.r)) FROM r{k} a JOIN r{k - 1} b USING (id)) AS e" for k in range(1, rounds + 1))
+    out += f", stops AS (SELECT coalesce(min(k), {rounds}) AS k FROM ({moved}) WHERE e < (SELECT count(*) FROM ent) * 1e-6)"
+    return out + ", ranked AS (" + " UNION ALL ".join(f"SELECT r{k}.* FROM r{k}, stops WHERE stops.k = {k}" for k in range(1, rounds + 1)) + ")"
 
 
 COMPONENT = """
@@ -64,13 +66,25 @@ CLUSTER = """
 clus AS (SELECT d.id, coalesce(t, 0) / (d.degree * (d.degree - 1) / 2.0) AS score FROM deg d LEFT JOIN tri ON tri.id = d.id WHERE d.degree >= 2)
 """
 
-FROM_50 = """
-, src AS (SELECT id FROM ent WHERE entity_no % 50 = 0),
-hop(seed, node, depth) AS (
-  SELECT id, id, 0 FROM src
+#: Rounds of the chain; more than the ranks of the test data need.
+ROUNDS = 40
+DEPTH = 12
+DISTANCES = """
+, hop(seed, node, depth) AS (
+  SELECT id, id, 0 FROM ent
   UNION SELECT h.seed, e.b, h.depth + 1 FROM hop h JOIN ends e ON e.a = h.node WHERE h.depth < 12),
 dist AS MATERIALIZED (SELECT seed, node, min(depth) AS d FROM hop GROUP BY seed, node)
 """
+# paths between all pairs, level by level, and the share of them that each third node lies on
+BETWEEN = (
+    DISTANCES + ", s0 AS (SELECT seed, node, d, 1.0::DOUBLE AS p FROM dist WHERE d = 0)"
+    + "".join(f", s{k} AS MATERIALIZED (SELECT t.seed, t.node, t.d, sum(s.p) AS p FROM s{k - 1} s JOIN ends e ON e.a = s.node JOIN dist t ON t.seed = s.seed AND t.node = e.b AND t.d = {k} GROUP BY ALL)" for k in range(1, DEPTH + 1))
+    + ", paths AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT * FROM s{k}" for k in range(DEPTH + 1)) + """),
+btw AS (SELECT a.node AS id, sum(a.p * b.p / w.p) AS s FROM paths a JOIN paths b ON b.seed = a.node JOIN paths w ON w.seed = a.seed AND w.node = b.node AND w.d = a.d + b.d WHERE a.d > 0 AND b.d > 0 GROUP BY a.node),
+between_ AS (SELECT ent.id, ent.name, coalesce(s, 0) / greatest(1, (SELECT (count(*) - 1) * (count(*) - 2) FROM ent)) AS score FROM ent LEFT JOIN btw USING (id)),
+close_ AS (SELECT seed AS id, CASE WHEN sum(d) > 0 THEN (count(*) - 1) / sum(d)::DOUBLE ELSE 0 END AS score FROM dist GROUP BY seed)
+"""
+)
 
 GRAPH = {
     "stats_by_type": BASE + "SELECT entity_type, count(*) AS n FROM ent GROUP BY ROLLUP (entity_type)",
@@ -96,7 +110,7 @@ GRAPH = {
         SELECT id, depth, array_to_string(path, '>') AS path FROM (SELECT * FROM p0 UNION ALL SELECT * FROM p1 UNION ALL SELECT * FROM p2)""",
     "simple_edges": BASE + "SELECT * FROM simple",
     "degree_centrality": BASE + "SELECT id, name, round(degree / CAST(greatest(1, (SELECT count(*) FROM ent) - 1) AS DOUBLE), 8) AS score FROM deg",
-    "pagerank": BASE + ranks(10) + "SELECT id, name, round(r, 10) AS score FROM r10",
+    "pagerank": BASE + ranks(ROUNDS) + "SELECT id, name, round(r, 10) AS score FROM ranked",
     "connected_components": BASE + COMPONENT + "SELECT id, component FROM comp",
     "clustering": BASE + CLUSTER + "SELECT id, round(score, 8) AS score FROM clus",
     "degree_distribution": BASE + "SELECT degree, count(*) AS n FROM deg GROUP BY degree",
@@ -114,9 +128,11 @@ GRAPH = {
         m AS (SELECT count(*)::DOUBLE AS m FROM simple)
         SELECT (SELECT round(sum(coalesce(l.l, 0) / m - pow(d.d / (2 * m), 2)), 4) FROM d LEFT JOIN l USING (c), m) AS modularity,
                (SELECT count(*) FROM p WHERE ca <> cb) AS cross_edges, (SELECT count(DISTINCT entity_type) FROM ent) AS communities""",
-    "closeness": BASE + FROM_50 + """SELECT seed AS id, CASE WHEN sum(d) > 0 THEN round((count(*) - 1) / sum(d)::DOUBLE, 8) ELSE 0 END AS score FROM dist GROUP BY seed""",
-    "top_metrics": BASE + ranks(10) + """, x AS (SELECT 'degree' AS metric, name, round(degree / CAST(greatest(1, (SELECT count(*) FROM ent) - 1) AS DOUBLE), 9) AS score FROM deg
-        UNION ALL SELECT 'pagerank', name, round(r, 9) FROM r10)
+    "closeness": BASE + BETWEEN + "SELECT id, round(score, 8) AS score FROM close_",
+    "betweenness": BASE + BETWEEN + "SELECT id, round(score, 8) AS score FROM between_",
+    "component_sizes": BASE + COMPONENT + "SELECT component, count(*) AS size, count(*) = 1 AS isolated FROM comp GROUP BY component",
+    "top_metrics": BASE + ranks(ROUNDS) + BETWEEN + """, x AS (SELECT 'degree' AS metric, name, round(degree / CAST(greatest(1, (SELECT count(*) FROM ent) - 1) AS DOUBLE), 9) AS score FROM deg
+        UNION ALL SELECT 'pagerank', name, round(r, 9) FROM ranked UNION ALL SELECT 'closeness', name, round(score, 9) FROM close_ JOIN ent USING (id) UNION ALL SELECT 'betweenness', name, round(score, 9) FROM between_)
         SELECT metric, CAST(rank AS INTEGER) AS rank, name, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY score DESC, name) AS rank FROM x) WHERE rank <= 10""",
 }
 

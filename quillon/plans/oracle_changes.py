@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quillon.plans.oracle import BASE
+from quillon.plans.oracle_text import ALIAS, NAMES
 
 PLAIN = r"regexp_replace({0}, '^\[\d{{4}}-\d{{2}}-\d{{2}}\]\s*', '')"
 OBS = BASE + ", obs AS (SELECT id, name, entity_type, entity_no, created_at, list_filter(observations, lambda o: o IS NOT NULL) AS observations FROM ent)"
@@ -25,6 +26,10 @@ done AS (SELECT ids.id, coalesce(h.name, f.name) AS name, coalesce(k.kind, h.ent
   FROM ids LEFT JOIN held h ON h.id = ids.id LEFT JOIN firsts f ON f.id = ids.id LEFT JOIN kinds k ON k.id = ids.id LEFT JOIN agg ON agg.id = ids.id)
 """
 
+LINKED = NAMES + ALIAS.removeprefix(BASE) + """, links AS (SELECT * FROM named UNION SELECT c.chunk_id, w.entity_id FROM chunk c JOIN word w ON contains(lower(c.text), w.alias)
+        JOIN nm n ON n.entity_id = w.entity_id AND length(n.name) >= CASE WHEN n.cjk THEN 2 ELSE 4 END)
+"""
+
 SQL = {
     "create_entities": UPSERT + "SELECT id, name, entity_type, n, observations FROM done",
     "changed_entities": UPSERT + "SELECT id FROM done WHERE changed",
@@ -48,6 +53,18 @@ SQL = {
         SELECT 'entities' AS what, (SELECT count(*) FROM ne) AS imported, (SELECT count(*) FROM ent) - (SELECT count(*) FROM ne) AS skipped
         UNION ALL SELECT 'relations', (SELECT count(*) FROM okrel WHERE id NOT IN (SELECT id FROM hr)), (SELECT count(*) FROM okrel WHERE id IN (SELECT id FROM hr))
         UNION ALL SELECT 'documents', (SELECT count(*) FROM doc), 0""",
+    "auto_link": LINKED + "SELECT chunk_id, entity_id FROM links",
+    "delete_cascade": LINKED + """, gd AS (SELECT id FROM documents WHERE source = 'glossary'), ge AS (SELECT id FROM ent WHERE entity_type = 'FILE'),
+        gc AS (SELECT chunk_id FROM chunk WHERE document_id IN (SELECT id FROM gd))
+        SELECT 'link' AS what, chunk_id || '>' || entity_id AS id FROM links WHERE entity_id NOT IN (SELECT id FROM ge) AND chunk_id NOT IN (SELECT chunk_id FROM gc)
+        UNION ALL SELECT 'vector', id FROM ent WHERE id NOT IN (SELECT id FROM ge) UNION ALL SELECT 'chunk', chunk_id FROM chunk WHERE chunk_id NOT IN (SELECT chunk_id FROM gc)""",
+    "import_replace": BASE + "SELECT 'chunk' AS what, chunk_id AS id FROM chunk WHERE document_id IS NULL OR document_id NOT IN (SELECT id FROM doc)",
+    "clean_graph_chunks": LINKED + """, kept AS (SELECT chunk_id FROM chunk WHERE chunk_type IS NULL OR chunk_type NOT IN ('entity', 'relationship'))
+        SELECT 'link' AS what, chunk_id || '>' || entity_id AS id FROM links WHERE chunk_id IN (SELECT chunk_id FROM kept)
+        UNION ALL SELECT 'vector', id FROM ent UNION ALL SELECT 'chunk', chunk_id FROM kept""",
+    "update_report": BASE + """, u AS (SELECT rel_no, source_entity AS s, target_entity AS t, relation_type FROM (SELECT *, row_number() OVER (PARTITION BY rel_no ORDER BY ingested_at) AS k FROM rraw WHERE confidence > 1) WHERE k = 1),
+        w AS (SELECT lower('rel_' || s || '_' || relation_type || '_' || t) AS id FROM u UNION ALL SELECT lower('rel_' || t || '_' || relation_type || '_' || s) FROM u)
+        SELECT count(*) FILTER (id IN (SELECT id FROM rel)) AS updated, count(*) FILTER (id NOT IN (SELECT id FROM rel)) AS not_found FROM w""",
     "export_rows": BASE + "SELECT 'entity' AS kind, count(*) AS n FROM ent UNION ALL SELECT 'relation', count(*) FROM rel UNION ALL SELECT 'document', count(*) FROM doc",
     "latest_deliveries": " UNION ALL ".join(
         f"SELECT '{name}' AS name, {key} AS n, count(*) AS times, min({at}) AS first, max({at}) AS last FROM {name} GROUP BY {key} HAVING count(*) > 1"

@@ -56,13 +56,13 @@ SQL = {
         CAST(end_pos AS INTEGER) AS end_pos, CAST(start_token AS INTEGER) AS start_token, CAST(end_token AS INTEGER) AS end_token FROM placed p JOIN doc ON doc.id = p.id""",
     "chunk_windows_default": windows(800, 160) + "SELECT id, count(*) AS windows, CAST(max(end_pos) AS INTEGER) AS end_pos, CAST(max(end_token) AS INTEGER) AS end_token FROM placed GROUP BY id",
     "entity_chunks": OBS + """, c AS (SELECT id, name || ' is a ' || entity_type || '. ' || CASE WHEN len(observations) > 0 THEN array_to_string(observations, '. ') ELSE 'No additional information available.' END AS text FROM obs)
-        SELECT 'kg_' || id AS chunk_id, 'entity' AS chunk_type, id AS entity_id, text, 0 AS start_pos, CAST(length(text) AS INTEGER) AS end_pos FROM c""",
+        SELECT 'kg_entity_' || id AS chunk_id, 'entity' AS chunk_type, id AS entity_id, text, 0 AS start_pos, CAST(length(text) AS INTEGER) AS end_pos FROM c""",
     "relationship_chunks": BASE + """, c AS (SELECT rel.id, a.name || ' ' || replace(lower(relation_type), '_', ' ') || ' ' || b.name AS text FROM rel JOIN ent a ON a.id = source_entity JOIN ent b ON b.id = target_entity)
         SELECT 'kg_relationship_' || id AS chunk_id, 'relationship' AS chunk_type, id AS relationship_id, text, 0 AS start_pos, CAST(length(text) AS INTEGER) AS end_pos FROM c""",
     "detailed_context": BASE + """, own AS (SELECT * FROM chunk WHERE chunk_type = 'document' AND document_id IS NOT NULL AND chunk_index IS NOT NULL),
         near AS (SELECT document_id, chunk_index, arg_min(text, chunk_id) AS text FROM own GROUP BY ALL)
-        SELECT o.chunk_id, o.document_id, o.chunk_index, b.text AS before, a.text AS after, coalesce(nullif(json_extract_string(d.metadata, '$.title'), ''), o.document_id) AS title
-        FROM own o JOIN doc d ON d.id = o.document_id LEFT JOIN near b ON b.document_id = o.document_id AND b.chunk_index = o.chunk_index - 1
+        SELECT o.chunk_id, o.document_id, o.chunk_index, b.text AS before, a.text AS after, coalesce(nullif(json_extract_string(d.metadata, '$.title'), ''), nullif(json_extract_string(d.metadata, '$.name'), ''), nullif(o.document_id, ''), 'Unknown Document') AS title
+        FROM own o LEFT JOIN doc d ON d.id = o.document_id LEFT JOIN near b ON b.document_id = o.document_id AND b.chunk_index = o.chunk_index - 1
         LEFT JOIN near a ON a.document_id = o.document_id AND a.chunk_index = o.chunk_index + 1""",
     "orphan_chunks": BASE + """SELECT chunk_id, 'document' AS lost FROM chunk WHERE document_id IS NOT NULL AND document_id NOT IN (SELECT id FROM doc)
         UNION ALL SELECT chunk_id, 'entity' FROM chunk WHERE entity_id IS NOT NULL AND entity_id NOT IN (SELECT id FROM ent)""",

@@ -32,6 +32,8 @@ class Memory:
     relationships: DataFrame  # id, source_entity, target_entity, relation_type, confidence, metadata, created_at
     documents: DataFrame  # id, content, metadata, created_at
     chunks: DataFrame  # chunk_id, chunk_type, document_id, entity_id, chunk_index, text, positions, embedding
+    links: DataFrame | None = None  # chunk_id, entity_id; None: none made yet
+    entity_vectors: DataFrame | None = None  # entity_id, embedding_text, embedding; None: none made yet
 
     def with_(self, **tables: DataFrame) -> Memory:
         return replace(self, **tables)

@@ -6,44 +6,58 @@ import json
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
-from pathlib import Path
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.schema import Memory
+from quillon.session import filesystem
 
-TABLES = ["entities", "relationships", "documents", "chunks"]
+TABLES = ["entities", "relationships", "documents", "chunks", "links", "entity_vectors"]
 
 
 def save(m: Memory, path: str) -> str:
     """Write a snapshot beside the earlier ones; it counts once the manifest names it."""
     name = f"snapshot-{uuid.uuid4().hex}"
-    for t in TABLES:
+    held = [t for t in TABLES if getattr(m, t) is not None]
+    for t in held:
         getattr(m, t).write.parquet(f"{path}/{name}/{t}")
-    manifest = read_manifest(path)
+    spark = m.entities.sparkSession
+    manifest = read_manifest(spark, path)
     manifest["snapshots"].append(name)
-    write_manifest(path, manifest)
+    manifest.setdefault("tables", {})[name] = held
+    write_manifest(spark, path, manifest)
     return name
 
 
 def load(spark: SparkSession, path: str, snapshot: str | None = None) -> Memory:
     """The latest snapshot, or the named one."""
-    name = snapshot or read_manifest(path)["snapshots"][-1]
-    return Memory(**{t: spark.read.parquet(f"{path}/{name}/{t}") for t in TABLES})
+    manifest = read_manifest(spark, path)
+    name = snapshot or manifest["snapshots"][-1]
+    return Memory(**{t: spark.read.parquet(f"{path}/{name}/{t}") for t in manifest["tables"][name]})
 
 
-def read_manifest(path: str) -> dict:
-    file = Path(path) / "manifest.json"
-    return json.loads(file.read_text()) if file.exists() else {"snapshots": [], "versions": []}
+def read_manifest(spark: SparkSession, path: str) -> dict:
+    """The newest manifest of a folder on any file system that Spark knows."""
+    fs, place = filesystem(spark, f"{path}/manifests")
+    names = sorted(s.getPath().getName() for s in fs.listStatus(place)) if fs.exists(place) else []
+    if not names:
+        return {"snapshots": [], "versions": []}
+    return json.loads(spark.read.text(f"{path}/manifests/{names[-1]}", wholetext=True).first()[0])
 
 
-def write_manifest(path: str, manifest: dict) -> None:
-    """Replace the manifest in one step."""
-    Path(path).mkdir(parents=True, exist_ok=True)
-    new = Path(path) / f"manifest-{uuid.uuid4().hex}.tmp"
-    new.write_text(json.dumps(manifest))
-    new.replace(Path(path) / "manifest.json")
+def write_manifest(spark: SparkSession, path: str, manifest: dict) -> None:
+    """Add a newer manifest: written under another name, it counts once it is renamed."""
+    fs, place = filesystem(spark, f"{path}/manifests")
+    fs.mkdirs(place)
+    number = fs.listStatus(place).__len__()
+    made = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest-{uuid.uuid4().hex}.tmp")
+    stream = fs.create(made)
+    stream.write(bytearray(json.dumps(manifest).encode()))
+    stream.close()
+    if not fs.rename(made, spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifests/{number:012d}.json")):
+        raise RuntimeError("another writer was faster")
 
 
 def export_rows(m: Memory) -> DataFrame:
@@ -60,9 +74,14 @@ def export_rows(m: Memory) -> DataFrame:
     return out
 
 
-def export_json(m: Memory, path: str) -> None:
-    """Write the export as JSON lines, a folder for each kind."""
+def export_json(m: Memory, path: str, version: str = "1") -> dict:
+    """Write the export as JSON lines, a folder for each kind; returns its description, which is written too."""
     export_rows(m).write.partitionBy("kind").text(path)
+    spark = m.entities.sparkSession
+    n = {r["kind"]: r["n"] for r in spark.read.text(path).groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    about = {"exportedAt": datetime.now(UTC).isoformat(), "version": version, **{f"{k}Count": n.get(k, 0) for k in ("entity", "relation", "document")}}
+    spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.text(f"{path}/kind=metadata")
+    return about
 
 
 def import_json(spark: SparkSession, path: str) -> Memory:
@@ -91,32 +110,33 @@ class Version:
     up: Callable[[Memory], Memory]
 
 
-def status(path: str, versions: list[Version]) -> list[dict]:
-    """Each version, and whether it was applied."""
-    done = {v["version"]: v["snapshot"] for v in read_manifest(path)["versions"]}
-    return [{"version": v.number, "description": v.description, "applied": v.number in done} for v in sorted(versions, key=lambda v: v.number)]
+def status(spark: SparkSession, path: str, versions: list[Version]) -> dict:
+    """The current version (0: none), how many are pending, and each version with the time it was applied (None: not yet)."""
+    done = {v["version"]: v["applied_at"] for v in read_manifest(spark, path)["versions"]}
+    each = [{"version": v.number, "description": v.description, "applied": v.number in done, "applied_at": done.get(v.number)} for v in sorted(versions, key=lambda v: v.number)]
+    return {"current": max(done, default=0), "pending": sum(not v["applied"] for v in each), "versions": each}
 
 
 def migrate(spark: SparkSession, path: str, versions: list[Version]) -> int:
     """Apply the pending versions in order, each as a snapshot of its own; a failure leaves the last good one."""
     applied = 0
-    for v, state in zip(sorted(versions, key=lambda v: v.number), status(path, versions), strict=True):
+    for v, state in zip(sorted(versions, key=lambda v: v.number), status(spark, path, versions)["versions"], strict=True):
         if not state["applied"]:
             name = save(v.up(load(spark, path)), path)
-            manifest = read_manifest(path)
-            manifest["versions"].append({"version": v.number, "snapshot": name})
-            write_manifest(path, manifest)
+            manifest = read_manifest(spark, path)
+            manifest["versions"].append({"version": v.number, "snapshot": name, "applied_at": datetime.now(UTC).isoformat()})
+            write_manifest(spark, path, manifest)
             applied += 1
     return applied
 
 
-def roll_back(path: str, target: int) -> list[int]:
+def roll_back(spark: SparkSession, path: str, target: int) -> list[int]:
     """Point at the snapshot of version ``target`` (0: the first snapshot) again; returns the versions undone."""
-    manifest = read_manifest(path)
+    manifest = read_manifest(spark, path)
     undone = sorted((v["version"] for v in manifest["versions"] if v["version"] > target), reverse=True)
     kept = [v for v in manifest["versions"] if v["version"] <= target]
     if undone:
         manifest["snapshots"].append(kept[-1]["snapshot"] if kept else manifest["snapshots"][0])
         manifest["versions"] = kept
-        write_manifest(path, manifest)
+        write_manifest(spark, path, manifest)
     return undone

@@ -6,6 +6,7 @@ operators themselves, whose results stay DataFrames.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 from datetime import UTC, datetime
 from typing import Any
@@ -13,9 +14,12 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.functions.text import terms
-from quillon.operators import analytics, changes, chunking, embedding, fulltext, graph, hybrid, linking, vector
+from quillon.functions.text import slug, terms
+from quillon.functions.tokenizer import TOKENIZER, bpe_ends
+from quillon.operators import analytics, changes, chunking, crosslingual, embedding, graph, linking, search
 from quillon.schema import Memory
+from quillon.session import materialise
+from quillon.sources import store
 
 Answer = tuple[Memory, Any]
 TOOLS: dict[str, Callable[[Memory, dict], Answer]] = {}
@@ -77,7 +81,11 @@ def _(m, a):
 @tool("addObservations")
 def _(m, a):
     items = _items(a["observations"], "name string, observations array<string>", name="entityName", observations="contents")
-    return m.with_(entities=changes.add_observations(m.entities, items, _today())), {"added": True}
+    new = changes.add_observations(m.entities, items, _today())
+    was = m.entities.select("id", F.col("observations").alias("_was"))
+    added = F.slice("observations", F.size("_was") + 1, F.greatest(F.lit(0), F.size("observations") - F.size("_was")))
+    asked = items.select(slug("name").alias("id")).distinct()
+    return m.with_(entities=new), [{"entityName": r["name"], "addedObservations": r["added"]} for r in new.join(asked, "id", "left_semi").join(was, "id").select("name", added.alias("added")).collect()]
 
 
 @tool("updateRelations")
@@ -131,10 +139,11 @@ def _(m, a):
     own = m.documents.filter(F.col("id") == a["documentId"])
     if own.isEmpty():
         raise ValueError(f"no such document: {a['documentId']}")
-    new = chunking.chunk_texts(own, "id", "content", a.get("maxTokens") or 800, a.get("overlap") or 160)
+    ends = bpe_ends() if os.path.exists(TOKENIZER) else chunking.word_ends
+    new = chunking.chunk_texts(own, "id", "content", a.get("maxTokens") or 800, a.get("overlap") or 160, ends)
     new = new.select(F.concat("id", F.lit("_chunk_"), F.col("chunk_index").cast("string")).alias("chunk_id"), F.lit("document").alias("chunk_type"), F.col("id").alias("document_id"), "chunk_index", "text", "start_pos", "end_pos", "start_token", "end_token")
-    kept = m.chunks.filter(~F.col("document_id").eqNullSafe(a["documentId"]))
-    return m.with_(chunks=kept.unionByName(new, allowMissingColumns=True)), _rows(new.select("chunk_id", "start_pos", "end_pos"))
+    m = changes.clean_document(m, _names([a["documentId"]], "document_id"))
+    return m.with_(chunks=m.chunks.unionByName(new, allowMissingColumns=True)), _rows(new.select("chunk_id", "start_pos", "end_pos"))
 
 
 @tool("embedChunks")
@@ -145,17 +154,35 @@ def _(m, a):
     found = embedding.embed_chunks(own).withColumnRenamed("embedding", "_new").withColumn("_new", F.col("_new").cast("array<float>"))
     base = m.chunks if "embedding" in m.chunks.columns else m.chunks.withColumn("embedding", F.lit(None).cast("array<float>"))
     chunks = base.join(found, "chunk_id", "left").withColumn("embedding", F.coalesce("_new", "embedding")).drop("_new")
-    return m.with_(chunks=chunks), {"embedded": found.count(), "linked": linking.auto_links(own, m.entities).select("entity_id").distinct().count()}
+    links = linking.auto_links(own, m.entities)
+    return changes.add_links(m.with_(chunks=chunks), links), {"embedded": found.count(), "linked": links.select("entity_id").distinct().count()}
 
 
 @tool("embedAllEntities")
 def _(m, a):
-    return m, {"embedded": embedding.embed_entities(m.entities).count()}
+    vectors = materialise(embedding.embed_entities(m.entities), "entity_vectors")
+    return m.with_(entity_vectors=vectors), {"embedded": vectors.count()}
+
+
+@tool("generateGraphChunks")
+def _(m, a):
+    m = changes.clean_graph_chunks(m)
+    new = chunking.entity_chunks(m.entities).unionByName(chunking.relationship_chunks(graph.named_edges(m)), allowMissingColumns=True)
+    return m.with_(chunks=m.chunks.unionByName(new, allowMissingColumns=True)), {"chunks": new.count()}
+
+
+@tool("embedGraphChunks")
+def _(m, a):
+    own = m.chunks.filter("chunk_type IN ('entity', 'relationship')")
+    found = embedding.embed_chunks(own).withColumnRenamed("embedding", "_new").withColumn("_new", F.col("_new").cast("array<float>"))
+    base = m.chunks if "embedding" in m.chunks.columns else m.chunks.withColumn("embedding", F.lit(None).cast("array<float>"))
+    chunks = base.join(found, "chunk_id", "left").withColumn("embedding", F.coalesce("_new", "embedding")).drop("_new")
+    return m.with_(chunks=chunks), {"embedded": found.count()}
 
 
 @tool("extractTerms")
 def _(m, a):
-    found = m.documents.filter(F.col("id") == a["documentId"]).select(terms(F.col("content"), a.get("minLength") or 3).alias("t")).first()
+    found = m.documents.filter(F.col("id") == a["documentId"]).select(terms(F.col("content"), a.get("minLength") or 3, a.get("includeCapitalized", True), tuple(a.get("customPatterns") or ())).alias("t")).first()
     if found is None:
         raise ValueError(f"no such document: {a['documentId']}")
     return m, {"terms": found["t"]}
@@ -163,8 +190,10 @@ def _(m, a):
 
 @tool("linkEntitiesToDocument")
 def _(m, a):
-    own = m.chunks.filter(F.col("document_id") == a["documentId"])
-    return m, {"links": _rows(linking.name_links(own, m.entities.join(_names(a["entityNames"]), "name", "left_semi")))}
+    if m.documents.filter(F.col("id") == a["documentId"]).isEmpty():
+        raise ValueError(f"no such document: {a['documentId']}")
+    links = linking.name_links(m.chunks.filter(F.col("document_id") == a["documentId"]), m.entities.join(_names(a["entityNames"]), "name", "left_semi"))
+    return changes.add_links(m, links), {"links": _rows(links)}
 
 
 @tool("deleteDocuments")
@@ -182,31 +211,34 @@ def _(m, a):
     return m, {"documents": _rows(m.documents.orderBy(F.desc("created_at"), "id").select(*columns))}
 
 
+def _variants(m: Memory, a: dict) -> DataFrame:
+    """(query, variant, text) of one query: in its own words, and translated where the dictionary or native names allow it."""
+    known = crosslingual.load_dictionary(a["dictionary"]) if a.get("dictionary") else {"native-en": {}, "en-native": {}}
+    for native, name in m.entities.transform(crosslingual.native_names).join(_names(a["query"].split(), "w"), F.instr(F.lower("name"), F.lower("w")) + F.instr("native", F.col("w")) > 0, "left_semi").collect():
+        known["native-en"].setdefault(native, name)
+        known["en-native"].setdefault(name, native)
+    return _session().createDataFrame([(1, i, t) for i, t in enumerate(crosslingual.variants(a["query"], known))], "query long, variant int, text string")
+
+
 @tool("searchNodes")
 def _(m, a):
-    rows = embedding.embed_entities(m.entities).select(F.col("entity_id").alias("id"), F.col("embedding").alias("v"))
-    asked = embedding.with_embedding(_names([a["query"]], "q"), "q", "v", query=True).select(F.lit("\0query").alias("id"), "v")
-    found = vector.knn(rows, asked, a.get("limit") or 10, embedding.DIM)
-    hits = found.join(m.entities.select("id", "name", "entity_type", "created_at"), "id").withColumn("similarity", vector.similarity(F.col("distance")))
+    asks = materialise(embedding.with_embedding(_variants(m, a), "text", "v", query=True), "asks")
+    vectors = m.entity_vectors if m.entity_vectors is not None else materialise(embedding.embed_entities(m.entities), "vectors")
+    nodes, edges = search.nodes_near(m, vectors, asks, a.get("limit") or 10)
+    hits = nodes.join(m.entities.select(F.col("id").alias("entity_id"), "entity_type", "observations", "created_at"), "entity_id")
     for key, keep in (("since", F.col("created_at") >= a.get("since")), ("until", F.col("created_at") <= a.get("until"))):
         hits = hits.filter(keep) if a.get(key) else hits
-    return m, {"entities": _rows(hits.orderBy("rank").select("name", "entity_type", "similarity"))}
+    left = hits.select("entity_id")
+    for end in ("source_entity", "target_entity"):
+        edges = edges.join(left.withColumnRenamed("entity_id", end), end, "left_semi")
+    return m, {"entities": _rows(hits.orderBy("rank").select("name", "entity_type", "observations", "similarity")), "relations": _rows(edges.select("source_entity", "relation_type", "target_entity"))}
 
 
 @tool("hybridSearch")
 def _(m, a):
-    limit = a.get("limit", 5)
-    asks = _session().createDataFrame([(1, a["query"])], "query long, text string")
-    base = embedding.embed_chunks(m.chunks).select(F.col("chunk_id").alias("id"), F.col("embedding").alias("v"))
-    asked = embedding.with_embedding(_names([a["query"]], "q"), "q", "v", query=True).select(F.lit("\0query").alias("id"), "v")
-    near = vector.knn(base, asked, 3 * limit, embedding.DIM).select(F.lit(1).cast("long").alias("query"), F.col("id").alias("chunk_id"), "distance")
-    found = hybrid.pool(near, fulltext.bm25(m.chunks, asks, "query", "text", 3 * limit), "query")
-    held = linking.auto_links(m.chunks.join(found.select("chunk_id"), "chunk_id", "left_semi"), m.entities).join(m.entities.select(F.col("id").alias("entity_id"), "name"), "entity_id")
-    named = found.join(held.groupBy("chunk_id").agg(F.collect_set("name").alias("names")), "chunk_id", "left").join(m.chunks.select("chunk_id", "chunk_type", "text"), "chunk_id")
-    empty = F.array().cast("array<string>")
-    scores = F.transform(F.coalesce("names", empty), lambda n: hybrid.entity_score(n, F.lit(a["query"]), terms(F.lit(a["query"])), empty, empty))
-    scored = hybrid.final_score(named.withColumn("boost", hybrid.graph_boost(F.col("chunk_type"), scores)), use_graph=a.get("useGraph", True))
-    return m, {"results": _rows(hybrid.top(scored, "query", limit).orderBy("rank").select("chunk_id", "text", "names", "score"))}
+    found = search.search(m, _variants(m, a), a.get("limit", 5), a.get("useGraph", True))
+    texts = m.chunks.select("chunk_id", "text")
+    return m, {"results": _rows(found.join(texts, "chunk_id").orderBy("rank").drop("query"))}
 
 
 @tool("getDetailedContext")
@@ -219,7 +251,11 @@ def _(m, a):
 
 @tool("exportGraph")
 def _(m, a):
-    return m, {"entities": _rows(m.entities), "relations": _rows(m.relationships), "documents": _rows(m.documents)}
+    if a.get("path"):  # a large memory is written, not returned
+        return m, {"path": a["path"], "metadata": store.export_json(m, a["path"])}
+    data = {"entities": _rows(m.entities), "relations": _rows(m.relationships), "documents": _rows(m.documents)}
+    about = {"exportedAt": datetime.now(UTC).isoformat(), "version": "1", "entityCount": len(data["entities"]), "relationCount": len(data["relations"]), "documentCount": len(data["documents"])}
+    return m, {**data, "metadata": about}
 
 
 @tool("importGraph")
@@ -271,4 +307,7 @@ def _(m, a):
 
 @tool("analyzeGraphStructure")
 def _(m, a):
-    return m, {r["measure"]: r["value"] for r in _rows(analytics.structure(m, analytics.simple_edges(m)))}
+    edges = analytics.simple_edges(m)
+    sizes = analytics.component_sizes(m, edges)
+    listed = {"componentSizes": [r["size"] for r in sizes.limit(a.get("limit") or 10).collect()], "isolatedEntities": [r["name"] for r in sizes.filter("isolated").join(m.entities.select(F.col("id").alias("component"), "name"), "component").orderBy("name").limit(a.get("limit") or 10).collect()]}
+    return m, {r["measure"]: r["value"] for r in _rows(analytics.structure(m, edges))} | listed

@@ -64,12 +64,15 @@ def test_snapshots_versions_and_json(spark, tmp_path):
     path = str(tmp_path / "memory")
     store.save(m, path)
     versions = [store.Version(1, "lower-case types", lambda x: x.with_(entities=x.entities.withColumn("entity_type", F.lower("entity_type"))))]
-    assert store.status(path, versions)[0]["applied"] is False
+    assert store.status(spark, path, versions)["pending"] == 1
     assert store.migrate(spark, path, versions) == 1 and store.migrate(spark, path, versions) == 0
     assert {r.entity_type for r in store.load(spark, path).entities.collect()} == {"concept", "tool"}
-    assert store.roll_back(path, 0) == [1]
+    state = store.status(spark, path, versions)
+    assert state["current"] == 1 and state["pending"] == 0 and state["versions"][0]["applied_at"]
+    assert store.roll_back(spark, path, 0) == [1]
     assert {r.entity_type for r in store.load(spark, path).entities.collect()} == {"CONCEPT", "TOOL"}
-    store.export_json(m, str(tmp_path / "json"))
+    about = store.export_json(m, str(tmp_path / "json"))
+    assert about["entityCount"] == m.entities.count() and about["exportedAt"]
     back = store.import_json(spark, str(tmp_path / "json"))
     assert [r.observations for r in back.entities.orderBy("id").collect()] == [["[2024-01-01] old"], []]
     assert back.relationships.first().confidence == 0.5 and back.documents.first().content == "text"

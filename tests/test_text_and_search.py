@@ -1,3 +1,10 @@
+import os
+
+import pytest
+
+from quillon.functions.tokenizer import TOKENIZER, bpe_ends
+from quillon.schema import memory
+from quillon.session import discard, filesystem, materialise, spread
 import math
 
 import pytest
@@ -108,3 +115,42 @@ def test_embeddings(spark):
     asked = spark.createDataFrame([(1, "list of keys")], "query long, text string")
     scores = {(r.chunk_id, r.n): r.score for r in embedding.sentence_scores(said, asked).collect()}
     assert scores["c", 0] == scores["d", 0] > 0.3 and scores["c", 1] == 0
+
+
+@pytest.mark.skipif(not os.path.exists(TOKENIZER), reason="no tokenizer file")
+@pytest.mark.parametrize("text", ["The quick brown fox jumps over the lazy dog. " * 120, "대한민국은 동아시아의 국가입니다. 수도는 서울입니다. " * 80, "🟢 Status check ✅ 모든 시스템 정상 🎉 Build OK 💯 " * 80, "𠮷田さん says 안녕! 你好世界 🌍🟢✅ こんにちは " * 80, "🟢✅🎉💯🌍🚀⭐📊" * 60, "Hello 안녕 🟢"])
+def test_bpe_windows_are_slices_of_whole_characters(spark, text):
+    rows = chunking.chunk_texts(spark.createDataFrame([(1, text)], "k long, t string"), "k", "t", 100, 20, bpe_ends()).orderBy("chunk_index").collect()
+    assert all(text[r.start_pos : r.end_pos] == r.text and "\ufffd" not in r.text for r in rows)
+    assert rows[0].start_pos == 0 and rows[-1].end_pos == len(text) and all(b.start_token - a.start_token == 80 and b.start_pos <= a.end_pos for a, b in zip(rows, rows[1:], strict=False))
+
+
+def test_positions_in_utf16_units_become_codepoints(spark):
+    body = "a🟢b✅c💯d"
+    m = spark.createDataFrame([("x", "d", 0, 4), ("y", "d", 4, 9), ("z", "gone", 1, 2), ("n", "d", None, None)], "chunk_id string, document_id string, start_pos int, end_pos int")
+    got = {r.chunk_id: (r.start_pos, r.end_pos) for r in chunking.codepoint_positions(m, spark.createDataFrame([("d", body)], "id string, content string")).collect()}
+    assert got == {"x": (0, 3), "y": (3, 7), "z": (1, 2), "n": (None, None)}
+
+
+def test_spread_starts_no_job(spark):
+    m = memory(spark, "/root/testdata/sf0.001")
+    spark.sparkContext.setJobGroup("spread", "spread")
+    spread(m.documents), spread(m.chunks.select("text"))
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("spread")
+    spark.sparkContext.setJobGroup("other", "other")
+
+
+def test_deliveries_read_only_the_columns_used(spark):
+    plan = memory(spark, "/root/testdata/sf0.001").entities.groupBy("entity_type").count()._jdf.queryExecution().executedPlan().toString()
+    assert "observations" not in plan and "metadata" not in plan
+
+
+def test_what_was_written_is_deleted(spark):
+    df = materialise(spark.range(5), "numbers")
+    fs, place = filesystem(spark, df.written_to)
+    assert df.count() == 5 and fs.exists(place)
+    discard(df)
+    assert not fs.exists(place)
+    by = materialise(spark.range(50), "numbers", by="id")
+    assert "Exchange" not in by.groupBy("id").count()._jdf.queryExecution().sparkPlan().toString() and by.count() == 50
+    discard(by)

@@ -24,8 +24,25 @@ def test_a_session_of_calls(spark):
     assert len(hits["results"]) == 2 and "Search Index" in hits["results"][0]["names"]
     _, links = call_tool(m, "linkEntitiesToDocument", {"documentId": "d", "entityNames": ["Search Index"]})
     assert len(links["links"]) >= 2
+    m, made = call_tool(m, "embedChunks", {"documentId": "d"})
+    assert made["embedded"] == len(pieces) and m.links.join(m.chunks.filter("text LIKE '%Search Index%'"), "chunk_id").count() == m.links.count() >= 2
+    m, made = call_tool(m, "generateGraphChunks", {})
+    assert made["chunks"] == 3 and call_tool(m, "embedGraphChunks", {})[1]["embedded"] == 3
+    m, made = call_tool(m, "embedAllEntities", {})
+    assert made["embedded"] == m.entity_vectors.count() == 2
+    _, near = call_tool(m, "searchNodes", {"query": "search index"})
+    assert near["entities"][0]["name"] == "Search Index" and len(near["relations"]) == 1
+    _, added = call_tool(m, "addObservations", {"observations": [{"entityName": "Queue", "contents": ["is slow"]}]})
+    assert added[0]["entityName"] == "Queue" and len(added[0]["addedObservations"]) == 1
+    _, said = call_tool(m, "extractTerms", {"documentId": "d", "includeCapitalized": False, "customPatterns": ["WAITS for"]})
+    assert said["terms"] == ["waits for"]
+    with pytest.raises(ValueError):
+        call_tool(m, "linkEntitiesToDocument", {"documentId": "e", "entityNames": []})
+    m, _ = call_tool(m, "deleteEntities", {"entityNames": ["Queue"]})
+    assert m.links.filter("entity_id = 'entity_queue'").count() == 0 and m.entity_vectors.count() == 1
+    m, _ = call_tool(m, "createRelations", {"relations": [{"from": "Search Index", "to": "Queue", "relationType": "USES"}]})
     m, gone = call_tool(m, "deleteDocuments", {"documentIds": ["d", "e"]})
-    assert gone["summary"] == {"deleted": 1, "failed": 1, "total": 2} and m.chunks.count() == 0
+    assert gone["summary"] == {"deleted": 1, "failed": 1, "total": 2} and m.chunks.filter("document_id IS NOT NULL").count() == 0 and m.links.join(m.chunks, "chunk_id", "left_anti").count() == 0
     with pytest.raises(ValueError):
         call_tool(m, "chunkDocument", {"documentId": "d"})
     with pytest.raises(KeyError):
@@ -34,4 +51,4 @@ def test_a_session_of_calls(spark):
     back, counts = call_tool(empty, "importGraph", {"data": data})
     assert {r["what"]: r["imported"] for r in counts} == {"entities": 2, "relations": 1, "documents": 0}
     assert back.entities.count() == 2
-    assert len(TOOLS) == 27
+    assert len(TOOLS) == 29
