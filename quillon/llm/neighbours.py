@@ -219,8 +219,11 @@ SCANNED = "q long, id long, score float, distance double"
 STEP = 2048
 
 
-def _scan(index: Index, keep: int, least: float | None, k: int, whole: bool):
-    """mapInArrow over a part: queries against the codes of the cells they probe, or of all (``whole``), reranked then."""
+def _scan(index: Index, keep: int | None, least: float | None, k: int, whole: bool):
+    """mapInArrow over a part: queries against the codes of the cells they probe, or of all (``whole``), reranked then.
+
+    ``keep`` codes of a part at most stay for a query; None: all that reach the score ``least``.
+    """
     schema = pa.schema([("q", pa.int64()), ("id", pa.int64()), ("score", pa.float32()), ("distance", pa.float64())])
     width = index.books.shape[0] // 2
 
@@ -300,7 +303,7 @@ def _scan(index: Index, keep: int, least: float | None, k: int, whole: bool):
                 q, i, s = (np.concatenate(f) for f in zip(*found, strict=True))
                 o = np.lexsort((i, -s, q))
                 q, i, s = q[o], i[o], s[o]
-                use = np.arange(len(q)) - np.searchsorted(q, q) < keep
+                use = np.arange(len(q)) - np.searchsorted(q, q) < keep if keep is not None else np.ones(len(q), bool)
                 yield pa.RecordBatch.from_arrays([pa.array(q[use]), pa.array(i[use]), pa.array(s[use], pa.float32()), pa.nulls(int(use.sum()), pa.float64())], schema=schema)
 
     def best_of(base, rows, tables, codes, ids, own) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -344,7 +347,7 @@ def nearest(
 
     ``ask`` selects the asking rows (all by default). ``probes`` is the number of cells a query scans; None scans
     all codes or, with a radius, every cell that can be expected to hold a neighbour. The ``rerank`` best codes of a query (or, with a radius, those whose score is at most ``slack``
-    short of it) are compared with the exact vectors; distances are those of the vectors scaled to length 1.
+    short of it) are compared with the exact vectors (without a radius half as many of each part of the index); distances are those of the vectors scaled to length 1.
     Equal vectors are indexed once and share their neighbours; of a group of equals the ``k`` + 1 smallest keys
     stand for it, so that a group of any size stays cheap and no nearer row is lost (ties go to smaller keys).
 
@@ -356,21 +359,22 @@ def nearest(
     good = df.filter(F.col(key).isNotNull() & usable(vector, dim)).select(
         F.col(key).cast("long").alias("key"), F.col(vector).cast("array<float>").alias("vector"), (F.lit(True) if ask is None else F.coalesce(ask, F.lit(False))).alias("ask")
     )
-    good = good.withColumn("h", F.xxhash64("vector"))
+    # 128 bits stand for a vector, so that two of them are never taken for one
+    good = good.withColumn("h", F.struct(F.xxhash64("vector").alias("a"), F.xxhash64(F.lit(1), "vector").alias("b")))
     groups = good.groupBy("h").agg(F.min("key").alias("id"), F.first("vector").alias("vector"), F.max("ask").alias("ask"), F.count("*").alias("size"))
     groups = materialise(groups, "vectors")
     rows = groups.count()
     if not rows:
         return good.select(F.col("key").alias("key_a"), F.col("key").alias("key_b"), F.lit(0.0).alias("distance"), F.lit(0).alias("rank")).limit(0)
     share = min(1.0, FIT_ROWS / rows, 32 * max(1, min(rows // CELL_ROWS, MAX_CELLS)) / rows if rows > 4096 else 1.0)
-    picked = groups.filter(F.pmod(F.xxhash64("h"), F.lit(1 << 20)) < int(share * (1 << 20))).select("vector").toArrow()
+    picked = groups.filter(F.pmod(F.xxhash64("h.a"), F.lit(1 << 20)) < int(share * (1 << 20))).select("vector").toArrow()
     sample = np.concatenate([_unit(b, "vector") for b in picked.to_batches() if b.num_rows])
     index = fit(sample, rows)
     parts = int(index.part.max()) + 1
     routed = spread(groups.select("id", "vector", F.coalesce("ask", F.lit(False)).alias("ask"))).mapInArrow(_route(index, probes, radius), ROUTED)
     least = None if radius is None else 1 - radius * radius / 2 - slack
     whole = _whole(index, probes, radius)
-    keep = min(rerank, max(64, 2 * rerank // parts)) if whole or radius is None else rerank
+    keep = rerank // 2 if whole or radius is None else None  # of a part; with a radius every code within the slack
     found = routed.repartitionById(parts, F.col("part")).mapInArrow(_scan(index, keep, least, k + 1, whole), SCANNED)
     if whole:
         exact = found.select("q", "id", "distance")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,8 +12,8 @@ from pyspark.sql import functions as F
 from quillon.llm.common import TOKENIZER, salted_rank, token_count
 from quillon.session import materialise, spread
 
-#: Buckets of lengths for each capacity.
-BUCKETS = 32
+#: Buckets of lengths for each capacity, and items of one size that are ranked in one group.
+BUCKETS, SALT_ROWS = 32, 100_000
 
 
 def counted(df: DataFrame, key: str, text: str, extra: tuple[str, ...] = (), tokenizer: str = TOKENIZER) -> DataFrame:
@@ -96,9 +98,6 @@ def plan(sizes: np.ndarray, counts: np.ndarray, capacity: int, buckets: int = BU
         container += times
 
 
-PLAN = "pack_name string, tokens int, first long, each int, base long, containers long, bucket int"
-
-
 def pack(counts: DataFrame, limits: DataFrame, buckets: int = BUCKETS, across: bool = True) -> DataFrame:
     """Containers for items (key, tokens) under each capacity of ``limits`` (pack_name, capacity_tokens).
 
@@ -122,11 +121,29 @@ def pack(counts: DataFrame, limits: DataFrame, buckets: int = BUCKETS, across: b
     for (name, capacity), own in histogram.groupby(["pack_name", "capacity"]):
         rows += [(name, *r) for r in plan(own["tokens"].to_numpy(np.int64), own["n"].to_numpy(np.int64), int(capacity), buckets, across)]
     frame = pd.DataFrame(rows, columns=["pack_name", "tokens", "first", "each", "base", "containers", "bucket"])
-    plans = F.broadcast(spark.createDataFrame(frame, PLAN) if rows else spark.createDataFrame([], PLAN))
-    ranked = salted_rank(items, ["pack_name", "tokens"], [F.col("key"), F.col("piece")], "_rank")
-    place = F.col("_rank") - F.col("first")
-    met = ranked.join(plans, ["pack_name", "tokens"]).filter((place >= 0) & (place < F.col("each") * F.col("containers")))
-    return met.select("pack_name", (F.col("base") + F.floor(place / F.col("each"))).alias("container"), "bucket", "key", "piece", "start_token", "tokens")
+    most = int(histogram["n"].max()) if len(histogram) else 1
+    ranked = salted_rank(items, ["pack_name", "tokens"], [F.col("key"), F.col("piece")], "_rank", max(1, -(-most // SALT_ROWS)))
+    shared = spark.sparkContext.broadcast(frame.sort_values(["pack_name", "tokens", "first"]).reset_index(drop=True))
+    kind = counts.schema["key"].dataType.simpleString()
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        steps = shared.value
+        names = {n: i for i, n in enumerate(steps["pack_name"].unique())}
+        kind_of = lambda f: f["pack_name"].map(names).to_numpy(np.int64) * (1 << 32) + f["tokens"].to_numpy(np.int64)
+        # one sorted number for (pack, size, first rank): the step of an item is the last that isn't behind it
+        at, first = kind_of(steps), steps["first"].to_numpy(np.int64)
+        heads = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.zeros(0, np.int64)
+        group, span = np.searchsorted(at[heads], at), most + 1
+        keys = group * span + first
+        for batch in batches:
+            own, rank = kind_of(batch), batch["_rank"].to_numpy(np.int64)
+            step = np.searchsorted(keys, np.searchsorted(at[heads], own) * span + rank, side="right") - 1
+            met = steps.iloc[step]
+            container = met["base"].to_numpy() + (rank - first[step]) // met["each"].to_numpy()
+            yield batch.assign(container=container, bucket=met["bucket"].to_numpy())[["pack_name", "container", "bucket", "key", "piece", "start_token", "tokens"]]
+
+    chosen = ranked.select("pack_name", "key", "piece", "start_token", "tokens", "_rank")
+    return chosen.mapInPandas(place, f"pack_name string, container long, bucket int, key {kind}, piece int, start_token int, tokens int")
 
 
 def fill(packed: DataFrame, limits: DataFrame) -> DataFrame:

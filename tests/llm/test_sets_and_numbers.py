@@ -74,8 +74,8 @@ def test_groups_connect_classes(spark):
 # pairs of items
 
 
-@pytest.mark.parametrize("heavy", [0, 3, 50])
-def test_counts_equal_brute_force(spark, heavy):
+@pytest.mark.parametrize(("heavy", "list_items"), [(0, 1024), (3, 1024), (50, 7), (3, 2)])
+def test_counts_equal_brute_force(spark, heavy, list_items):
     rng = random.Random(3)
     names = [f"n{i}" for i in range(40)]
     rows = [(i, [names[min(39, int(rng.expovariate(0.15)))] for _ in range(rng.randint(0, 6))], 1) for i in range(300)]
@@ -87,8 +87,10 @@ def test_counts_equal_brute_force(spark, heavy):
         single.update(s)
         both.update(itertools.combinations(sorted(s), 2))
     want = {(a, b): (n, single[a], single[b], len(lists)) for (a, b), n in both.items() if n >= 2}
-    got = {(r.name_a, r.name_b): (r.n_ab, r.n_a, r.n_b, r.n) for r in together.pairs_together(df, "k", "l", 2, 0, heavy).collect()}
+    got = {(r.name_a, r.name_b): (r.n_ab, r.n_a, r.n_b, r.n) for r in together.pairs_together(df, "k", "l", 2, 0, heavy, list_items=list_items).collect()}
     assert got == want
+    rare = {(r.name_a, r.name_b) for r in together.pairs_together(df, "k", "l", 3, 1.5, heavy, list_items=list_items).collect()}
+    assert rare == {k for k, (n, a, b, t) in want.items() if n >= 3 and n * t >= 1.5 * a * b}
     assert together.pairs_together(df.limit(0), "k", "l").count() == 0
 
 
