@@ -10,12 +10,16 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.session import spread
+from quillon.session import materialise, spread
+
+#: Tables of keys up to this many rows are broadcast.
+SMALL_ROWS = 1_000_000
 
 # Letters that look like a Latin letter, by script.
 CYRILLIC = dict(zip("асеорхуіјѕһԁԛԝӏѵАВЕКМНОРСТУХІЈЅԚԜ", "aceopxyijshdqwlvABEKMHOPCTYXIJSQW", strict=True))
@@ -23,13 +27,14 @@ GREEK = dict(zip("οναιρυκΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ovaipukABEZHIKMN
 # Invisible characters, and spaces of another or no-break kind.
 INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f"
+# Letters of further scripts that look like a Latin letter.
+FURTHER = dict(zip("օոսցհքԼՍՕᎪᏴᏟᎠᎬᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃᴀᴄᴏᴠᴡᴢꜱꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴıɑɡɩ", "onughpLUOABCDEHJKLMPRSTVWZacovwzsBPDTGKJCZFMNLSRVHWXYAEIOUiagi", strict=True))
 # Names of the changes, in the order they are made.
-CHANGES = ["invisible", "space", "width", "composition", "mixed_script", "whole_script"]
+CHANGES = ["invisible", "space", "width", "compatibility", "composition", "mixed_script", "whole_script"]
 
 LATIN_CLASS, GREEK_CLASS, CYRILLIC_CLASS = "A-Za-zªºÀ-ÖØ-öø-ʸḀ-ỿ", "Ͱ-ͳͶ-ͽͿΆΈ-Ͽἀ-῿", "Ѐ-ҁҊ-ԯᲀ-ᲈ"
 SCRIPTS = {"latin": re.compile(f"[{LATIN_CLASS}]"), "greek": re.compile(f"[{GREEK_CLASS}]"), "cyrillic": re.compile(f"[{CYRILLIC_CLASS}]")}
-BESIDE = re.compile(f"[{LATIN_CLASS}][{GREEK_CLASS}{CYRILLIC_CLASS}]|[{GREEK_CLASS}{CYRILLIC_CLASS}][{LATIN_CLASS}]")
-OTHER = re.compile(f"[{GREEK_CLASS}{CYRILLIC_CLASS}]")
+OTHER, LATIN = re.compile(f"[{GREEK_CLASS}{CYRILLIC_CLASS}]"), re.compile(f"[{LATIN_CLASS}]")
 TOKEN = re.compile(r"[^\W\d_]+")
 HIDDEN = re.compile(f"[{INVISIBLE}]")
 SPACE = re.compile(f"[{SPACES}]")
@@ -37,7 +42,24 @@ WIDE = re.compile("[０-９Ａ-Ｚａ-ｚ]")
 WIDE_FORM = re.compile("[！-～]")
 EMOJI = re.compile("[←-⯿\ufe0f\U0001f000-\U0001faff]")
 LIKE = {"cyrillic": CYRILLIC, "greek": GREEK}
-ALL_LIKE = str.maketrans({**CYRILLIC, **GREEK})
+ALL_LIKE = str.maketrans({**FURTHER, **CYRILLIC, **GREEK})
+
+
+@lru_cache(maxsize=1)
+def _compatible() -> tuple[re.Pattern, dict[int, str]]:
+    """Letters and numbers that are another look of others (mathematical, circled, superscript, ligatures, half-width kana), and these.
+
+    Taken from the compatibility decompositions; full-width forms and the ideographs' compatibility forms are no part.
+    """
+    table = {}
+    for c in range(0x80, 0x20000):
+        s = chr(c)
+        tag = unicodedata.decomposition(s)
+        if tag.startswith(("<font>", "<circle>", "<compat>", "<narrow>", "<sub>", "<super>")) and unicodedata.category(s)[0] in "LN":
+            new = unicodedata.normalize("NFKC", s)
+            if new != s and all(unicodedata.category(x)[0] in "LN" for x in new):
+                table[c] = new
+    return re.compile("[" + "".join(map(chr, table)) + "]"), table
 
 
 def resolved(token: str) -> set[str]:
@@ -87,12 +109,16 @@ def one_form(text: str) -> tuple[str, list[str]]:
     text = step("space", SPACE.sub(" ", text)) if SPACE.search(text) else text
     if WIDE.search(text):  # punctuation of that width is usual in Chinese and Japanese and stays
         text = step("width", WIDE.sub(lambda m: chr(ord(m[0]) - 0xFEE0), text))
+    pattern, table = _compatible()
+    if pattern.search(text):
+        text = step("compatibility", text.translate(table))
     if not unicodedata.is_normalized("NFC", text):
         text = step("composition", unicodedata.normalize("NFC", text))
-    if BESIDE.search(text):
-        new = TOKEN.sub(lambda m: m[0] if resolved(m[0]) else consistent(m[0]), text)
-        changes.append("mixed_script")
-        text = new
+    if OTHER.search(text) and LATIN.search(text):
+        mixed = {t for t in TOKEN.findall(text) if OTHER.search(t) and not resolved(t)}
+        if mixed:
+            changes.append("mixed_script")
+            text = TOKEN.sub(lambda m: consistent(m[0]) if m[0] in mixed else m[0], text)
     if OTHER.search(text):
         text = step("whole_script", "\n".join(map(_whole, text.split("\n"))))
     return text, changes
@@ -117,7 +143,11 @@ def _whole(line: str) -> str:
 
 def skeleton(name: str) -> str:
     """What a name looks like: its one form with every look-alike letter as the Latin one, without blanks at its ends."""
-    form = one_form(name)[0]
+    return look_of(one_form(name)[0])
+
+
+def look_of(form: str) -> str:
+    """What a text in its one form looks like."""
     if not form.isascii():
         form = WIDE_FORM.sub(lambda m: chr(ord(m[0]) - 0xFEE0), form).replace("\u3000", " ").translate(ALL_LIKE)
     return form.strip()
@@ -138,13 +168,22 @@ def forms(df: DataFrame, key: str, text: str, changed_only: bool = False) -> Dat
             for k, body in zip(batch["_key"], batch["_text"], strict=True):
                 form, changes = one_form(body)
                 if changes or not changed_only:
-                    rows.append((k, form, skeleton(body), changes))
+                    rows.append((k, form, look_of(form), changes))
             yield pd.DataFrame(rows, columns=columns)
 
     some = df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).filter(F.col("_key").isNotNull() & F.col("_text").isNotNull())
     return spread(some).mapInPandas(run, f"`{key}` {df.schema[key].dataType.simpleString()}, form string, skeleton string, changes array<string>")
 
 
+def delivered_once(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, text) with each text of a key once; only the rows of repeated keys are shuffled with their texts."""
+    rows = df.filter(F.col(key).isNotNull()).select(key, text)
+    several = rows.groupBy(key).count().filter("count > 1").select(key)
+    several = materialise(several, "repeated")
+    several = F.broadcast(several) if several.count() <= SMALL_ROWS else several
+    return rows.join(several, key, "left_anti").unionByName(rows.join(several, key, "left_semi").distinct())
+
+
 def same_looking(df: DataFrame, key: str, name: str) -> DataFrame:
     """Pairs (key_a, key_b) with key_a < key_b of rows whose names look the same but differ in characters.
 

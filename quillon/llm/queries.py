@@ -89,10 +89,10 @@ SHOWN = ["invisible", "space", "width", "composition", "mixed_script"]
 
 def p6_forms(spark: SparkSession, directory: str) -> DataFrame:
     """Chunk texts and entity names in their one form, with the changes made."""
-    chunks = lookalike.forms(table(spark, directory, "chunks"), "chunk_no", "text")
-    names = lookalike.forms(table(spark, directory, "entities"), "entity_no", "name")
+    chunks = lookalike.forms(lookalike.delivered_once(table(spark, directory, "chunks"), "chunk_no", "text"), "chunk_no", "text")
+    names = lookalike.forms(lookalike.delivered_once(table(spark, directory, "entities"), "entity_no", "name"), "entity_no", "name")
     both = chunks.select(F.lit("chunk").alias("rec_kind"), F.col("chunk_no").alias("key"), "form", F.array_join("changes", ",").alias("changes"))
-    return both.unionByName(names.select(F.lit("entity").alias("rec_kind"), F.col("entity_no").alias("key"), "form", F.array_join("changes", ",").alias("changes"))).distinct()
+    return both.unionByName(names.select(F.lit("entity").alias("rec_kind"), F.col("entity_no").alias("key"), "form", F.array_join("changes", ",").alias("changes")))
 
 
 def p6_found(spark: SparkSession, directory: str) -> DataFrame:

@@ -1,15 +1,14 @@
 """DuckDB statements for the queries that SQL can express."""
 
-from quillon.llm.lookalike import CYRILLIC, GREEK, INVISIBLE
-from quillon.llm.lookalike import SPACES as OTHER_SPACES
-
-# characters of the statement for look-alikes, from the operator's own fixed values
-HIDDEN = "".join(f"\\x{{{ord(c):x}}}" for c in INVISIBLE)
-SPACES = "".join(f"\\x{{{ord(c):x}}}" for c in OTHER_SPACES)
+# Fixed values of the statement for look-alikes, its own: soft hyphen, zero-width and byte-order marks; spaces of other or no-break kind.
+HIDDEN = r"\x{ad}\x{200b}\x{200c}\x{200d}\x{2060}\x{feff}"
+SPACES = r"\x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}"
 EMOJI = r"[\x{2190}-\x{2bff}\x{fe0f}\x{1f000}-\x{1faff}]"
 WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "\u3000"
 NARROW = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)).replace("'", "''") + " "
-ALIKE, LATIN = "".join([*CYRILLIC, *GREEK]), "".join([*CYRILLIC.values(), *GREEK.values()])
+# Cyrillic and Greek letters, and the Latin ones they look like.
+ALIKE = "асеорхуіјѕһԁԛԝӏѵАВЕКМНОРСТУХІЈЅԚԜοναιρυκΑΒΕΖΗΙΚΜΝΟΡΤΥΧ"
+LATIN = "aceopxyijshdqwlvABEKMHOPCTYXIJSQWovaipukABEZHIKMNOPTYX"
 
 P1_FOUND = r"""
 WITH long AS (SELECT doc_id, text FROM documents WHERE length(text) > 1200),

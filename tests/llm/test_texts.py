@@ -117,6 +117,10 @@ def test_repair_rows(spark):
         ("café", "café", ["composition"]),
         ("аliaѕ-tаble", "alias-table", ["mixed_script"]),
         ("it іѕ signed off", "it is signed off", ["whole_script"]),
+        ("𝐁𝐨𝐥𝐝 𝓢cript", "Bold Script", ["compatibility"]),
+        ("eﬃcient oﬀer №", "efficient offer №", ["compatibility"]),
+        ("step ① of ③ x²", "step 1 of 3 x2", ["compatibility"]),
+        ("ｶﾀｶﾅ", "カタカナ", ["compatibility"]),
         ("Словарь терминов", "Словарь терминов", []),
         ("он сор и рот", "он сор и рот", []),
         ("👨‍💻 ok", "👨‍💻 ok", []),
@@ -129,6 +133,12 @@ def test_one_form(text, form, changes):
     assert lookalike.one_form(form)[1] == []
 
 
+def test_texts_of_repeated_keys_are_kept_once(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "c"), (None, "d"), (3, None)], "k long, t string")
+    assert sorted(map(str, lookalike.delivered_once(df, "k", "t").collect())) == sorted(map(str, df.filter("k IS NOT NULL").distinct().collect()))
+    assert lookalike.skeleton("Ꮪᴏft ᴡare") == lookalike.skeleton("Soft ware".replace("S", "Ꮪ").replace("o", "о").replace("w", "ᴡ"))
+
+
 def test_same_looking_rows(spark):
     names = ["alias", "аlias", "alias", "al​ias", None, "", "other"]
     df = spark.createDataFrame([(i, n, 1) for i, n in enumerate(names)] + [(None, "alias", 1), (0, "alias", 2)], "k long, n string, skeleton int")
