@@ -59,7 +59,10 @@ def _compatible() -> tuple[re.Pattern, dict[int, str]]:
             new = unicodedata.normalize("NFKC", s)
             if new != s and all(unicodedata.category(x)[0] in "LN" for x in new):
                 table[c] = new
-    return re.compile("[" + "".join(map(chr, table)) + "]"), table
+    # characters beyond the basic plane in a class of their own: one class of both is slow to search
+    plane = "".join(chr(c) for c in table if c < 0x10000)
+    beyond = "".join(f"{chr(c)}" for c in sorted({c & ~0xFF for c in table if c >= 0x10000}))
+    return re.compile(f"[{plane}]|[{''.join(f'{b}-{chr(ord(b) + 0xFF)}' for b in beyond)}]"), table
 
 
 def resolved(token: str) -> set[str]:
@@ -110,8 +113,8 @@ def one_form(text: str) -> tuple[str, list[str]]:
     if WIDE.search(text):  # punctuation of that width is usual in Chinese and Japanese and stays
         text = step("width", WIDE.sub(lambda m: chr(ord(m[0]) - 0xFEE0), text))
     pattern, table = _compatible()
-    if pattern.search(text):
-        text = step("compatibility", text.translate(table))
+    if pattern.search(text) and (new := text.translate(table)) != text:
+        text = step("compatibility", new)
     if not unicodedata.is_normalized("NFC", text):
         text = step("composition", unicodedata.normalize("NFC", text))
     if OTHER.search(text) and LATIN.search(text):
