@@ -38,7 +38,7 @@ f AS (SELECT name_a, name_b, n_ab, ca.k AS n_a, cb.k AS n_b, (SELECT count(*) FR
 """
 
 P5_PAIRS = P5 + """
-SELECT *, round(n_ab * n / (CAST(n_a AS DOUBLE) * n_b), 6) AS lift FROM f WHERE n_ab >= 2
+SELECT *, round(n_ab * n / (CAST(n_a AS DOUBLE) * n_b), 6) AS lift FROM f
 """
 
 P5_FOUND = P5 + """
