@@ -185,12 +185,12 @@ def modularity(edges: DataFrame, groups: DataFrame, resolution: float = 1.0) ->
     return q.crossJoin(F.broadcast(crossing)).crossJoin(F.broadcast(many)).select(F.round("modularity", 4).alias("modularity"), "cross_edges", "communities")
 
 
-def communities(m: Memory, edges: DataFrame, resolution: float = 1.0, levels: int = 20, rounds: int = 50) -> DataFrame:
+def communities(m: Memory, edges: DataFrame, resolution: float = 1.0, levels: int = 4, rounds: int = 8) -> DataFrame:
     """(id, community): Louvain by rounds in which every node may move to the neighbouring community of highest gain.
 
     All nodes look at the same state; to keep two from swapping places, a round moves only the nodes of one half
     (by hash). The communities of a level are the nodes of the next. Isolated nodes stay alone; ties go to the
-    smaller community. A level ends when both halves stay, or after ``rounds``; levels go on until none moves.
+    smaller community. A level ends when both halves stay, or after ``rounds``; there are at most ``levels``.
     """
     total = float(edges.count())
     member = m.entities.select("id", F.col("id").alias("node"))
