@@ -3,7 +3,7 @@
 Unit vectors are assigned to k-means cells; the residual is quantised in two-dimensional subspaces to sixteen
 codewords each (four bits), under a loss that weighs the part of the error parallel to the vector more than the
 rest, as that part is what changes a large inner product. A query is scored against the codes of the cells it
-probes by adding entries of its lookup tables; the best are reranked with the exact vectors.
+probes by adding entries of its lookup tables; the best are reranked with the exact vectors. A cell that holds many codes is divided again, inside its task.
 """
 
 from __future__ import annotations
@@ -21,8 +21,10 @@ from quillon.session import materialise, spread
 
 #: The index is fitted on at most this many vectors; every vector is indexed.
 FIT_ROWS = 65536
-#: Vectors a cell should hold, and most cells there may be.
+#: Vectors a cell should hold, and most cells that are fitted on the sample and sent to the tasks.
 CELL_ROWS, MAX_CELLS = 256, 4096
+#: Codes from which a cell is divided where it is scanned, into so many, and each of these again.
+SPLIT_ROWS, FAN = 2048, 64
 #: Vectors of an index part (a shuffle partition of the scan).
 PART_ROWS = 12288
 #: Scores held at once in a scan.
@@ -38,6 +40,20 @@ class Index:
     books: np.ndarray  # subspaces x 16 x 2
     weight: float  # of the parallel error, over that of the orthogonal
     spread: float  # dimensions that vectors of a cell scatter in
+    error: float  # mean length of the error of a code
+    split: int  # codes from which a cell is divided
+
+    def reach(self, radius: float) -> float:
+        """How far a vector within the radius can be expected to lie along a line, by the distance of the line's ends.
+
+        At most the radius, and hardly more than 3.5 deviations of a step scattered over the dimensions of a cell.
+        """
+        return min(1.0, 3.5 / max(1.0, self.spread) ** 0.5) * radius
+
+    def decode(self, cell: int, packed: np.ndarray) -> np.ndarray:
+        """The vectors that the codes (two a byte) of a cell stand for."""
+        codes = np.stack([packed & 15, packed >> 4], axis=2).reshape(len(packed), -1)
+        return self.centroids[cell] + self.books[np.arange(codes.shape[1]), codes].reshape(len(packed), -1)
 
     def cells(self, x: np.ndarray) -> np.ndarray:
         return np.argmax(x @ self.centroids.T, axis=1)
@@ -118,7 +134,10 @@ def fit(sample: np.ndarray, rows: int, threshold: float = 0.2, seed: int = 42) -
     books = _train(sample, sample - centroids[near], max(1.0, weight))
     left = (sample - centroids[near]).astype(np.float64)
     around = left.T @ left
-    return Index(centroids, part, books, max(1.0, weight), float(np.trace(around) ** 2 / max((around**2).sum(), 1e-12)))
+    codes = _encode(sample, sample - centroids[near], books, max(1.0, weight), 2)
+    wrong = left.reshape(len(left), -1, 2) - books[np.arange(len(books)), codes]
+    error = float(np.sqrt((wrong**2).sum() / len(left)))
+    return Index(centroids, part, books, max(1.0, weight), float(np.trace(around) ** 2 / max((around**2).sum(), 1e-12)), error, SPLIT_ROWS)
 
 
 def _unit(batch: pa.RecordBatch, name: str) -> np.ndarray:
@@ -177,11 +196,10 @@ def _route(index: Index, probes: int | None, radius: float | None):
                 top = np.argpartition(-near[ask], probes - 1, axis=1)[:, :probes]
             use = np.ones(top.shape, dtype=bool)
             if radius is not None:
-                # a neighbour within the radius crosses to the cell only if its step along the line of the two centroids is that
-                # long: at most the radius, and hardly more than 3.5 deviations of a step scattered over the dimensions of a cell
+                # a neighbour within the radius crosses to the cell only if its step along the line of the two centroids is that long
                 best = cell[ask]
                 gap = near[ask, best][:, None] - np.take_along_axis(near[ask], top, 1)
-                use = gap <= min(1.0, 3.5 / max(1.0, index.spread) ** 0.5) * radius * np.take_along_axis(between[best], top, 1) + 1e-6
+                use = gap <= index.reach(radius) * np.take_along_axis(between[best], top, 1) + 1e-6
             who, k = np.nonzero(use)
             cell_of = top[who, k].astype(np.int32)
             order = np.lexsort((cell_of, index.part[cell_of], who))
@@ -219,11 +237,63 @@ SCANNED = "q long, id long, score float, distance double"
 STEP = 2048
 
 
-def _scan(index: Index, keep: int | None, least: float | None, k: int, whole: bool):
+@dataclass
+class Node:
+    """Codes from ``start`` to ``end``, divided among children by the nearest of ``centroids``."""
+
+    start: int
+    end: int
+    centroids: np.ndarray | None = None
+    children: list[Node] | None = None
+
+
+def _divide(index: Index, cell: int, codes: np.ndarray, ids: np.ndarray, start: int, end: int) -> Node:
+    """Divide a stretch of a cell's codes until few are left, and put them in that order (in place).
+
+    A stretch that hardly divides, as codes are equal, stays whole.
+    """
+    n = end - start
+    if n <= index.split:
+        return Node(start, end)
+    x = index.decode(cell, codes[np.unique(np.linspace(start, end - 1, FAN * 64).astype(int))])
+    centroids = x[:: max(1, len(x) // FAN)][:FAN].copy()
+    for _ in range(4):
+        sums = np.zeros_like(centroids)
+        np.add.at(sums, np.argmax(x @ centroids.T, axis=1), x)
+        norm = np.linalg.norm(sums, axis=1, keepdims=True)
+        centroids = np.where(norm > 1e-9, sums / np.maximum(norm, 1e-9), centroids).astype(np.float32)
+    own = np.concatenate([np.argmax(index.decode(cell, codes[a : min(end, a + 8192)]) @ centroids.T, axis=1) for a in range(start, end, 8192)])
+    sizes = np.bincount(own, minlength=len(centroids))
+    if sizes.max() > 0.9 * n:
+        return Node(start, end)
+    order = np.argsort(own, kind="stable")
+    codes[start:end], ids[start:end] = codes[start:end][order], ids[start:end][order]
+    ends = start + np.cumsum(sizes)
+    return Node(start, end, centroids, [_divide(index, cell, codes, ids, int(b - m), int(b)) for b, m in zip(ends, sizes, strict=True)])
+
+
+def _leaves(node: Node, x: np.ndarray, rows: np.ndarray, reach: float) -> Iterator[tuple[np.ndarray, int, int]]:
+    """(queries, start, end): the undivided stretches that can hold a neighbour, with the queries (rows of ``x``) they may be of."""
+    if node.children is None:
+        yield rows, node.start, node.end
+        return
+    near = x[rows] @ node.centroids.T
+    best = np.argmax(near, axis=1)
+    between = np.sqrt(np.maximum(0, ((node.centroids[:, None] - node.centroids[None]) ** 2).sum(-1)))
+    use = near[np.arange(len(rows)), best][:, None] - near <= reach * between[best] + 1e-6
+    for i, child in enumerate(node.children):
+        if child.end > child.start and use[:, i].any():
+            yield from _leaves(child, x, rows[use[:, i]], reach)
+
+
+def _scan(index: Index, keep: int | None, least: float | None, k: int, whole: bool, radius: float | None = None):
     """mapInArrow over a part: queries against the codes of the cells they probe, or of all (``whole``), reranked then.
 
-    ``keep`` codes of a part at most stay for a query; None: all that reach the score ``least``.
+    ``keep`` codes of a part at most stay for a query; None: all that reach the score ``least``. With a radius, crowded
+    cells are divided, and of their stretches those that a neighbour can be in are scanned.
     """
+    # codes are put in their stretch by what they stand for, so their error counts as well
+    reach = None if radius is None else index.reach(float(np.hypot(radius, index.error)))
     schema = pa.schema([("q", pa.int64()), ("id", pa.int64()), ("score", pa.float32()), ("distance", pa.float64())])
     width = index.books.shape[0] // 2
 
@@ -243,7 +313,7 @@ def _scan(index: Index, keep: int | None, least: float | None, k: int, whole: bo
         cell = np.frombuffer(b"".join(base.column("cells").to_pylist()), dtype=np.int32)
         load = np.frombuffer(b"".join(base.column("code").to_pylist()), dtype=np.uint8).reshape(len(cell), -1)
         ids = base.column("id").to_numpy()
-        order = np.argsort(cell, kind="stable")
+        order = np.lexsort((ids, cell))
         cell, load, ids = cell[order], load[order], ids[order]
         q_ids, raw = asks.column("id").to_numpy(), b"".join(asks.column("code").to_pylist())
         if whole:
@@ -284,6 +354,7 @@ def _scan(index: Index, keep: int | None, least: float | None, k: int, whole: bo
     def some_of(cell, codes, ids, q_ids, small, scale, lists) -> Iterator[pa.RecordBatch]:
         present, starts = np.unique(cell, return_index=True)
         ends = np.r_[starts[1:], len(cell)]
+        nodes = [Node(int(a), int(b)) if reach is None else _divide(index, int(c), codes, ids, int(a), int(b)) for c, a, b in zip(present, starts, ends, strict=True)]
         for at in range(0, len(q_ids), 1024):
             x = small[at : at + 1024] * scale[at : at + 1024, None].astype(np.float32)
             tables, own = np.rint(_tables(x, index.books) * STEP).astype(np.int16), q_ids[at : at + 1024]
@@ -292,12 +363,14 @@ def _scan(index: Index, keep: int | None, least: float | None, k: int, whole: bo
             by = np.argsort(wanted, kind="stable")
             who, wanted = who[by], wanted[by]
             found = []
-            for c, a, b in zip(present, starts, ends, strict=True):
+            for c, node in zip(present, nodes, strict=True):
                 lo, hi = np.searchsorted(wanted, (c, c + 1))
-                rows = who[lo:hi]
-                for s in range(a, b, max(1, BLOCK // max(1, len(rows)))):
-                    block = slice(s, min(b, s + max(1, BLOCK // max(1, len(rows)))))
-                    if len(rows):
+                if lo == hi:
+                    continue
+                for rows, a, b in _leaves(node, x, who[lo:hi], reach or 0.0):
+                    step = max(1, BLOCK // len(rows))
+                    for s in range(a, b, step):
+                        block = slice(s, min(b, s + step))
                         found.append(best_of(x[rows] @ index.centroids[c], rows, tables, codes[block], ids[block], own))
             if found:
                 q, i, s = (np.concatenate(f) for f in zip(*found, strict=True))
@@ -375,7 +448,7 @@ def nearest(
     least = None if radius is None else 1 - radius * radius / 2 - slack
     whole = _whole(index, probes, radius)
     keep = rerank // 2 if whole or radius is None else None  # of a part; with a radius every code within the slack
-    found = routed.repartitionById(parts, F.col("part")).mapInArrow(_scan(index, keep, least, k + 1, whole), SCANNED)
+    found = routed.repartitionById(parts, F.col("part")).mapInArrow(_scan(index, keep, least, k + 1, whole, radius), SCANNED)
     if whole:
         exact = found.select("q", "id", "distance")
     else:

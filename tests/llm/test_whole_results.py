@@ -50,3 +50,45 @@ def test_radius_queries_probe_every_cell_of_a_neighbour(dims):
     q, other = np.nonzero(2 - 2 * x @ x.T <= 0.09)
     assert probed[q, index.cells(x)[other]].mean() >= 0.9999
     assert dims != 8 or probed.sum(1).max() > 24
+
+
+@pytest.mark.parametrize("dims", [4, 8, 64])
+def test_divided_cells_keep_the_neighbours(dims, monkeypatch):
+    monkeypatch.setattr(neighbours, "MAX_CELLS", 2)
+    monkeypatch.setattr(neighbours, "SPLIT_ROWS", 200)
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((4000, dims)) @ np.linalg.qr(rng.standard_normal((64, dims)))[0].T
+    x = np.concatenate([x, x + 0.16 * np.linalg.norm(x, axis=1, keepdims=True) * rng.standard_normal(x.shape) / 8])
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    index = neighbours.fit(x, len(x))
+    cell = index.cells(x)
+    codes = index.encode(x, cell)
+    packed = np.ascontiguousarray(codes[:, ::2] | codes[:, 1::2] << 4)
+    close = 2 - 2 * x @ x.T <= 0.09
+    true = hit = asked = 0
+    for c in range(2):
+        ids = np.flatnonzero(cell == c)
+        own, queries = packed[ids].copy(), np.arange(len(x))
+        node = neighbours._divide(index, c, own, ids, 0, len(ids))
+        assert node.children and sorted(ids) == np.flatnonzero(cell == c).tolist() and (own == packed[ids]).all()
+        seen = np.zeros((len(x), len(x)), dtype=bool)
+        for rows, a, b in neighbours._leaves(node, x, queries, index.reach(float(np.hypot(0.3, index.error)))):
+            seen[np.ix_(rows, ids[a:b])] = True
+        true, hit, asked = true + close[:, ids].sum(), hit + (close & seen)[:, ids].sum(), asked + seen.sum()
+    assert hit >= 0.9999 * true
+    # vectors that are alike in all 64 dimensions form no groups that could be left out
+    assert dims == 64 or asked < 0.95 * len(x) ** 2
+
+
+def test_pairs_of_divided_cells(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "MAX_CELLS", 2)
+    monkeypatch.setattr(neighbours, "SPLIT_ROWS", 100)
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((1500, 64))
+    x = np.concatenate([x, x + 0.15 * rng.standard_normal(x.shape)])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(5000 + i, x[0].tolist()) for i in range(400)], "id long, v array<float>")
+    near = {(r.key_a, r.key_b) for r in neighbours.nearest(df, "id", "v", 10, radius=0.3).filter("key_a < 5000 AND key_b < 5000 AND key_a <> 0 AND key_b <> 0").collect()}
+    d2 = 2 - 2 * unit @ unit.T
+    true = {(i, j) for i, j in zip(*(a.tolist() for a in np.nonzero(d2 <= 0.09)), strict=True) if i != j and i and j and 1500 not in (i, j)}
+    assert {p for p in near if 1500 not in p} == true
