@@ -6,6 +6,7 @@ from quillon.functions.tokenizer import TOKENIZER, bpe_ends
 from quillon.schema import memory
 from quillon.session import discard, filesystem, materialise, spread
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -61,6 +62,27 @@ def test_links(spark):
     assert {tuple(r) for r in linking.auto_links(chunks, ent).collect()} == {("4", "e3"), ("6", "e4")}
 
 
+def test_links_meet_by_the_rarest_part_of_a_name(spark):
+    codes = [f"q{i:03d}z" for i in range(200)]
+    chunks = spark.createDataFrame([(str(i), f"어제 요약 계획 {c}에서 a_orphaned_{i}.mdx") for i, c in enumerate(codes)], "chunk_id string, text string")
+    ent = spark.createDataFrame([(f"e{i}", f"요약 계획 {c}", [f"see orphaned_{i}.md"]) for i, c in enumerate(codes)], "id string, name string, observations array<string>")
+    words = linking._named(ent, 1, 1).unionByName(linking._aliased(ent))
+    assert linking.meetings(chunks.select("chunk_id", "text"), words).count() < 4 * len(codes)  # the first two characters are those of all names
+    links = {tuple(r) for r in linking.auto_links(chunks, ent).collect()}
+    assert links == {(str(i), f"e{i}") for i in range(200)}
+
+
+def test_names_in_odd_places_are_linked(spark):
+    names = ["결제", "제", "결제 ab", "ab 결제", "x결", "abcdefghij결", "결abcdefghij", "가 나", "c++", "a_b", "結果-v2-最終"]
+    texts = ["zab 결제", "결제 abc", "우리결제", "제", "xx결x", "0abcdefghij결1", "결abcdefghijk", "가 나", "c++x", "A_B!", "a_b_c", "前結果-v2-最終後", "결 제", "", "다가 나"]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "chunk_id int, text string").withColumn("chunk_id", F.col("chunk_id").cast("string"))
+    ent = spark.createDataFrame([(n, n) for n in names], "id string, name string")
+    edge = r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
+    cjk = re.compile(T.CJK)
+    want = {(str(i), n) for i, t in enumerate(texts) for n in names if (n in t.lower() if cjk.search(n) else re.search(edge + re.escape(n) + edge, t.lower()))}
+    assert {tuple(r) for r in linking.name_links(chunks, ent).collect()} == want
+
+
 FTS = [("d_chunk_0", "foo bar baz"), ("d_chunk_1", "foo foo qux"), ("e_chunk_0", "Ünïcode wörd, v1.2"), ("e_chunk_1", "KMF는 한글"), ("x1", "bar foo")]
 
 
