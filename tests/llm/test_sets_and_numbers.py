@@ -254,3 +254,10 @@ def test_names_of_one_entity(spark, small):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, same))
     assert variants.link_names(df.limit(0)).count() == 0
     assert variants.pairs(linked).count() == sum(len(g) * (len(g) - 1) // 2 for g in same)
+
+
+def test_long_lists_of_mostly_rare_items_count(spark):
+    rows = [(i, ["a", "b", *(f"r{i}_{j}" for j in range(20))]) for i in range(3)]
+    df = spark.createDataFrame(rows, "k long, items array<string>")
+    got = together.pairs_together(df, "k", "items", min_count=2, list_items=8).collect()
+    assert [(r.name_a, r.name_b, r.n_ab, r.n) for r in got] == [("a", "b", 3, 3)]  # fewer items are frequent enough than a list is long
