@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillon.operators import paths
 from quillon.operators.components import components
 from quillon.operators.graph import bfs
 from quillon.schema import Memory, first_by
@@ -67,6 +68,8 @@ def _directed(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("lo").alias("source_entity"), F.col("hi").alias("target_entity"), F.lit("").alias("relation_type"))
 
 
+#: Edges of a graph that tasks hold as a whole (16 bytes each); a larger one is searched by joins.
+HELD = 4_000_000
 #: Most rows (source, node) that one batch of sources may reach; larger sets of sources are searched batch by batch.
 REACHED = 200_000_000
 
@@ -78,9 +81,12 @@ def _batches(edges: DataFrame, sources: DataFrame, most: int) -> list[DataFrame]
     return [sources.filter(F.pmod(F.xxhash64("id"), F.lit(parts)) == p) for p in range(parts)] if parts > 1 else [sources]
 
 
-def closeness(edges: DataFrame, sources: DataFrame, most: int = REACHED) -> DataFrame:
+def closeness(edges: DataFrame, sources: DataFrame, most: int = REACHED, held: int = HELD) -> DataFrame:
     """(id, score) of the sources (id): reached nodes over the sum of their distances; 0 if nothing is reached."""
-    out = None
+    out, edges = None, materialise(edges.select("lo", "hi"), "edges")
+    if edges.count() <= held:
+        per = paths.reach(edges, sources)
+        return materialise(per.select("id", F.when(F.col("s") > 0, F.col("n") / F.col("s")).otherwise(0.0).alias("score")), "closeness")
     for batch in _batches(edges, sources, most):
         found = bfs(_directed(edges), batch, None)
         per = found.groupBy(F.col("seed").alias("id")).agg((F.count("*") - 1).alias("n"), F.sum("depth").alias("s"))
@@ -89,16 +95,20 @@ def closeness(edges: DataFrame, sources: DataFrame, most: int = REACHED) -> Data
     return out
 
 
-def betweenness(m: Memory, edges: DataFrame, sources: DataFrame, most: int = REACHED) -> DataFrame:
+def betweenness(m: Memory, edges: DataFrame, sources: DataFrame, most: int = REACHED, held: int = HELD) -> DataFrame:
     """(id, score): shortest paths from the sources (id) that run through a node, normalised as for all sources.
 
     With all entities as sources this is exact; with some it estimates by their share of all. Path counts come
-    from a breadth-first search of a batch of sources at once; the shares then flow back level by level.
+    from a breadth-first search of a batch of sources at once; the shares then flow back level by level. Tasks hold
+    a graph of up to ``held`` edges as a whole; the results are the same.
     """
-    per = None
-    for batch in _batches(edges, sources, most):
-        part = _flows(edges, batch)
-        per = part if per is None else per.unionByName(part)
+    per, edges = None, materialise(edges.select("lo", "hi"), "edges")
+    if edges.count() <= held:
+        per = materialise(paths.through(edges, sources), "flows")
+    else:
+        for batch in _batches(edges, sources, most):
+            part = _flows(edges, batch)
+            per = part if per is None else per.unionByName(part)
     n, k = m.entities.count(), sources.select("id").distinct().count()
     scale = n / max(1, k) / max(1, (n - 1) * (n - 2))
     per = per.groupBy("id").agg(F.sum("s").alias("s"))

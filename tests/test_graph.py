@@ -1,4 +1,5 @@
 import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -95,6 +96,18 @@ def test_centralities_against_brute_force(memory):
     assert sum(ranks) == pytest.approx(1)
 
 
+def test_a_graph_held_by_tasks_gives_the_same_centralities(spark):
+    rng = random.Random(5)
+    pairs = {tuple(sorted(rng.sample(range(30), 2))) for _ in range(70)} | {(50, 51), (51, 52), (53, 54)}
+    edges = spark.createDataFrame([(f"n{a}", f"n{b}") for a, b in pairs], "lo string, hi string")
+    everyone = spark.range(60).select(F.concat(F.lit("n"), "id").alias("id"))
+    m = Memory(everyone, None, None, None)
+    for f in (lambda h: analytics.closeness(edges, everyone, held=h), lambda h: analytics.betweenness(m, edges, everyone, held=h)):
+        held, joined = ({r.id: r.score for r in f(h).collect()} for h in (1000, 0))
+        assert len(held) == 60 and max(held.values()) > 0
+        assert held == pytest.approx(joined, abs=1e-12)
+
+
 def test_structure_and_modularity(memory):
     edges = analytics.simple_edges(memory)
     found = {r.measure: r.value for r in analytics.structure(memory, edges).collect()}
