@@ -9,7 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillon.session import materialise
+
 K1, B, FLOOR = 1.2, 0.75, 1e-6
+#: Tables of the terms asked for up to this many rows are broadcast, larger ones joined by a shuffle.
+SMALL_ROWS = 1_000_000
 
 
 @lru_cache(maxsize=1)
@@ -48,25 +52,27 @@ def phrases(queries: DataFrame, query: str, text: str) -> DataFrame:
     return parts.select(query, "phrase", F.size("terms").alias("size"), F.posexplode("terms").alias("k", "term"))
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, query: str, text: str, limit: int = 15, with_id: bool = True) -> DataFrame:
+def bm25(chunks: DataFrame, queries: DataFrame, query: str, text: str, limit: int = 15, with_id: bool = True, small: int = SMALL_ROWS) -> DataFrame:
     """(query, chunk_id, score, rank) of the ``limit`` chunks with the lowest (best) score of each query.
 
     Every occurrence of a term in the query counts; a phrase has a document frequency of its own; a term in more
-    than half of the chunks weighs 1e-6. Ties go to the smaller chunk id.
+    than half of the chunks weighs 1e-6. Ties go to the smaller chunk id. Terms asked for in at most ``small`` rows are
+    broadcast, so that only the texts themselves are shuffled, and each task passes on its own best of each query.
     """
     posts, lengths = postings(chunks, with_id)
     stats = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    asked = phrases(queries, query, text)
+    asked = materialise(phrases(queries, query, text), "asked")
+    sent = F.broadcast if asked.count() <= small else lambda df: df
     marks = asked.groupBy(query, "phrase").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "term"))), lambda x: x["term"]), " ").alias("words"), F.first("size").alias("size"))
     wanted = marks.groupBy(query, "words", "size").agg(F.count("*").alias("times"))
     parts = wanted.select("words", "size").distinct().select("words", "size", F.posexplode(F.split("words", " ")).alias("k", "term"))
-    hits = posts.join(parts, "term").groupBy("words", "size", "chunk_id", "field", (F.col("pos") - F.col("k")).alias("start")).agg(F.count("*").alias("met")).filter("met = size")
+    hits = posts.join(sent(parts), "term").groupBy("words", "size", "chunk_id", "field", (F.col("pos") - F.col("k")).alias("start")).agg(F.count("*").alias("met")).filter("met = size")
     freq = hits.groupBy("words", "chunk_id").agg(F.count("*").alias("f"))
     df = freq.groupBy("words").agg(F.count("*").alias("df"))
     weighed = df.crossJoin(F.broadcast(stats)).withColumn("idf", F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))  # one row of totals
     weighed = weighed.select("words", "mean", F.when(F.col("idf") <= 0, FLOOR).otherwise(F.col("idf")).alias("idf"))
-    scored = freq.join(weighed, "words").join(lengths, "chunk_id")
+    scored = freq.join(sent(weighed), "words").join(lengths, "chunk_id")
     part = -F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    total = scored.select("words", "chunk_id", part.alias("part")).join(wanted, "words").groupBy(query, "chunk_id").agg(F.sum(F.col("part") * F.col("times")).alias("score"))
+    total = scored.select("words", "chunk_id", part.alias("part")).join(sent(wanted), "words").groupBy(query, "chunk_id").agg(F.sum(F.col("part") * F.col("times")).alias("score"))
     best = Window.partitionBy(query).orderBy(F.round("score", 9), "chunk_id")
     return total.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= limit)

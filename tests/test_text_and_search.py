@@ -62,6 +62,15 @@ def test_links(spark):
     assert {tuple(r) for r in linking.auto_links(chunks, ent).collect()} == {("4", "e3"), ("6", "e4")}
 
 
+def test_bm25_shuffles_no_postings(spark):
+    chunks = spark.createDataFrame([(f"c{i}", f"alpha beta w{i % 3} gamma") for i in range(30)], "chunk_id string, text string").repartition(4, "chunk_id")
+    asks = spark.createDataFrame([(1, "w1 alpha"), (2, "beta-gamma w2"), (3, "none")], "q long, t string")
+    sent, joined = (fulltext.bm25(chunks, asks, "q", "t", 5, small=n) for n in (1000, 0))
+    assert sorted(map(tuple, sent.collect())) == sorted(map(tuple, joined.collect()))
+    plan = sent._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\((term|words#\d+, size#\d+, chunk_id)", plan)
+
+
 def test_links_meet_by_the_rarest_part_of_a_name(spark):
     codes = [f"q{i:03d}z" for i in range(200)]
     chunks = spark.createDataFrame([(str(i), f"어제 요약 계획 {c}에서 a_orphaned_{i}.mdx") for i, c in enumerate(codes)], "chunk_id string, text string")
