@@ -27,8 +27,10 @@ CELL_ROWS, MAX_CELLS = 256, 4096
 SPLIT_ROWS, FAN = 2048, 64
 #: Vectors of an index part (a shuffle partition of the scan).
 PART_ROWS = 12288
-#: Scores held at once in a scan.
-BLOCK = 1 << 21
+#: Scores held at once in a scan, and rows encoded at once.
+BLOCK, SLICE = 1 << 21, 4096
+#: Queries of a part that are held against its cells at once.
+ASKS = 8192
 
 
 @dataclass
@@ -64,20 +66,21 @@ class Index:
 
 def _encode(x: np.ndarray, target: np.ndarray, books: np.ndarray, weight: float, sweeps: int) -> np.ndarray:
     """Codes (rows x subspaces) by coordinate descent on |r|^2 + (weight - 1) <r, x>^2."""
+    if len(x) > SLICE:
+        return np.concatenate([_encode(x[a : a + SLICE], target[a : a + SLICE], books, weight, sweeps) for a in range(0, len(x), SLICE)])
     n, subs = len(x), len(books)
-    xs, ts = x.reshape(n, subs, 2), target.reshape(n, subs, 2)
-    codes = np.empty((n, subs), dtype=np.uint8)
-    for s in range(subs):
-        codes[:, s] = np.argmin(((ts[:, s, None, :] - books[s]) ** 2).sum(-1), axis=1)
-    chosen = books[np.arange(subs), codes]
-    parallel = ((ts - chosen) * xs).sum((1, 2))
+    xs, ts, words = x.reshape(n, subs, 2), target.reshape(n, subs, 2), books.transpose(0, 2, 1)
+    # products with all codewords, once for all sweeps (subspaces x rows x 16); |target|^2 is the same for each
+    along = xs.transpose(1, 0, 2) @ words
+    apart = (books**2).sum(-1)[:, None, :] - 2 * (ts.transpose(1, 0, 2) @ words)
+    codes = np.argmin(apart, axis=2).T.astype(np.uint8)
+    row = np.arange(n)
+    parallel = (ts * xs).sum((1, 2)) - along[np.arange(subs), row[:, None], codes].sum(1)
     for _ in range(sweeps):
         for s in range(subs):
-            away = parallel + (chosen[:, s] * xs[:, s]).sum(-1)
-            loss = ((ts[:, s, None, :] - books[s]) ** 2).sum(-1) + (weight - 1) * (away[:, None] - xs[:, s] @ books[s].T) ** 2
-            codes[:, s] = np.argmin(loss, axis=1)
-            chosen[:, s] = books[s][codes[:, s]]
-            parallel = away - (chosen[:, s] * xs[:, s]).sum(-1)
+            away = parallel + along[s, row, codes[:, s]]
+            codes[:, s] = np.argmin(apart[s] + (weight - 1) * (away[:, None] - along[s]) ** 2, axis=1)
+            parallel = away - along[s, row, codes[:, s]]
     return codes
 
 
@@ -355,10 +358,9 @@ def _scan(index: Index, keep: int | None, least: float | None, k: int, whole: bo
         present, starts = np.unique(cell, return_index=True)
         ends = np.r_[starts[1:], len(cell)]
         nodes = [Node(int(a), int(b)) if reach is None else _divide(index, int(c), codes, ids, int(a), int(b)) for c, a, b in zip(present, starts, ends, strict=True)]
-        for at in range(0, len(q_ids), 1024):
-            x = small[at : at + 1024] * scale[at : at + 1024, None].astype(np.float32)
-            tables, own = np.rint(_tables(x, index.books) * STEP).astype(np.int16), q_ids[at : at + 1024]
-            probed = [np.frombuffer(c, dtype=np.int32) for c in lists[at : at + 1024]]
+        for at in range(0, len(q_ids), ASKS):
+            x, own = small[at : at + ASKS] * scale[at : at + ASKS, None].astype(np.float32), q_ids[at : at + ASKS]
+            probed = [np.frombuffer(c, dtype=np.int32) for c in lists[at : at + ASKS]]
             who, wanted = np.repeat(np.arange(len(x)), [len(p) for p in probed]), np.concatenate(probed)
             by = np.argsort(wanted, kind="stable")
             who, wanted = who[by], wanted[by]
@@ -371,7 +373,7 @@ def _scan(index: Index, keep: int | None, least: float | None, k: int, whole: bo
                     step = max(1, BLOCK // len(rows))
                     for s in range(a, b, step):
                         block = slice(s, min(b, s + step))
-                        found.append(best_of(x[rows] @ index.centroids[c], rows, tables, codes[block], ids[block], own))
+                        found.append(best_of(x[rows] @ index.decode(int(c), codes[block]).T, rows, ids[block], own))
             if found:
                 q, i, s = (np.concatenate(f) for f in zip(*found, strict=True))
                 o = np.lexsort((i, -s, q))
@@ -379,12 +381,10 @@ def _scan(index: Index, keep: int | None, least: float | None, k: int, whole: bo
                 use = np.arange(len(q)) - np.searchsorted(q, q) < keep if keep is not None else np.ones(len(q), bool)
                 yield pa.RecordBatch.from_arrays([pa.array(q[use]), pa.array(i[use]), pa.array(s[use], pa.float32()), pa.nulls(int(use.sum()), pa.float64())], schema=schema)
 
-    def best_of(base, rows, tables, codes, ids, own) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        score = np.repeat(np.rint(base * STEP).astype(np.int16)[:, None], len(ids), axis=1)
-        for byte in range(codes.shape[1]):
-            score += np.take(tables[byte, rows], codes[:, byte], axis=1)
+    def best_of(score, rows, ids, own) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        # a cell's queries are about as many as its codes: fewer products with decoded codes than entries of tables
         if least is not None:
-            r, m = np.nonzero(score >= least * STEP)
+            r, m = np.nonzero(score >= least)
         elif len(ids) > keep:
             m = np.argpartition(-score, keep - 1, axis=1)[:, :keep].ravel()
             r = np.repeat(np.arange(len(rows)), keep)
@@ -392,7 +392,7 @@ def _scan(index: Index, keep: int | None, least: float | None, k: int, whole: bo
             r, m = np.repeat(np.arange(len(rows)), len(ids)), np.tile(np.arange(len(ids)), len(rows))
         other = own[rows[r]] != ids[m]
         r, m = r[other], m[other]
-        return own[rows[r]], ids[m], score[r, m] / np.float32(STEP)
+        return own[rows[r]], ids[m], score[r, m]
 
     return scan
 

@@ -92,3 +92,22 @@ def test_pairs_of_divided_cells(spark, monkeypatch):
     d2 = 2 - 2 * unit @ unit.T
     true = {(i, j) for i, j in zip(*(a.tolist() for a in np.nonzero(d2 <= 0.09)), strict=True) if i != j and i and j and 1500 not in (i, j)}
     assert {p for p in near if 1500 not in p} == true
+
+
+def test_scores_of_a_scan_are_those_of_the_codes():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[300:] = x[:300] + 0.02 * rng.normal(size=(300, 64)).astype(np.float32)
+    index = neighbours.fit(x, len(x))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(x))), pa.array(list(x)), pa.array([True] * len(x))], names=["id", "vector", "ask"])
+    routed = list(neighbours._route(index, None, 0.3)(iter([batch])))
+    small, stands = {}, {}
+    for b in routed:
+        for query, i, cells, scale, code in zip(*(b.column(c).to_pylist() for c in ("query", "id", "cells", "scale", "code")), strict=True):
+            if query:
+                small[i] = np.frombuffer(code, np.int8) * np.float32(scale)
+            else:
+                stands[i] = index.decode(int(np.frombuffer(cells, np.int32)[0]), np.frombuffer(code, np.uint8)[None])[0]
+    got = [row for b in neighbours._scan(index, None, 0.7, 11, False, 0.3)(iter(routed)) for row in zip(*(b.column(c).to_pylist() for c in ("q", "id", "score")), strict=True)]
+    assert len(got) > 300 and max(abs(s - float(small[q] @ stands[i])) for q, i, s in got) < 1e-5
