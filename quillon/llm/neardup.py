@@ -17,6 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,15 +25,19 @@ from quillon.operators.components import components
 from quillon.operators.skew import HOT, look_up
 from quillon.session import discard, materialise, spread
 
-#: Cells of each of the two rows of a sketch of frequencies, a byte each: what is broadcast for it, at any size of the data.
-SKETCH = 1 << 22
+#: Cells of each of the two rows of a sketch of frequencies, a byte each: what is broadcast for it. It has up to GROWN times as
+#: many where there are more tokens to tell apart, at any size of the data no more.
+SKETCH, GROWN = 1 << 22, 8
+#: Bits of a table of keys, which is broadcast: 8 MB at any size of the data. Cells of a table that one task fills.
+KEY_BITS, FILLED = 1 << 26, 1 << 18
 #: Records of a bucket of tokens, and candidates formed at once in a task.
 BUCKET_RECORDS, BLOCK = 8192, 1 << 21
 #: Tokens in more records than this have them dealt to blocks, in more than PAIRED times as many are paired with tokens of
 #: the second order first. A list has at most MOST_BLOCKS blocks, which only makes the blocks of a longer one larger.
-HOT_RECORDS, PAIRED, MOST_BLOCKS = 4096, 32, 64
-#: Tables of keys up to this many rows (16 bytes each) are broadcast, larger ones joined by a shuffle.
-SMALL_ROWS = 1_000_000
+HOT_RECORDS, PAIRED, MOST_BLOCKS = 32768, 32, 64
+#: Tables of keys up to this many rows (16 bytes each) are broadcast. Instead of larger ones a table of bits is, with at most
+#: EXCEPT times as many keys (8 bytes each) that it holds wrongly.
+SMALL_ROWS, EXCEPT = 1_000_000, 8
 EPS = 1e-9
 
 
@@ -141,18 +146,65 @@ def grade(n: int) -> int:
     return math.ceil(4 * math.log2(n)) if n > 1 else 0
 
 
+def _filled(each: DataFrame, size: int, dtype: type, most: bool) -> np.ndarray:
+    """A table of ``size`` entries out of rows (cell long, g int): the largest g of each cell, or the g united as bits.
+
+    Stretches of the table are filled by tasks, so that the driver receives the table and nothing else.
+    """
+
+    def fill(t: pa.Table) -> pa.Table:
+        part, cell, g = (t.column(c).to_numpy() for c in ("part", "cell", "g"))
+        out = np.zeros(FILLED, dtype=dtype)
+        (np.maximum if most else np.bitwise_or).at(out, cell & (FILLED - 1), g.astype(dtype))
+        return pa.table({"part": pa.array(part[:1], pa.int32()), "load": pa.array([out.tobytes()], pa.binary())})
+
+    parts = each.withColumn("part", F.shiftright("cell", FILLED.bit_length() - 1).cast("int"))
+    found = parts.groupBy("part").applyInArrow(fill, "part int, load binary").toArrow()
+    out = np.zeros(max(size, FILLED), dtype=dtype)
+    for part, load in zip(found.column("part").to_pylist(), found.column("load").to_pylist(), strict=True):
+        out[part * FILLED : (part + 1) * FILLED] = np.frombuffer(load, dtype=dtype)
+    return out[:size]
+
+
 def sketch_of(frequency: DataFrame, cells: int) -> np.ndarray:
     """Grades of frequencies (token, n) in a table of two rows of ``cells``: a cell holds the largest grade of its tokens.
 
-    The table has the same size whatever there is to count; the driver receives at most its 2 x ``cells`` entries.
+    The table has the same size whatever there is to count.
     """
     bits = cells.bit_length() - 1
     low, high = F.col("token").bitwiseAND(cells - 1), F.shiftrightunsigned("token", bits).bitwiseAND(cells - 1) + cells
-    each = frequency.filter("n > 1").select(F.explode(F.array(low.cast("int"), high.cast("int"))).alias("cell"), F.ceil(4 * F.log2("n")).cast("int").alias("g"))
-    found = each.groupBy("cell").agg(F.max("g").alias("g")).toArrow()
-    out = np.zeros(2 * cells, dtype=np.uint8)
-    out[found.column("cell").to_numpy()] = found.column("g").to_numpy()
-    return out
+    each = frequency.filter("n > 1").select(F.explode(F.array(low, high)).alias("cell"), F.ceil(4 * F.log2("n")).cast("int").alias("g"))
+    return _filled(each, 2 * cells, np.uint8, True)
+
+
+def _bits_of(kind: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of each key in a table of keys."""
+    h = _mix(key.astype(np.int64).view(np.uint64) ^ _mix(kind.astype(np.uint64) + np.uint64(1)))
+    return (h & np.uint64(KEY_BITS - 1)).astype(np.int64), (h >> np.uint64(26) & np.uint64(KEY_BITS - 1)).astype(np.int64)
+
+
+def key_table(keys: DataFrame) -> np.ndarray:
+    """Bits of all keys (kind, key), eight a byte."""
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bit in _bits_of(*(batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))):
+                yield pa.RecordBatch.from_arrays([pa.array(bit >> 3), pa.array((1 << (bit & 7)).astype(np.int32))], names=["cell", "g"])
+
+    return _filled(keys.select("kind", "key").mapInArrow(cells, "cell long, g int"), KEY_BITS // 8, np.uint8, False)
+
+
+def held(table: np.ndarray, kind: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Whether each key is in a table of keys; of others some are held to be in it, too."""
+    both = [table[b >> 3] >> (b & 7).astype(np.uint8) & 1 for b in _bits_of(kind, key)]
+    return (both[0] & both[1]).astype(bool)
+
+
+def _chosen(batches: Iterator[pa.RecordBatch], choose) -> Iterator[pa.RecordBatch]:
+    """Rows (kind, key, ...) that ``choose`` (kind, key) says are to stay."""
+    for batch in batches:
+        if batch.num_rows:
+            yield batch.filter(pa.array(choose(*(batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1)))))
 
 
 def grades(sketch: np.ndarray, tokens: np.ndarray) -> np.ndarray:
@@ -188,7 +240,7 @@ def levels(n: np.ndarray) -> np.ndarray:
 def lists_of(key: np.ndarray, n: np.ndarray, tokens: np.ndarray, sketch: np.ndarray, t: float, least: int, hot: int, paired: int) -> tuple:
     """(record, list, place in the first order) of the lists that the records of a slice stand in.
 
-    A record stands in the list of each prefix token of the first order. For a token in more than ``paired`` x ``hot``
+    A record stands in the list of each prefix token of the first order that another record has, too. For a token in more than ``paired`` x ``hot``
     records these are the lists of the token with each prefix token of the second order, as similar records share
     both. A list of more than ``hot`` records, by the smaller frequency, is replaced by its blocks, two by two: the
     record's own block with every other, so that each two records meet.
@@ -201,13 +253,13 @@ def lists_of(key: np.ndarray, n: np.ndarray, tokens: np.ndarray, sketch: np.ndar
     order = np.argsort(record.astype(np.uint64) << np.uint64(52) | often.astype(np.uint64) << np.uint64(44) | tokens.view(np.uint64) >> np.uint64(8), kind="stable")
     at = np.arange(len(tokens))
     length = np.where(n >= max(least, 1), prefix(n, t), 0)
-    first = order[at - starts[record] < length[record]]
+    first = order[(at - starts[record] < length[record]) & (often[order] > 0)]  # who is alone with a token meets nobody by it
     place = np.empty(len(tokens), np.int64)
     place[order] = at - starts[record]
     who, token, pos, size = record[first], tokens[first], place[first], often[first]
     crowded = size > grade(paired * hot)
     if crowded.any():
-        other = np.flatnonzero(second < length[record])
+        other = np.flatnonzero((second < length[record]) & (often > 0))
         begin, end = np.searchsorted(record[other], who[crowded]), np.searchsorted(record[other], who[crowded], side="right")
         times = end - begin
         pick = other[np.repeat(begin, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
@@ -315,15 +367,17 @@ def meet(t: float):
         keep = np.flatnonzero(times > 0)
         ends = np.cumsum(times[keep])
         found, done = [], 0
+        small, rest = size.astype(np.int32), (size - at).astype(np.int32)
+        needed = np.ceil(t / (1 + t) * np.arange(2 * int(n.max()) + 1) - EPS).astype(np.int32)  # overlap, by the sum of both sizes
         while done < len(keep):
             stop = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + BLOCK)))
             x = np.repeat(keep[done:stop], times[keep[done:stop]])
             y = x + 1 + np.arange(len(x)) - np.repeat(ends[done:stop] - times[keep[done:stop]] - (ends[done - 1] if done else 0), times[keep[done:stop]])
             done = stop
-            need = np.ceil(t / (1 + t) * (size[x] + size[y]) - EPS)
-            fine = np.minimum(size[x] - at[x], size[y] - at[y]) >= need
-            x, y = record[x[fine]], record[y[fine]]
-            most = n[x] + n[y] - 2 * need[fine]
+            need = needed[small[x] + small[y]]
+            fine = np.flatnonzero(np.minimum(rest[x], rest[y]) >= need)
+            x, y, need = record[x[fine]], record[y[fine]], need[fine].astype(np.int64)
+            most = n[x] + n[y] - 2 * need
             other = x != y
             x, y, most = x[other], y[other], most[other]
             common = np.minimum(level[x], level[y])
@@ -340,6 +394,7 @@ def meet(t: float):
         if found:
             pair = np.unique(np.concatenate(found))
             p, q = pair // len(n), pair % len(n)
+            p, q = p[key[p] != key[q]], q[key[p] != key[q]]  # a record that came twice is no pair
             yield pa.RecordBatch.from_arrays(
                 [pa.array(kind[p].astype(np.int8)), pa.array(np.minimum(key[p], key[q])), pa.array(np.maximum(key[p], key[q]))], schema=schema
             )
@@ -347,6 +402,36 @@ def meet(t: float):
     return run
 
 
+def _leaders(base: DataFrame, members: DataFrame, small: int) -> tuple[DataFrame, Broadcast | None]:
+    """``base`` (kind, key, text) without the copies among ``members`` (kind, key, rep), and what was broadcast for it.
+
+    Beyond ``small`` copies those are known by a table of bits; the representatives that it takes for copies are sent as keys.
+    """
+    copies = members.filter("key <> rep").select("kind", "key")
+    if copies.count() <= small:
+        return base.join(F.broadcast(copies), ["kind", "key"], "left_anti"), None
+    table = base.sparkSession.sparkContext.broadcast(key_table(copies))
+    taken = members.filter("key = rep").select("kind", "key").mapInArrow(lambda batches: _chosen(batches, lambda kind, key: held(table.value, kind, key)), "kind tinyint, key long")
+    taken = materialise(taken, "taken")
+    if taken.count() > EXCEPT * max(small, 1):
+        return base.join(copies, ["kind", "key"], "left_anti"), table
+    found = taken.toArrow()
+    discard(taken)
+    kinds, keys = (found.column(c).to_numpy() for c in ("kind", "key"))
+    spared = {int(k): np.unique(keys[kinds == k]) for k in np.unique(kinds)}
+    shared = base.sparkSession.sparkContext.broadcast((table.value, spared))
+    table.destroy()
+
+    def leads(kind: np.ndarray, key: np.ndarray) -> np.ndarray:
+        bits, spared = shared.value
+        stay = ~held(bits, kind, key)
+        for k, own in spared.items():
+            stay |= (kind == k) & (own[np.minimum(np.searchsorted(own, key), len(own) - 1)] == key)
+        return stay
+
+    return base.mapInArrow(lambda batches: _chosen(batches, leads), base.schema), shared
+
+
 def near_duplicates(
     records: DataFrame, threshold: float = 0.8, width: int = 5, least: int = 1, hot: int = HOT_RECORDS, cells: int = SKETCH, small: int = SMALL_ROWS, paired: int = PAIRED
 ) -> tuple[DataFrame, DataFrame]:
@@ -356,10 +441,10 @@ def near_duplicates(
     ``width`` words have a Jaccard similarity of at least ``threshold``, and ``members`` (kind, key, rep): the class,
     the records of equal words, of every record with at least ``least`` runs. Records of different kinds never meet.
 
-    The first order is by grades of frequency out of a sketch of 2 x ``cells`` bytes, which has that size for any number
-    of tokens; tokens of a grade are ordered by hash. Tokens in more than ``hot`` records (by the sketch, which never
+    The first order is by grades of frequency out of a sketch of 2 x ``cells`` bytes, or up to GROWN times as many, whatever
+    the number of tokens; tokens of a grade are ordered by hash. Tokens in more than ``hot`` records (by the sketch, which never
     says too few) are split by tokens of the second order and by blocks; no link is lost. Tables of at most ``small``
-    keys are broadcast.
+    keys are broadcast, larger ones as a table of bits, so that texts aren't shuffled for them.
 
     Null texts are left out; records without a key, without texts or with fewer than ``least`` runs are in no pair
     and no class; repeated rows of a key count once; an empty table gives two empty results.
@@ -375,12 +460,15 @@ def near_duplicates(
     many = prints.count()
     members = look_up(prints, lead, ["kind", "h", "g"], "key", "size", max(HOT, many // 1000))
     members = materialise(members.select("kind", "key", "rep"), "members")
-    frequency = seen.filter("token IS NOT NULL").groupBy("token").agg(F.sum("n").alias("n"))
-    sketch = sketch_of(frequency, cells)
+    often = materialise(seen.filter("token IS NOT NULL").groupBy("token").agg(F.sum("n").alias("n")).filter("n > 1"), "often")
     discard(seen)
+    tokens, most = often.count(), GROWN * cells
+    while cells < most and tokens > cells // 4:
+        cells *= 2
+    sketch = sketch_of(often, cells)
+    discard(often)
     shared = spark.sparkContext.broadcast(sketch)
-    copies = members.filter("key <> rep").select("kind", "key")
-    leaders = base.join(F.broadcast(copies) if copies.count() <= small else copies, ["kind", "key"], "left_anti")
+    leaders, used = _leaders(base, members, small)
     buckets = max(12, many // BUCKET_RECORDS)
 
     def emit(batches):
@@ -390,8 +478,15 @@ def near_duplicates(
     met = routed.repartitionById(buckets, F.col("bucket")).mapInArrow(meet(threshold), "kind tinyint, a long, b long").distinct()
     met = materialise(met, "met")
     shared.destroy()
-    ids = met.select("kind", F.explode(F.array("a", "b")).alias("key")).distinct()
-    sets = base.join(F.broadcast(ids) if met.count() <= small // 2 else ids, ["kind", "key"], "left_semi").mapInArrow(sets_of(width), "kind tinyint, key long, tokens array<long>")
+    if used is not None:
+        used.destroy()
+    ids = met.select("kind", F.explode(F.array("a", "b")).alias("key"))
+    if met.count() <= small // 2:
+        asked = base.join(F.broadcast(ids.distinct()), ["kind", "key"], "left_semi")
+    else:  # some records that are in no pair come along; they meet none below
+        wanted = spark.sparkContext.broadcast(key_table(ids))
+        asked = base.mapInArrow(lambda batches: _chosen(batches, lambda kind, key: held(wanted.value, kind, key)), base.schema)
+    sets = asked.mapInArrow(sets_of(width), "kind tinyint, key long, tokens array<long>").filter(F.size("tokens") >= max(least, 1))
     sets = materialise(sets.dropDuplicates(["kind", "key"]), "sets")
 
     def cut(down: bool) -> Column:
@@ -415,13 +510,15 @@ def near_duplicates(
 
 
 def expand(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """All pairs of keys (kind, a, b) behind pairs of representatives, and within classes."""
-    left = members.select("kind", F.col("rep").alias("ra"), F.col("key").alias("x"))
-    right = members.select("kind", F.col("rep").alias("rb"), F.col("key").alias("y"))
-    links = pairs.select("kind", F.col("a").alias("ra"), F.col("b").alias("rb"))
-    crowds = members.groupBy("kind", "rep").count().filter("count > 1").select("kind", F.col("rep").alias("ra"), F.col("rep").alias("rb"))
-    met = links.unionByName(crowds).join(left, ["kind", "ra"]).join(right, ["kind", "rb"]).filter("x <> y")
-    return met.select("kind", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    """All pairs of keys (kind, a, b) behind pairs of representatives, and within classes; what they make isn't shuffled."""
+    classes = members.groupBy("kind", "rep").agg(F.collect_list("key").alias("keys"))
+    left, right = (classes.select("kind", F.col("rep").alias(r), F.col("keys").alias(k)) for r, k in (("a", "xs"), ("b", "ys")))
+    links = pairs.select("kind", "a", "b").join(left, ["kind", "a"]).join(right, ["kind", "b"]).select("kind", "xs", "ys", F.lit(False).alias("own"))
+    crowds = classes.filter(F.size("keys") > 1).select("kind", F.col("keys").alias("xs"), F.col("keys").alias("ys"), F.lit(True).alias("own"))
+    met = links.unionByName(crowds).select("kind", "own", F.explode("xs").alias("x"), "ys").select("kind", "own", "x", F.explode("ys").alias("y"))
+    found = met.filter("x < y OR (x > y AND NOT own)").select("kind", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    # a key is in two classes only if it came again with other words
+    return found.distinct() if members.groupBy("kind", "key").count().filter("count > 1").head(1) else found
 
 
 def groups(pairs: DataFrame, members: DataFrame) -> DataFrame:

@@ -64,6 +64,30 @@ def test_tokens_follow_the_words():
     assert not set(other[:4]) & set(other[4:])
 
 
+def test_tokens_of_one_record_make_no_lists():
+    n, tokens = np.array([40, 40]), np.sort(np.random.default_rng(1).integers(0, 1 << 52, 80).reshape(2, 40), axis=1).ravel()
+    sketch = np.zeros(2 << 16, np.uint8)
+    shared = tokens[[1, 50]]
+    sketch[shared & 0xFFFF], sketch[(shared >> 16 & 0xFFFF) + (1 << 16)] = 4, 4
+    _, lists, _ = neardup.lists_of(np.arange(2), n, tokens, sketch, 0.02, 1, 100, 32)
+    assert set(lists.tolist()) == set(shared.tolist())
+
+
+def test_repeated_records_are_no_pair_and_large_tables_of_keys_shuffle_no_text(spark):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(500)], k=60)) for _ in range(30)]
+    rows = [(0, 100 * c + i, [t if c < 3 else t.replace("w1", "v1", 1)]) for c in range(4) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows + rows[:10], "kind int, key long, texts array<string>")
+    for small in (10**6, 0):
+        pairs, members = neardup.near_duplicates(df, 0.6, 3, 20, small=small)
+        assert pairs.filter("a >= b").count() == 0 and pairs.count() > 5
+        base = df.select(df["kind"].cast("tinyint").alias("kind"), "key", df["texts"][0].alias("text"))
+        leaders, _ = neardup._leaders(base, members, small)
+        assert leaders.count() == members.filter("key = rep").count() + 10
+        assert "hashpartitioning(kind" not in leaders._jdf.queryExecution().executedPlan().toString()
+        assert neardup.expand(pairs, members).exceptAll(neardup.expand(pairs, members).distinct()).count() == 0
+
+
 def test_groups_connect_classes(spark):
     pairs = spark.createDataFrame([(0, 1, 2, 0.9), (0, 2, 3, 0.9), (1, 2, 7, 0.8)], "kind tinyint, a long, b long, similarity double")
     members = spark.createDataFrame([(0, 1, 1), (0, 2, 2), (0, 3, 3), (0, 30, 3), (0, 9, 9), (1, 2, 2), (1, 7, 7)], "kind tinyint, key long, rep long")
