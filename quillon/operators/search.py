@@ -107,7 +107,7 @@ def search(
     """
     chunks = materialise(m.chunks.filter("text IS NOT NULL").select(*[c for c in ("chunk_id", "chunk_type", "document_id", "entity_id", "relationship_id", "text") if c in m.chunks.columns]), "chunks")
     asks = materialise(embedding.with_embedding(variants.select("query", "variant", "text"), "text", "v", embedder, query=True), "asks")
-    base = materialise(embedding.with_embedding(chunks.select(F.col("chunk_id").alias("id"), "text"), "text", "v", embedder).drop("text"), "vectors")
+    base = embedding.with_embedding(chunks.select(F.col("chunk_id").alias("id"), "text"), "text", "v", embedder).drop("text")  # read once, where the texts are
     near = _nearest(base, asks, 3 * limit, dim).withColumnRenamed("id", "chunk_id")
     tagged = asks.select((F.col("query") * 64 + F.col("variant")).alias("ask"), "text")
     lexical = fulltext.bm25(chunks, tagged, "ask", "text", 3 * limit).select(F.floor(F.col("ask") / 64).alias("query"), F.pmod("ask", F.lit(64)).cast("int").alias("variant"), "chunk_id", "rank")
@@ -118,7 +118,7 @@ def search(
     rows = found.join(pool, "chunk_id").join(names, "chunk_id", "left").withColumn("names", F.coalesce("names", empty))
     first = asks.filter("variant = 0").select("query", F.col("text").alias("question"))
     if use_graph:
-        vectors = m.entity_vectors if m.entity_vectors is not None else materialise(embedding.embed_entities(m.entities, embedder), "vectors")
+        vectors = m.entity_vectors if m.entity_vectors is not None else embedding.embed_entities(m.entities, embedder)
         around = _nearest(vectors.select(F.col("entity_id").alias("id"), F.col("embedding").alias("v")), asks, NEAR_ENTITIES, dim)
         meant = around.filter(vector.similarity(F.round("distance", 9)) > MEANT).select("query", "id")
         matched = meant.join(m.entities.select("id", "name"), "id").groupBy("query").agg(F.collect_set("name").alias("matched"))

@@ -185,3 +185,20 @@ def test_what_was_written_is_deleted(spark):
     by = materialise(spark.range(50), "numbers", by="id")
     assert "Exchange" not in by.groupBy("id").count()._jdf.queryExecution().sparkPlan().toString() and by.count() == 50
     discard(by)
+
+
+def test_searches_shuffle_neither_texts_nor_pairs(spark):
+    chunks = spark.createDataFrame([(f"c{i}", " ".join(f"{'abcdef'[i * j % 6]}{j % 3} x.y" for j in range(1 + i % 9))) for i in range(300)] + [("c", None)], "chunk_id string, text string")
+    asks = spark.createDataFrame([(q, f"a{q % 3} x.y b{q % 3} a{q % 3} nowhere") for q in range(40)] + [(99, "...")], "q long, t string")
+    sent, joined = (fulltext.bm25(chunks, asks, "q", "t", 5, small=n) for n in (1000, 0))
+    rows = lambda df: sorted((r.q, r["rank"], r.chunk_id, round(r.score, 9)) for r in df.collect())
+    assert rows(sent) == rows(joined) and len(rows(sent)) == 200
+    vectors = spark.createDataFrame([(f"v{i:03}", [float(i % 7), float(i % 5), 1.0, float(i % 2)]) for i in range(200)], "id string, v array<double>")
+    near = vector.knn(vectors, vectors.filter("id < 'v050'"), 3, 4, block=16)
+    points = {r.id: r.v for r in vectors.collect()}
+    far = lambda a, b: round(sum((x - y) ** 2 for x, y in zip(points[a], points[b], strict=True)) ** 0.5, 9)
+    want = {(q, n + 1, i) for q in points if q < "v050" for n, i in enumerate(sorted((i for i in points if i != q), key=lambda i: (far(q, i), i))[:3])}
+    assert {(r.query, r["rank"], r.id) for r in near.collect()} == want
+    for df, key in ((sent, "q"), (near, "query")):  # only what tasks pass on of each query
+        shuffles = re.findall(r"Exchange (\w+)\((\w+)", df._jdf.queryExecution().executedPlan().toString())
+        assert set(shuffles) == {("hashpartitioning", key)}
